@@ -161,80 +161,120 @@ def sign_documents(docs: DataFrame, weights: np.ndarray, s: Settings) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, h1 long, h2 long, sig binary, bands array<long>")
 
 
+Weighted = tuple[np.ndarray, np.ndarray]
+
+
+def _weighted_sets(column: pa.Array, idf: np.ndarray, width: int) -> list[Weighted]:
+    """Sorted codes and weights of each row of a text column."""
+    out = []
+    for _, codes, times, sizes, _ in shingle_sets(column, width):
+        w = times * idf[codes >> np.uint64(64 - SKETCH_BITS)].astype(np.float64)
+        ends = np.cumsum(sizes)
+        out += [(codes[e - n : e], w[e - n : e]) for e, n in zip(ends, sizes)]
+    return out
+
+
+def _similarity(a: Weighted, b: Weighted) -> float:
+    """Weighted Jaccard similarity; 0 if a side is empty."""
+    (ca, wa), (cb, wb) = a, b
+    if not len(ca) or not len(cb):
+        return 0.0
+    at = np.minimum(np.searchsorted(cb, ca), len(cb) - 1)
+    same = cb[at] == ca
+    both = np.minimum(wa[same], wb[at[same]]).sum()
+    return both / (wa.sum() + wb.sum() - both)
+
+
 def verify_pairs(pairs: DataFrame, weights: np.ndarray, s: Settings) -> DataFrame:
-    """Of rows (a, b, text_a, text_b), the (a, b, similarity) at or over the threshold, with whole texts."""
+    """Of rows (a, b, text_a, text_b), the (a, b) at or over the threshold, with whole texts."""
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
 
-    def sets(column: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for _, codes, times, sizes, _ in shingle_sets(column, s.width):
-            w = times * idf[codes >> np.uint64(64 - SKETCH_BITS)].astype(np.float64)
-            ends = np.cumsum(sizes)
-            out += [(codes[e - n : e], w[e - n : e]) for e, n in zip(ends, sizes)]
-        return out
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
         for whole in batches:
             for i in range(0, len(whole), 256):
                 batch = whole.slice(i, 256)
-                score = np.zeros(len(batch))
-                for k, ((ca, wa), (cb, wb)) in enumerate(zip(sets(batch.column(2), idf), sets(batch.column(3), idf))):
-                    if len(ca) and len(cb):
-                        at = np.minimum(np.searchsorted(cb, ca), len(cb) - 1)
-                        same = cb[at] == ca
-                        both = np.minimum(wa[same], wb[at[same]]).sum()
-                        score[k] = both / (wa.sum() + wb.sum() - both)
-                keep = pa.array(np.flatnonzero(score >= s.similarity - 1e-9))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(score).take(keep)], ["a", "b", "similarity"])
+                sides = zip(_weighted_sets(batch.column(2), idf, s.width), _weighted_sets(batch.column(3), idf, s.width))
+                keep = pa.array([_similarity(x, y) >= s.similarity - 1e-9 for x, y in sides], pa.bool_())
+                yield batch.select([0, 1]).filter(keep)
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, similarity double")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def _mixed_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Rows (bucket, n, doc_id, label, sig) of mixed buckets to pairs (a, b) of different labels
-    whose samples agree often enough.
+def _mixed_links(members: DataFrame, weights: np.ndarray, s: Settings) -> DataFrame:
+    """Rows (bucket, n, band, doc_id, label, sig, text) of mixed buckets to verified links (a, b) between labels.
 
-    A bucket is dealt out as blocks of two chunks of documents, so that no task holds a whole one;
-    a pair that meets in many bands is given for the first of them only.
+    A bucket is dealt out as blocks of two chunks of documents, so that no task holds a whole one.
+    In a block every pair of different labels whose samples agree often enough is verified with whole
+    texts, unless links found before already join the two; pairs are not written out. A pair that
+    meets in many bands is looked at in the first of them only.
     """
+    shared = members.sparkSession.sparkContext.broadcast(weights)
     chunks = F.ceil(F.col("n") / s.block).cast("int")
     parts = members.withColumn("k", chunks).withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     parts = parts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    parts = parts.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.col("c").alias("chunk"), "band", "doc_id", "label", "sig")
+    parts = parts.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.col("c").alias("chunk"), "band", "doc_id", "label", "sig", "text")
     parts = parts.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def block(part: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j, band = part[0][1], part[0][2], part[0][4]
-        ids, labels = np.array([x[5] for x in part]), np.array([x[6] for x in part])
-        sig = np.frombuffer(b"".join(x[7] for x in part), np.uint32).reshape(len(part), -1)
-        side = np.array([x[3] == i for x in part])
+    def block(part: pa.Table, idf: np.ndarray) -> list[tuple[int, int]]:
+        i, j, band = (part.column(k)[0].as_py() for k in (1, 2, 4))
+        ids, labels = part.column(5).to_numpy(), part.column(6).to_numpy()
+        sig = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint32).reshape(len(part), -1)
+        side = part.column(3).to_numpy() == i
         left = np.flatnonzero(side)
         right = left if i == j else np.flatnonzero(~side)
-        out_a, out_b = [ids[:0]], [ids[:0]]
+        found = [np.zeros((0, 3), np.int64)]
         for x in left:
             y = right[(labels[right] != labels[x]) & ((i != j) | (ids[right] > ids[x]))]
             same = sig[y] == sig[x]
-            y, same = y[ok := same.sum(1) >= s.agree], same[ok]
-            before = same.reshape(len(y), s.bands, s.rows).all(2)[:, :band].any(1)
-            y = y[~before]
-            out_a.append(np.minimum(ids[x], ids[y]))
-            out_b.append(np.maximum(ids[x], ids[y]))
-        return np.concatenate(out_a), np.concatenate(out_b)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+            n = same.sum(1)
+            ok = (n >= s.agree) & ~same.reshape(len(y), s.bands, s.rows).all(2)[:, :band].any(1)
+            found.append(np.stack([n[ok], np.full(ok.sum(), x), y[ok]], 1))
+        pairs = np.concatenate(found)
+        if not len(pairs):
+            return []
+        pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]
+        used = np.unique(pairs[:, 1:])
+        sets = dict(zip(used.tolist(), _weighted_sets(part.column(8).combine_chunks().take(pa.array(used)), idf, s.width)))
+        root = {x: x for x in labels.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for _, x, y in pairs.tolist():
+            p, q = find(int(labels[x])), find(int(labels[y]))
+            if p != q and _similarity(sets[x], sets[y]) >= s.similarity - 1e-9:
+                root[max(p, q)] = min(p, q)
+                links.append((int(ids[x]), int(ids[y])))
+        return links
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            part = pa.Table.from_batches(held)
+            if len(part) > 1 and (links := block(part, shared.value)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+
+        last = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    if len(held) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in block(held)], ["a", "b"])
-                    held, key = [], row[:3]
-                held.append(row)
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in block(held)], ["a", "b"])
-
-    return parts.mapInArrow(pairs, "a long, b long")
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            lo = 0
+            for k, key in enumerate(keys):
+                if key != last:
+                    if k > lo:
+                        held.append(batch.slice(lo, k - lo))
+                    if held:
+                        yield from done()
+                    held, lo, last = [], k, key
+            held.append(batch.slice(lo))
+        if held:
+            yield from done()
+
+    return parts.mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -273,22 +313,19 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     centre = cut(centre.filter("n > 1").select("bucket", "n", (-F.col("c.m")).alias("centre")), "centre")
     members = cut(banded.join(centre, "bucket").select("bucket", "n", "band", "doc_id", "centre"), "members")
 
-    texts = docs.join(members.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # the joins on texts are merged at every size; which side is small differs from corpus to corpus
+    texts = docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = cut(texts, "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return cut(verify_pairs(pairs.join(left, "a").join(right, "b"), weights, s), "links")
-
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     star = members.filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = verified(star)
+    links = cut(verify_pairs(star.hint("merge").join(left, "a").hint("merge").join(right, "b"), weights, s), "links")
+
     label = connected_components(links, "a", "b").withColumnsRenamed({"node": "doc_id", "component": "label"})
     labelled = cut(members.join(label, "doc_id", "left").select("bucket", "n", "band", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
     mixed = cut(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket"), "mixed")
-    rest = cut(labelled.join(mixed, "bucket"), "rest").join(reps.select("doc_id", "sig"), "doc_id")
-    more = cut(_mixed_pairs(rest, s), "pairs")
-    links = links.union(verified(more))
+    rest = cut(labelled.join(mixed, "bucket"), "rest").hint("merge").join(reps.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
+    links = links.union(cut(_mixed_links(rest, weights, s), "links"))
 
     component = connected_components(links, "a", "b").withColumnsRenamed({"node": "class_id", "component": "component_id"})
     of_doc = of_doc.join(component, "class_id", "left").select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_copies")
