@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The table survives lost executors, is computed once however often it is read, and lets joins on
@@ -32,5 +32,5 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skytab-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
