@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_text, near_vectors, quality, url_rules
+from . import lines, mixing, near_text, near_vectors, quality, tokens, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,14 +46,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, labels, carry=["doc_id"]).drop("rejected_by")
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.training_order(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokens.pack_documents(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
         op2_embedding_near_dedup,
+        op3_training_order,
         op6_source_mixing,
         op7_url_filter,
         op8_line_dedup,
+        op9_packing,
         op10_quality_rules,
     )
 }
