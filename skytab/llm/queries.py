@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_text, near_vectors, quality, tokens, url_rules
+from . import language, lines, mixing, near_text, near_vectors, quality, tokens, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,24 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train_language_model(docs.filter(_remainder(3) != 1))
+    held = (_remainder(3) == 1).alias("held_out")
+    return language.identify_language(docs, model).select("doc_id", held, "lang_pred", "score", "accepted")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train_toxicity_model(docs, labels.filter(_remainder(4) != 2))
+    held = (_remainder(4) == 2).alias("held_out")
+    return toxicity.score_toxicity(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
@@ -61,6 +79,8 @@ QUERIES: dict[str, Query] = {
         op1_minhash_near_dedup,
         op2_embedding_near_dedup,
         op3_training_order,
+        op4_language_id,
+        op5_toxicity,
         op6_source_mixing,
         op7_url_filter,
         op8_line_dedup,
