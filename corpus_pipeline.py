@@ -1,20 +1,50 @@
-"""A corpus pipeline of five stages, each one operator of skytab.llm."""
+"""A corpus pipeline of five stages, each one operator of skytab.llm over all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skytab.llm import near_text
+from skytab.llm import lines, mixing, near_text, quality, tokens
 from skytab.llm.shared import cut
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_rules(docs, labels).filter("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go, but for one document; all documents stay."""
+    done = lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return done.select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     kept = near_text.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the calibrated sample leaves out go."""
+    return mixing.mix_sources(docs).filter("selected").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in a training sequence."""
+    pieces = tokens.pack_documents(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
+]
 
 #: Consistent sampling and packing by tokens have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
