@@ -102,6 +102,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("k") % 7) - 3.0).alias("roll"),
         (F.col("v") % 360).cast("double").alias("yaw"),
         (40.0 + F.col("k")).alias("agl"),
+        (13398962 + F.col("event_id") % 1000).alias("la"),
+        (79563553 - F.col("event_id") % 777).alias("lo"),
         ((13398962 + F.col("event_id") % 1000) / 1e6).alias("latitude"),
         ((79563553 - F.col("event_id") % 777) / 1e6).alias("longitude"),
     )
@@ -109,5 +111,5 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IMAGES = """images AS (
   SELECT event_id, track_id, k, 3840 AS width, 2160 AS height, 24.0::DOUBLE + k % 8 AS focal, -90.0::DOUBLE + k % 60 AS pitch, (k % 7) - 3.0::DOUBLE AS roll,
-    (v % 360)::DOUBLE AS yaw, 40.0::DOUBLE + k AS agl, (13398962 + event_id % 1000) / 1e6 AS latitude, (79563553 - event_id % 777) / 1e6 AS longitude
+    (v % 360)::DOUBLE AS yaw, 40.0::DOUBLE + k AS agl, 13398962 + event_id % 1000 AS la, 79563553 - event_id % 777 AS lo, (13398962 + event_id % 1000) / 1e6 AS latitude, (79563553 - event_id % 777) / 1e6 AS longitude
   FROM (SELECT event_id, user_id AS track_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k, CAST(floor(value) AS BIGINT) AS v FROM events))"""

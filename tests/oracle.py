@@ -22,7 +22,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = [None if x is None or (isinstance(x, float) and x != x) else (x if not isinstance(x, float) else x + 0.0) for x in df[c].astype(object)]
+        df[c] = [None if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x) else (x if not isinstance(x, float) else x + 0.0) for x in df[c].astype(object)]
     return df.astype(str).sort_values(list(df.columns)).reset_index(drop=True)
 
 
