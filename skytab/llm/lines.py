@@ -52,7 +52,7 @@ class Cuckoo:
         return mark, first.astype(np.int64), self._other(first, mark).astype(np.int64)
 
     def _other(self, bucket, mark):
-        return (bucket ^ mix(np.asarray(mark, np.uint64))) & np.uint64(len(self.slots) - 1)
+        return (bucket ^ mix(mark.astype(np.uint64))) & np.uint64(len(self.slots) - 1)
 
     def insert(self, keys: np.ndarray) -> None:
         """Add keys, each of them once; a key added twice must be removed twice."""
@@ -66,7 +66,7 @@ class Cuckoo:
                 else:
                     slot = (mark + n) % SLOTS
                     mark, self.slots[b, slot] = int(self.slots[b, slot]), mark
-                    a, b = b, int(self._other(np.uint64(b), mark))
+                    a, b = b, int(self._other(np.array([b], np.uint64), np.array([mark]))[0])
                     continue
                 break
             else:

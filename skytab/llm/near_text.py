@@ -73,10 +73,11 @@ def document_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
 def shingle_weights(table: np.ndarray, n_docs: int, boost: float) -> np.ndarray:
     """Inverse document frequency weight of each counter, 1 to 1 + boost.
 
-    What other shingles add to a counter (its mean and three deviations) is taken off first.
+    What other shingles add to a counter (its mean and three deviations, in whole documents) is taken
+    off first; while the corpus has few shingles for each counter, that is nothing.
     """
-    noise = table.sum() / len(table)
-    df = np.clip(table - noise - 3 * np.sqrt(noise), 1, max(n_docs, 1))
+    mean = table.sum() / len(table)
+    df = np.clip(table - np.floor(mean + 3 * np.sqrt(mean)), 1, max(n_docs, 1))
     return (1 + boost * np.log((1 + n_docs) / (1 + df)) / np.log(max(n_docs + 1, 3) / 2)).clip(1, 1 + boost).astype(np.float32)
 
 

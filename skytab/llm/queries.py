@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, lines, mixing, near_text, near_vectors, quality, tokens, toxicity, url_rules
+from .oracle import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,5 +89,3 @@ QUERIES: dict[str, Query] = {
         op10_quality_rules,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -28,11 +28,12 @@ class Settings:
     letter skipped. landmarks, positives, negatives: words at most, those seen most often (negatives:
     with the smallest hashes, and the hard ones, which earlier fits score highest). least_seen: toxic
     documents that must show a word before it is taken as toxic; odds: and how many times as many as
-    clean ones. fits: rounds of fitting."""
+    clean ones. fits: rounds of fitting. gapped: most frequent positive words of which forms with a
+    letter put in are learned too."""
 
     sample: int = 8000
     span: int = 7
-    decay: float = 0.6
+    decay: float = 0.75
     landmarks: int = 192
     positives: int = 1500
     negatives: int = 3000
@@ -40,6 +41,7 @@ class Settings:
     least_seen: int = 3
     odds: float = 4.0
     fits: int = 3
+    gapped: int = 150
     cost: float = 100.0
     seed: int = 3
 
@@ -275,6 +277,17 @@ def _document_margins(docs: DataFrame, machine: tuple[np.ndarray, np.ndarray, fl
     return np.stack([got.column(0).to_numpy(), got.column(1).to_numpy()], 1).reshape(-1, 2), got.column(2).to_numpy()
 
 
+def with_gaps(positive: list[tuple[str, int]], s: Settings) -> list[tuple[str, int]]:
+    """The words, and of the first ones of five letters or more forms with one letter put in, at places after the second."""
+    rng = np.random.default_rng(s.seed)
+    letters = sorted({c for w, _ in positive for c in w})
+    out = list(positive)
+    for w, n in positive[: s.gapped]:
+        for at in range(2, min(len(w) - 1, 6)) if len(w) >= 5 else ():
+            out.append((w[:at] + letters[int(rng.integers(len(letters)))] + w[at:], max(1, n // 4)))
+    return out
+
+
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Fit on the labelled rows of ``docs`` (doc_id, text), labels being (doc_id, toxic of 0 or 1).
 
@@ -299,6 +312,7 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, settings: Settings
         sample.unpersist()
         counted.unpersist()
         return None
+    positive = with_gaps(positive, s)
     clean = counted.filter((F.col("n_clean") > 0) & (2 * F.col("n_clean") >= F.col("n_toxic")))
     negative = [r["item"] for r in clean.orderBy(F.xxhash64("item"), "item").select("item").limit(s.negatives).collect()]
     machine, hard = fit_words(positive, negative, [], s), []
