@@ -135,10 +135,20 @@ def _dense(features: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray) ->
     return out
 
 
+def _project(features: list, codes: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Products of words with columns over codes, a few hundred words at a time."""
+    parts = [_dense(features[lo : lo + 256], codes) @ columns for lo in range(0, len(features), 256)]
+    return np.concatenate(parts) if parts else np.zeros((0, columns.shape[1]))
+
+
 def _choose_landmarks(features: list, counts: np.ndarray, n: int) -> list[int]:
-    """Words, most frequent first, that are not yet close to a chosen one; then the rest by count."""
-    codes = np.unique(np.concatenate([u for u, _ in features]))
-    x = _dense(features, codes)
+    """Words, most frequent first, that are not yet close to a chosen one; then the rest by count.
+
+    Closeness is taken from 4096 hashed subsequences, which is enough to spread the choice.
+    """
+    x = np.zeros((len(features), 4096), np.float32)
+    for k, (u, v) in enumerate(features):
+        np.add.at(x[k], (mix(u) >> np.uint64(52)).astype(np.int64), v)
     kernel = x @ x.T
     order, chosen, close = np.argsort(-counts, kind="stable"), [], np.zeros(len(features))
     for bound in (0.3, 0.5, 0.7, 0.9):
@@ -160,15 +170,14 @@ def fit_words(positive: list[tuple[str, int]], negative: list[str], hard: list[s
     counts = np.array([c for _, c in positive], float)
     marks = [pf[k] for k in _choose_landmarks(pf, counts, s.landmarks * 2 // 3)]
     toxic_codes = np.unique(np.concatenate([u for u, _ in marks]))
-    near = _dense(nf, toxic_codes)
-    close = (near @ _dense(marks, toxic_codes).T).max(1)
+    close = _project(nf, toxic_codes, _dense(marks, toxic_codes).T).max(1)
     marks += [nf[k] for k in np.argsort(-close, kind="stable")[: s.landmarks // 3] if close[k] > 0.2]
     codes = np.unique(np.concatenate([u for u, _ in marks]))
     land = _dense(marks, codes)
     value, vector = np.linalg.eigh((land @ land.T).astype(np.float64))
     keep = value > 1e-4
     to_space = land.T @ (vector[:, keep] / np.sqrt(value[keep]))  # codes to Nyström features
-    x = np.vstack([_dense(pf, codes), _dense(nf, codes)]) @ to_space
+    x = np.vstack([_project(pf, codes, to_space), _project(nf, codes, to_space)])
     y = np.r_[np.ones(len(pf)), -np.ones(len(nf))]
     is_hard = np.arange(len(nf)) < len(hard)
     weight = np.r_[counts / counts.sum(), np.where(is_hard, 1 / max(len(hard), 1), 0.5 / len(nf))]
