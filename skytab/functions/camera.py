@@ -66,20 +66,24 @@ def project(m: Matrix, x: Column, y: Column) -> tuple[Column, Column, Column]:
     return (m[0][0] * x + m[0][1] * y + m[0][2]) / w, (m[1][0] * x + m[1][1] * y + m[1][2]) / w, w
 
 
-def ground_corners(ground_from_image: Matrix, width: Column, height: Column, max_range: Column) -> Column:
+def ground_corners(ground_from_image: Column, width: Column, height: Column, max_range: Column) -> Column:
     """The four image corners on the ground, as an array of (east, north); corners beyond max_range or
-    above the horizon are pulled back to it along their azimuth. Null with fewer than three."""
-    zero = F.lit(0.0)
-    out = []
-    for x, y in ((zero, zero), (width, zero), (width, height), (zero, height)):
-        w = ground_from_image[2][0] * x + ground_from_image[2][1] * y + ground_from_image[2][2]
-        e = (ground_from_image[0][0] * x + ground_from_image[0][1] * y + ground_from_image[0][2]) / F.when(F.abs(w) >= 1e-9, w)
-        n = (ground_from_image[1][0] * x + ground_from_image[1][1] * y + ground_from_image[1][2]) / F.when(F.abs(w) >= 1e-9, w)
-        r = F.sqrt(e * e + n * n)
-        k = F.when((w < 0) & (r > 1e-9), -max_range / r).when((w > 0) & (r > max_range), max_range / r).when(w > 0, 1.0)
-        out.append(F.when(k.isNotNull(), F.struct((e * k).alias("east"), (n * k).alias("north"))))
-    found = F.array_compact(F.array(*out))
-    return F.when(F.size(found) >= 3, found)
+    above the horizon are pulled back to it along their azimuth. Null with fewer than three.
+
+    The homography is an array of nine, row by row. Each step maps the array of corners once, so that
+    no expression is repeated in the plan.
+    """
+    m, zero = ground_from_image, F.lit(0.0)
+    row = lambda k, c: m[3 * k] * c["x"] + m[3 * k + 1] * c["y"] + m[3 * k + 2]
+    xy = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (width, zero), (width, height), (zero, height))))
+    g = F.transform(xy, lambda c: F.struct(row(0, c).alias("e"), row(1, c).alias("n"), row(2, c).alias("w")))
+    g = F.transform(F.filter(g, lambda c: F.abs(c["w"]) >= 1e-9), lambda c: F.struct((c["e"] / c["w"]).alias("e"), (c["n"] / c["w"]).alias("n"), (c["w"] > 0).alias("ahead")))
+    g = F.transform(g, lambda c: F.struct(c["e"].alias("e"), c["n"].alias("n"), c["ahead"].alias("ahead"), F.sqrt(c["e"] * c["e"] + c["n"] * c["n"]).alias("r")))
+    g = F.filter(g, lambda c: c["ahead"] | (c["r"] > 1e-9))
+    scale = lambda c: F.when(~c["ahead"], -max_range / c["r"]).when(c["r"] > max_range, max_range / c["r"]).otherwise(1.0)
+    g = F.transform(g, lambda c: F.struct(c["e"].alias("e"), c["n"].alias("n"), scale(c).alias("k")))
+    g = F.transform(g, lambda c: F.struct((c["e"] * c["k"]).alias("east"), (c["n"] * c["k"]).alias("north")))
+    return F.when(F.size(g) >= 3, g)
 
 
 def local_scale(m: Matrix, x: Column, y: Column) -> Column:

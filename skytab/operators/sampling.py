@@ -11,10 +11,10 @@ def frame_targets(videos: DataFrame, interval_sec: float | None = None, fps: flo
 
     An interval, or else a target rate, gives the times start + k step up to the end, the end
     included, and the nearest frame of each (ties to even); frames past the last are left out. Else
-    every frame_step-th frame. max_frames keeps the first ones.
+    every frame_step-th frame. max_frames keeps the first ones. Without a rate of its own a video lasts 0 s.
     """
     keys = [c for c in videos.columns if c not in ("fps", "total_frames")]
-    duration = F.when(F.col("fps") > 0, F.col("total_frames") / F.col("fps")).otherwise(0.0)
+    duration = F.coalesce(F.when(F.col("fps") > 0, F.try_divide("total_frames", "fps")), F.lit(0.0))
     lo = F.lit(max(0.0, start_sec or 0.0))
     hi = F.least(duration, F.lit(float(end_sec))) if end_sec else duration
     rows = videos.withColumns({"__lo": lo, "__hi": hi})
@@ -29,7 +29,7 @@ def frame_targets(videos: DataFrame, interval_sec: float | None = None, fps: flo
         end = F.when(F.col("__hi") > 0, F.least(F.col("total_frames").cast("long"), F.rint(F.col("__hi") * F.col("fps")).cast("long"))).otherwise(F.col("total_frames").cast("long"))
         rows = rows.withColumns({"__f": first, "__e": end}).filter("__e > __f")
         rows = rows.select("*", F.posexplode(F.sequence("__f", F.col("__e") - 1, F.lit(max(1, frame_step)).cast("long"))).alias("ordinal", "frame_idx"))
-        rows = rows.withColumns({"ordinal": F.col("ordinal").cast("long"), "t_sec": F.col("frame_idx") / F.col("fps")})
+        rows = rows.withColumns({"ordinal": F.col("ordinal").cast("long"), "t_sec": F.try_divide("frame_idx", "fps")})
     if max_frames:
         rows = rows.filter(F.col("ordinal") < max_frames)
     return rows.select(*keys, "ordinal", "frame_idx", "t_sec")

@@ -124,7 +124,7 @@ SELECT event_id, corner, round(CASE WHEN du > 0 THEN -e / rr * lim WHEN rr > lim
 def homography_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners by the inverse homography; the oracle casts rays."""
     rows = _posed(spark, sf_dir)
-    corners = camera.ground_corners(unpack("gnd"), F.col("width").cast("double"), F.col("height").cast("double"), 4.0 * F.col("agl"))
+    corners = camera.ground_corners(F.col("gnd"), F.col("width").cast("double"), F.col("height").cast("double"), 4.0 * F.col("agl"))
     rows = rows.select("event_id", F.posexplode(corners).alias("corner", "p"))
     return rows.select("event_id", "corner", r("p.east", 3).alias("east"), r("p.north", 3).alias("north"))
 

@@ -319,11 +319,11 @@ def similarity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "scale double, r00 double, r01 double, r02 double, shift_x double, shift_y double, shift_z double")
 
 
-_CELLS = "c AS (SELECT l_orderkey % 40 AS row, l_partkey % 50 AS col, l_linenumber AS frame, round(l_discount * l_quantity, 2) AS weight, l_extendedprice AS value FROM lineitem)"
+_CELLS = "c AS (SELECT l_orderkey % 40 AS row, l_partkey % 50 AS col, l_linenumber AS frame, round(l_discount * 100) * l_quantity AS weight, round(l_extendedprice * 100) AS value FROM lineitem)"
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("row"), (F.col("l_partkey") % 50).alias("col"), F.col("l_linenumber").alias("frame"), F.round(F.col("l_discount") * F.col("l_quantity"), 2).alias("weight"), F.col("l_extendedprice").alias("value"))
+    return b.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("row"), (F.col("l_partkey") % 50).alias("col"), F.col("l_linenumber").alias("frame"), (F.round(F.col("l_discount") * 100) * F.col("l_quantity")).alias("weight"), F.round(F.col("l_extendedprice") * 100).alias("value"))
 
 
 @query(f"WITH {_CELLS}, k AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY weight DESC, frame) AS n FROM c WHERE weight > 0) SELECT row, col, frame, weight FROM k WHERE n = 1")
@@ -331,9 +331,9 @@ def best_frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.best_frame(_cells(spark, sf_dir), "row", "col")
 
 
-@query(f"WITH {_CELLS} SELECT row, col, round(CASE WHEN sum(weight) > 1e-4 THEN sum(weight * value) / sum(weight) END, 4) AS value FROM c GROUP BY row, col")
+@query(f"WITH {_CELLS} SELECT row, col, CASE WHEN sum(weight) > 1e-4 THEN sum(weight * value) / sum(weight) END AS value FROM c GROUP BY row, col")
 def weighted_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.weighted_average(_cells(spark, sf_dir), "row", "col").select("row", "col", r("value", 4).alias("value"))
+    return points.weighted_average(_cells(spark, sf_dir), "row", "col").select("row", "col", "value")
 
 
 @query(f"WITH {_CELLS}, l AS (SELECT row, col, max(frame) AS label FROM c GROUP BY row, col) SELECT a.row, a.col, median(b.label)::DOUBLE AS label FROM l a JOIN l b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col")
@@ -348,21 +348,20 @@ def label_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     status = F.when(s == "F", "COMPLETED").when(s == "O", "QUEUED").otherwise("PROCESSING")
-    return b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), (F.col("o_totalprice") / 1000).alias("elapsed"), F.col("o_orderpriority").alias("name"))
+    return b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.round("o_totalprice").cast("long").alias("elapsed"), F.col("o_orderpriority").alias("name"))
 
 
-_JOBS = "jobs AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'QUEUED' ELSE 'PROCESSING' END AS status, o_orderdate AS created_at, o_totalprice / 1000 AS elapsed, o_orderpriority AS name FROM orders)"
+_JOBS = "jobs AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'QUEUED' ELSE 'PROCESSING' END AS status, o_orderdate AS created_at, CAST(round(o_totalprice) AS BIGINT) AS elapsed, o_orderpriority AS name FROM orders)"
 
 
-@query(f"WITH {_JOBS} SELECT name, count(*) AS n_jobs, count(*) FILTER (WHERE status = 'QUEUED') AS n_queued, count(*) FILTER (WHERE status = 'PROCESSING') AS n_processing, count(*) FILTER (WHERE status = 'COMPLETED') AS n_completed, 0::BIGINT AS n_failed, count(*) FILTER (WHERE status <> 'COMPLETED') AS active, round(avg(elapsed), 4) AS mean_elapsed, round(max(elapsed), 4) AS max_elapsed FROM jobs GROUP BY name")
+@query(f"WITH {_JOBS} SELECT name, count(*) AS n_jobs, count(*) FILTER (WHERE status = 'QUEUED') AS n_queued, count(*) FILTER (WHERE status = 'PROCESSING') AS n_processing, count(*) FILTER (WHERE status = 'COMPLETED') AS n_completed, 0::BIGINT AS n_failed, count(*) FILTER (WHERE status <> 'COMPLETED') AS active, avg(elapsed) AS mean_elapsed, max(elapsed) AS max_elapsed FROM jobs GROUP BY name")
 def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = jobs.summary(_jobs(spark, sf_dir), "name")
-    return s.withColumns({c: r(c, 4) for c in ("mean_elapsed", "max_elapsed")})
+    return jobs.summary(_jobs(spark, sf_dir), "name")
 
 
-@query(f"WITH {_JOBS} SELECT job_id, status, round(elapsed, 4) AS elapsed FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 50")
+@query(f"WITH {_JOBS} SELECT job_id, status, elapsed FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 50")
 def jobs_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.last_jobs(_jobs(spark, sf_dir)).select("job_id", "status", r("elapsed", 4).alias("elapsed"))
+    return jobs.last_jobs(_jobs(spark, sf_dir)).select("job_id", "status", "elapsed")
 
 
 @query(f"WITH {_JOBS}, e AS (SELECT job_id % 500 AS job_id, created_at, CASE status WHEN 'QUEUED' THEN 1 WHEN 'PROCESSING' THEN 2 ELSE 3 END AS k, status FROM jobs) SELECT job_id, arg_max(status, (created_at, k)) AS status FROM e GROUP BY job_id")
