@@ -29,10 +29,18 @@ def _last_wins(keys: Column, values: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, later))
 
 
-def tag_map(text: Column) -> Column:
-    """Bracketed ``[key : value]`` pairs; keys in lower case, values trimmed."""
-    keys = F.transform(F.regexp_extract_all(text, F.lit(TAG), F.lit(1)), lambda k: F.lower(F.trim(k)))
-    return _last_wins(keys, F.transform(F.regexp_extract_all(text, F.lit(TAG), F.lit(2)), lambda v: F.trim(v)))
+def tag_arrays(text: Column) -> tuple[Column, Column]:
+    """Keys in lower case and trimmed values of bracketed ``[key : value]`` pairs, last pair first.
+
+    Keep both as columns before looking tags up: then the text is searched twice, whatever the number of lookups.
+    """
+    keys = F.transform(F.reverse(F.regexp_extract_all(text, F.lit(TAG), F.lit(1))), lambda k: F.lower(F.trim(k)))
+    return keys, F.transform(F.reverse(F.regexp_extract_all(text, F.lit(TAG), F.lit(2))), lambda v: F.trim(v))
+
+
+def tag(keys: Column, values: Column, name: str) -> Column:
+    """The value of the last pair with a key; null without one."""
+    return F.get(values, F.array_position(keys, name).cast("int") - 1)
 
 
 def xmp_map(packet: Column) -> Column:

@@ -10,16 +10,16 @@ from ..functions import text as tx
 FIELDS = ["frame_cnt", "diff_time_ms", "timestamp_str", "latitude", "longitude", "altitude", "iso", "shutter", "fnum", "focal_len", "ev", "ct", "color_md", "yaw", "pitch", "roll"]
 
 
-def _tagged(tags: Column, names: list[str], parse, fallback: Column) -> Column:
+def _tagged(tags: tuple[Column, Column], names: list[str], parse, fallback: Column) -> Column:
     """The first of the tags that is there, parsed: one that does not parse gives null, not the fallback."""
     out = fallback
     for name in reversed(names):
-        out = F.when(F.map_contains_key(tags, name), parse(F.try_element_at(tags, F.lit(name)))).otherwise(out)
+        out = F.when(F.array_contains(tags[0], name), parse(tx.tag(*tags, name))).otherwise(out)
     return out
 
 
-def telemetry_fields(text: Column, tags: Column) -> dict[str, Column]:
-    """Columns for FIELDS of one payload text without markup, and its tag map.
+def telemetry_fields(text: Column, tags: tuple[Column, Column]) -> dict[str, Column]:
+    """Columns for FIELDS of one payload text without markup, and its tag arrays.
 
     A bracketed tag goes before the looser pattern; the loose patterns for positions and angles are
     not anchored, so they match inside longer names.
@@ -29,7 +29,7 @@ def telemetry_fields(text: Column, tags: Column) -> dict[str, Column]:
     number, whole, same = tx.as_double, tx.as_int, lambda v: v
 
     def angle(name: str) -> Column:
-        tag = F.coalesce(*(F.nullif(F.try_element_at(tags, F.lit(k)), F.lit("")) for k in (f"gb_{name}", name)))
+        tag = F.coalesce(*(F.nullif(tx.tag(*tags, k), F.lit("")) for k in (f"gb_{name}", name)))
         return F.when(tag.isNotNull(), number(tag)).otherwise(number(loose(f"gb_{name}|{name}")))
 
     return {
@@ -54,8 +54,9 @@ def telemetry_fields(text: Column, tags: Column) -> dict[str, Column]:
 
 def parse_payload(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Add FIELDS of a payload column."""
-    tagged = df.withColumn("__tags", tx.tag_map(F.col(text)))
-    return tagged.withColumns(telemetry_fields(F.col(text), F.col("__tags"))).drop("__tags")
+    keys, values = tx.tag_arrays(F.col(text))
+    tagged = df.withColumns({"__keys": keys, "__values": values})
+    return tagged.withColumns(telemetry_fields(F.col(text), (F.col("__keys"), F.col("__values")))).drop("__keys", "__values")
 
 
 def parse_srt(files: DataFrame, key: str = "track_id", content: str = "content") -> DataFrame:

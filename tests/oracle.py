@@ -33,11 +33,13 @@ def difference(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None
         return f"columns {list(a.columns)} and {list(b.columns)}"
     if len(a) != len(b):
         return f"{len(a)} and {len(b)} rows"
-    num = lambda s: pd.to_numeric(s, errors="coerce")
     bad = pd.Series(False, index=a.index)
     for c in a.columns:
-        x, y = num(a[c]), num(b[c])
-        bad |= ~((a[c] == b[c]) | (x == y))
+        for k in a.index[a[c] != b[c]]:
+            try:
+                bad[k] |= float(a[c][k]) != float(b[c][k])
+            except ValueError:
+                bad[k] = True
     return f"{bad.sum()} of {len(a)} rows, as\n{a[bad].head(3).to_string()}\n{b[bad].head(3).to_string()}" if bad.any() else None
 
 
