@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.components import connected_components
 from .shared import cut
 from .textcodes import mix, shingle_sets
 

@@ -1,36 +1,5 @@
-"""Lineage cuts and parameters that several operators of this subpackage use."""
+"""Lineage cuts, as the library has them."""
 
-from __future__ import annotations
+from ..checkpoints import cut, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests on one machine) a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="skytab-shared-")
-    return _FALLBACK[app]
-
-
-def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    The table survives lost executors, is computed once however often it is read, and lets joins on
-    it be planned from shuffles on both sides, so that AQE can split a hot key.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skytab-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_dir"]
