@@ -18,15 +18,28 @@ def to_enu(tracks: DataFrame, track: str = "track_id", origin: tuple[Column, Col
     return out.drop("__lat0", "__lon0", "__alt0")
 
 
-def track_kinematics(enu: DataFrame, track: str = "track_id", order: str = "rn", half: int = 8, min_speed: float = 0.5, grain: float = 0.11) -> DataFrame:
+def with_halo(df: DataFrame, order: str, size: int, halo: int) -> DataFrame:
+    """Rows dealt to __chunk by a consecutive row number, those near an edge to the next chunk too; __own marks the home chunk.
+
+    A window partitioned by track and __chunk then sees all of ``halo`` rows on either side, so one
+    very long track is spread over tasks.
+    """
+    n = F.col(order)
+    chunks = F.sequence(F.floor((n - halo) / size), F.floor((n + halo) / size))
+    out = df.withColumn("__chunk", F.explode(chunks))
+    return out.withColumn("__own", F.floor(n / size) == F.col("__chunk"))
+
+
+def track_kinematics(enu: DataFrame, track: str = "track_id", order: str = "rn", half: int = 8, min_speed: float = 0.5, grain: float = 0.11, chunk: int = 1 << 16) -> DataFrame:
     """Add ground_speed, vertical_speed, course (null when idle) and course_quality.
 
     The slope of a line through the positions of ``half`` rows on either side, fewer at the ends, is
     the velocity. A course needs min_speed and a path of over three times the coordinates' grain;
-    quality is that ratio, 1 at most. Windows of under three rows or no time span give zeros.
+    quality is that ratio, 1 at most. Windows of under three rows or no time span give zeros. ``order``
+    numbers the rows of a track one after another; a task's window holds at most ``chunk`` of them.
     """
-    w = Window.partitionBy(track).orderBy(order).rowsBetween(-half, half)
-    fit = enu.withColumns(
+    w = Window.partitionBy(track, "__chunk").orderBy(order).rowsBetween(-half, half)
+    fit = with_halo(enu, order, chunk, half).withColumns(
         {
             "__n": F.count(F.lit(1)).over(w),
             "__span": F.max("t").over(w) - F.min("t").over(w),
@@ -35,6 +48,7 @@ def track_kinematics(enu: DataFrame, track: str = "track_id", order: str = "rn",
             "__u": F.regr_slope("up", "t").over(w),
         }
     )
+    fit = fit.filter("__own").drop("__own", "__chunk")
     ok = (F.col("__n") >= 3) & (F.col("__span") >= 1e-6)
     speed = F.when(ok, F.sqrt(F.col("__e") * F.col("__e") + F.col("__no") * F.col("__no"))).otherwise(0.0)
     fit = fit.withColumn("ground_speed", speed).withColumn("__path", F.col("ground_speed") * F.col("__span"))

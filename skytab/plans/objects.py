@@ -85,12 +85,13 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.match_one_to_one(rounded, "image")
 
 
-_GREEDY = _PAIRS + """, cand AS (SELECT *, round(mask_iou + 0.25::DOUBLE * box_iou - distance / 25.0::DOUBLE, 9) AS score FROM pairs WHERE a % 2 = 0 AND b % 2 = 1 AND (mask_iou >= 0.1 OR box_iou >= 0.2) AND distance <= 25),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, a DESC, b DESC) AS k FROM cand),
+_WALK = """ranked AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, a DESC, b DESC) AS k FROM cand),
 walk AS (SELECT image, 0::BIGINT AS k, []::BIGINT[] AS used_a, []::BIGINT[] AS used_b, -1::BIGINT AS a, -1::BIGINT AS b FROM (SELECT DISTINCT image FROM ranked) UNION ALL
   SELECT w.image, c.k, CASE WHEN list_contains(w.used_a, c.a) OR list_contains(w.used_b, c.b) THEN w.used_a ELSE list_append(w.used_a, c.a) END, CASE WHEN list_contains(w.used_a, c.a) OR list_contains(w.used_b, c.b) THEN w.used_b ELSE list_append(w.used_b, c.b) END,
    CASE WHEN list_contains(w.used_a, c.a) OR list_contains(w.used_b, c.b) THEN -1 ELSE c.a END, CASE WHEN list_contains(w.used_a, c.a) OR list_contains(w.used_b, c.b) THEN -1 ELSE c.b END FROM walk w JOIN ranked c ON c.image = w.image AND c.k = w.k + 1),
 matched AS (SELECT c.* FROM cand c JOIN walk w USING (image, a, b))"""
+_GREEDY = _PAIRS + """, cand AS (SELECT *, round(mask_iou + 0.25::DOUBLE * box_iou - distance / 25.0::DOUBLE, 9) AS score FROM pairs WHERE a % 2 = 0 AND b % 2 = 1 AND (mask_iou >= 0.1 OR box_iou >= 0.2) AND distance <= 25),
+""" + _WALK
 
 
 @query(f"WITH RECURSIVE {_GREEDY} SELECT image, a, b, round(score, 6) AS score FROM matched")
@@ -151,11 +152,12 @@ def _truth_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return before, after, det.pair_overlaps(before, after, pa, pb, "image").withColumn("mask_iou", F.round("mask_iou", 9))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_PAIRS}, cand AS (SELECT image, a, b, round(mask_iou, 9) AS score FROM pairs WHERE a % 2 = 0 AND b % 2 = 1 AND round(mask_iou, 9) >= 0.05),
+{_WALK}, n AS (SELECT (SELECT count(*) FROM matched) AS tp, (SELECT sum(score) FROM matched) AS s, (SELECT count(*) FROM inst WHERE instance % 2 = 0) AS p, (SELECT count(*) FROM inst WHERE instance % 2 = 1) AS t)
+SELECT round(tp / p, 6) AS precision, round(tp / t, 6) AS recall, round(2 * tp / (p + t), 6) AS dice, coalesce(round(s / tp, 6), 0) AS matched_mask_iou, tp, p - tp AS fp, t - tp AS fn FROM n""")
 def detection_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent; tests compare with a plain loop."""
     pred, truth, pairs = _truth_pairs(spark, sf_dir)
-    got = det.match_one_to_one(pairs.filter("mask_iou >= 0.15"), "image", score="mask_iou").groupBy("image").agg(F.count(F.lit(1)).alias("tp"), F.collect_list("mask_iou").alias("ious"))
+    got = det.match_one_to_one(pairs.filter("mask_iou >= 0.05"), "image", score="mask_iou").groupBy("image").agg(F.count(F.lit(1)).alias("tp"), F.collect_list("mask_iou").alias("ious"))
     n = pred.groupBy("image").agg(F.count(F.lit(1)).alias("p")).join(truth.groupBy("image").agg(F.count(F.lit(1)).alias("t")), "image", "full_outer").join(got, "image", "left")
     tp = F.coalesce("tp", F.lit(0))
     counts = n.select(tp.alias("tp"), (F.coalesce("p", F.lit(0)) - tp).alias("fp"), (F.coalesce("t", F.lit(0)) - tp).alias("fn"), F.coalesce("ious", F.array().cast("array<double>")).alias("ious"))

@@ -42,6 +42,12 @@ def test_idle_climb_and_short_tracks(spark):
     assert (short.ground_speed == 0).all() and (short.course_quality == 0).all() and short.course.isna().all()
 
 
+def test_long_tracks_are_dealt_out(spark):
+    enu = kinematics.to_enu(straight(spark, 77.0))
+    rows = lambda c: sorted(map(tuple, kinematics.track_kinematics(enu, chunk=c).collect()))
+    assert rows(30) == rows(1 << 16) and len(rows(30)) == 200
+
+
 def test_circular_stats(spark):
     df = spark.createDataFrame([(1, a) for a in (350.0, 10.0, 355.0, 5.0, None)], "k int, a double")
     r = kinematics.circular_stats(df, "a", "k").first()
