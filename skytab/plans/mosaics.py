@@ -48,12 +48,12 @@ _H = "[1 + (instance % 5) / 100.0::DOUBLE, 0.02::DOUBLE, instance % 7 - 3, -0.03
 
 @query(f"""WITH {_INSTANCES}, h AS (SELECT image, instance, {_H} AS m, x1, y1, x2, y2 FROM inst), c AS (SELECT *, unnest([x1, x2, x2, x1])::DOUBLE AS x, unnest([y1, y1, y2, y2])::DOUBLE AS y FROM h),
 p AS (SELECT image, instance, (m[1] * x + m[2] * y + m[3]) / (m[7] * x + m[8] * y + m[9]) AS u, (m[4] * x + m[5] * y + m[6]) / (m[7] * x + m[8] * y + m[9]) AS v FROM c),
-e AS (SELECT image, instance, greatest(0, floor(min(u)))::BIGINT AS x1, greatest(0, floor(min(v)))::BIGINT AS y1, least(40, ceil(max(u)))::BIGINT AS x2, least(40, ceil(max(v)))::BIGINT AS y2 FROM p GROUP BY ALL) SELECT * FROM e WHERE x2 > x1 AND y2 > y1""")
+e AS (SELECT image, instance, greatest(0, floor(min(u)))::BIGINT AS x1, greatest(0, floor(min(v)))::BIGINT AS y1, least(15, ceil(max(u)))::BIGINT AS x2, least(15, ceil(max(v)))::BIGINT AS y2 FROM p GROUP BY ALL) SELECT * FROM e WHERE x2 > x1 AND y2 > y1""")
 def warped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("instance")
     m = F.array(*(F.coalesce(c.cast("double")) for c in (1 + k % 5 / 100.0, F.lit(0.02), k % 7 - 3, F.lit(-0.03), F.lit(1.0), k % 4 - 2, F.lit(0.0005), F.lit(0.0002), F.lit(1.0))))
     rows = _instances(spark, sf_dir).withColumn("m", m)
-    rows = rows.withColumn("warped", mosaic.transform_box(F.col("box"), F.col("m"), F.lit(40), F.lit(40))).filter("warped IS NOT NULL")
+    rows = rows.withColumn("warped", mosaic.transform_box(F.col("box"), F.col("m"), F.lit(15), F.lit(15))).filter("warped IS NOT NULL")
     return rows.select("image", "instance", "warped.x1", "warped.y1", "warped.x2", "warped.y2")
 
 

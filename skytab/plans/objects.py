@@ -33,10 +33,10 @@ def query(sql: str | None):
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.table(spark, sf_dir, "embeddings").select(F.col("label").alias("image"), F.col("vec_id").alias("instance"), F.posexplode("embedding").alias("i", "e")).filter("e > 0")
     k = F.col("instance")
-    return rows.select("image", "instance", (F.col("i") % 8 + k * 37 % 40).cast("long").alias("px"), (F.floor(F.col("i") / 8) + k * 53 % 40).cast("long").alias("py"))
+    return rows.select("image", "instance", (F.col("i") % 8 + k * 37 % 12).cast("long").alias("px"), (F.floor(F.col("i") / 8) + k * 53 % 12).cast("long").alias("py"))
 
 
-_PIXELS = "pixels AS (SELECT label AS image, vec_id AS instance, (i - 1) % 8 + vec_id * 37 % 40 AS px, (i - 1) // 8 + vec_id * 53 % 40 AS py FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) WHERE embedding[i] > 0)"
+_PIXELS = "pixels AS (SELECT label AS image, vec_id AS instance, (i - 1) % 8 + vec_id * 37 % 12 AS px, (i - 1) // 8 + vec_id * 53 % 12 AS py FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) WHERE embedding[i] > 0)"
 _INSTANCES = _PIXELS + ", inst AS (SELECT image, instance, count(*) AS area, avg(px) AS cx, avg(py) AS cy, min(px) AS x1, min(py) AS y1, max(px) + 1 AS x2, max(py) + 1 AS y2, (SELECT round(embedding[1] + 0.6, 4) FROM embeddings WHERE vec_id = instance) AS score FROM pixels GROUP BY image, instance)"
 
 
