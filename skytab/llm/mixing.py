@@ -66,18 +66,20 @@ def _target(cells: DataFrame, margin: str, s: Settings) -> DataFrame:
 def rake(cells: DataFrame, s: Settings) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with weight: tokens scaled by turns until each margin meets its target.
 
-    The cells are as many as combinations of values occur; each round is three aggregates and joins
-    on them, and its result is written, so that neither lineage nor recovery grows with the rounds.
+    The cells are as many as combinations of values occur. Each step is one aggregate joined back, and
+    its result is written: plans stay small and alike, whatever the rounds, and so does what the
+    driver holds for them.
     """
-    targets = {m: cut(_target(cells, m, s), f"target-{m}") for m in MARGINS}
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for m in MARGINS:
+        fitted = fitted.join(_target(cells, m, s).withColumnRenamed("target", f"target_{m}"), m)
+    fitted = cut(fitted.select(*MARGINS, "tokens", "weight", *(f"target_{m}" for m in MARGINS)), "raked")
     for _ in range(s.rounds):
         for m in MARGINS:
             now = fitted.groupBy(m).agg(F.sum("weight").alias("now"))
-            factor = now.join(targets[m], m).select(m, (F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(F.lit(0.0))).alias("factor"))
-            fitted = fitted.join(factor, m).withColumn("weight", F.col("weight") * F.col("factor")).select(*MARGINS, "tokens", "weight")
-        fitted = cut(fitted, "raked")
-    return fitted
+            weight = F.when(F.col("now") > 0, F.col("weight") * F.col(f"target_{m}") / F.col("now")).otherwise(F.lit(0.0))
+            fitted = cut(fitted.join(now, m).select(*(weight.alias(c) if c == "weight" else F.col(c) for c in fitted.columns)), "raked")
+    return fitted.select(*MARGINS, "tokens", "weight")
 
 
 def calibrate(fitted: DataFrame, s: Settings) -> DataFrame:
