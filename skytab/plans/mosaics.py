@@ -108,7 +108,7 @@ SELECT row, col, count(*) AS n_frames, round(sum(weight), 5) AS weight FROM w GR
 def ray_cast_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many cameras see each cell of a ground grid, and their weights."""
     k = F.col("event_id")
-    cams = b.images(spark, sf_dir).filter("event_id % 10 = 0").select(k.alias("frame"), (k % 97 * 7.0).alias("east"), (k % 89 * 7.0).alias("north"), F.col("agl").alias("up"), "yaw", (-90.0 + F.col("k") % 20).alias("pitch"), "roll", camera.focal_px(F.col("focal"), F.col("width")).alias("focal"), "width", "height", (F.col("agl") * 1.5).alias("radius"))
+    cams = b.images(spark, sf_dir).select(k.alias("frame"), (k % 97 * 7.0).alias("east"), (k % 89 * 7.0).alias("north"), F.col("agl").alias("up"), "yaw", (-90.0 + F.col("k") % 20).alias("pitch"), "roll", camera.focal_px(F.col("focal"), F.col("width")).alias("focal"), "width", "height", (F.col("agl") * 1.5).alias("radius"))
     side = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     cells = spark.range(1).select(F.explode(side(26)).alias("row")).select("row", F.explode(side(28)).alias("col"))
     cells = cells.withColumns({"x": F.col("col") * 25.0 + 12.5, "y": F.col("row") * 25.0 + 12.5, "z": ((F.col("row") * 7 + F.col("col") * 3) % 5).cast("double")})
