@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import camera
 from .components import connected_components
 from .detections import overlapping_pairs
@@ -84,10 +85,16 @@ def rescale_homography(m: Column, from_scale: Column, to_scale: Column) -> Colum
 
 
 def box_components(boxes: DataFrame, key: str) -> DataFrame:
-    """Boxes (key, instance, box; instance unique over all keys) with component: the least instance of those whose boxes touch in a chain."""
-    pairs = overlapping_pairs(boxes, boxes, key).select(F.col("a.instance").alias("src"), F.col("b.instance").alias("dst"))
+    """Boxes (key, instance, box; instance unique over all keys) with component: the least instance of those whose boxes touch in a chain.
+
+    Instances with equal boxes touch each other, so one of them, the least, stands for all in the search for pairs.
+    """
+    full = boxes.filter(F.col(key).isNotNull()).filter("box.x2 > box.x1 AND box.y2 > box.y1")
+    least = cut(full.groupBy(key, "box").agg(F.min("instance").alias("instance")), "least")
+    pairs = overlapping_pairs(least, least, key).select(F.col("a.instance").alias("src"), F.col("b.instance").alias("dst"))
     found = connected_components(pairs).withColumnRenamed("node", "instance")
-    return boxes.join(found, "instance", "left").withColumn("component", F.coalesce("component", "instance"))
+    found = least.join(found, "instance").select(key, "box", "component")
+    return boxes.join(found, [key, "box"], "left").withColumn("component", F.coalesce("component", "instance"))
 
 
 def union_mask(pixels: DataFrame, key: str) -> DataFrame:

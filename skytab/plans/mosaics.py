@@ -60,7 +60,7 @@ def warped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_PAIRS}, reach AS (SELECT image, a AS instance, a AS other FROM pairs WHERE a % 3 = 0 GROUP BY ALL UNION SELECT r.image, r.instance, p.b FROM reach r JOIN pairs p ON p.image = r.image AND p.a = r.other AND p.b % 3 = 0)
 SELECT image, instance, min(other) AS component FROM reach GROUP BY image, instance""")
 def box_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _instances(spark, sf_dir).filter("instance % 3 = 0").select("image", "instance", "box")
+    rows = _instances(spark, sf_dir).select("image", "instance", "box")
     return mosaic.box_components(rows, "image").select("image", "instance", "component")
 
 

@@ -246,7 +246,7 @@ _CORNERS = "x1 AS (SELECT p_partkey, p_size, 0.25::DOUBLE AS ax, 0.25::DOUBLE AS
 @query(f"WITH {_CORNERS} SELECT p_partkey, round(((ax * cy - cx * ay) + (cx * dy - dx * cy) + (dx * ey - ex * dy) + (ex * ay - ax * ey)) / 2, 6) AS area, round(least(ax, cx, dx, ex), 6) AS x0, round(-greatest(ay, cy, dy, ey), 6) AS y0, round(greatest(ax, cx, dx, ex), 6) AS x1, round(-least(ay, cy, dy, ey), 6) AS y1, greatest(cx, dx) <= 40 AND greatest(dy, ey) <= 20 AS inside FROM x1")
 def y_flip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area, and bounds after the flip to annotation coordinates, of valid polygons."""
-    p = _polygons(spark, sf_dir).filter("p_partkey % 7 IN (0, 6)").withColumn("flip", geojson.flip_y(F.col("ring")))
+    p = _polygons(spark, sf_dir).filter(geojson.validity(F.col("ring")) == "valid").withColumn("flip", geojson.flip_y(F.col("ring")))
     x0, y0, x1, y1 = geojson.bounds(F.col("flip"))
     inside = geojson.within_image(F.col("flip"), F.lit(40.0), F.lit(20.0))
     return p.select("p_partkey", r(geojson.signed_area(F.col("ring")), 6).alias("area"), r(x0, 6).alias("x0"), r(y0, 6).alias("y0"), r(x1, 6).alias("x1"), r(y1, 6).alias("y1"), inside.alias("inside"))
@@ -272,7 +272,7 @@ g AS (SELECT p_partkey, s, unnest(range(0, p_size + 3)) AS px, p_size FROM e), h
 k AS (SELECT p_partkey, px, py, count(*) FILTER (WHERE (s.b > py + 0.5) <> (s.d > py + 0.5) AND px + 0.5 < (s.c - s.a) * (py + 0.5 - s.b) / (s.d - s.b) + s.a) AS hits FROM h GROUP BY ALL)
 SELECT p_partkey, count(*) AS n_pixels, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM k WHERE hits % 2 = 1 GROUP BY p_partkey""")
 def raster_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = geojson.rasterize(_polygons(spark, sf_dir).filter("p_partkey % 7 IN (0, 6)"))
+    p = geojson.rasterize(_polygons(spark, sf_dir).filter(geojson.validity(F.col("ring")) == "valid"))
     long = lambda c: c.cast("long")
     return p.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_pixels"), long(F.min("px")).alias("x0"), long(F.min("py")).alias("y0"), long(F.max("px")).alias("x1"), long(F.max("py")).alias("y1"))
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import pytest
 from oracle import connect, difference
+from pyspark.sql import functions as F
 
-from skytab.plans import QUERIES, SQL
+from skytab.operators import mosaic
+from skytab.plans import QUERIES, SQL, objects
+from skytab.plans.objects import _INSTANCES
 
 
 @pytest.fixture(scope="module")
@@ -17,3 +20,38 @@ def test_every_image_casts_rays(spark, con, sf_dir):
     whole = SQL["ray_cast_coverage"].replace(" WHERE event_id % 10 = 0", "")
     assert "% 10 = 0" not in whole
     assert difference(QUERIES["ray_cast_coverage"](spark, sf_dir), con, whole) is None
+
+
+def test_components_of_all_instances(spark, con, sf_dir):
+    boxes = con.execute(f"WITH {_INSTANCES} SELECT image, instance, x1, y1, x2, y2 FROM inst").fetchall()
+    root = {k: k for _, k, *_ in boxes}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for n, (i, a, *p) in enumerate(boxes):
+        for j, b, *q in boxes[:n]:
+            if i == j and min(p[2], q[2]) > max(p[0], q[0]) and min(p[3], q[3]) > max(p[1], q[1]):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    got = {(r.image, r.instance): r.component for r in QUERIES["box_components"](spark, sf_dir).collect()}
+    assert got == {(i, k): find(k) for i, k, *_ in boxes}
+
+
+def test_chain_of_boxes(spark):
+    boxes = [("a", 1, 0, 4), ("a", 2, 3, 7), ("a", 3, 6, 9), ("a", 4, 20, 22), ("a", 5, 20, 22), ("b", 6, 20, 22), ("a", 7, 5, 5)]
+    rows = spark.createDataFrame([(i, k, (lo, 0, hi, 2)) for i, k, lo, hi in boxes], "image string, instance long, box struct<x1:long,y1:long,x2:long,y2:long>")
+    got = {r.instance: r.component for r in mosaic.box_components(rows, "image").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+@pytest.mark.parametrize("name", ["y_flip_bounds", "raster_cover"])
+def test_polygons_are_kept_by_validity(spark, sf_dir, monkeypatch, name):
+    part = spark.createDataFrame([(k, 1 + k % 50) for k in range(1, 40)], "p_partkey long, p_size int")
+    monkeypatch.setattr(objects.b, "table", lambda *_: part)
+    shift = objects._polygons(spark, sf_dir).withColumn("p_partkey", F.col("p_partkey") + 1)
+    valid = {r.p_partkey for r in shift.filter(objects.geojson.validity(F.col("ring")) == "valid").collect()}
+    monkeypatch.setattr(objects, "_polygons", lambda *_: shift)
+    assert {r.p_partkey for r in QUERIES[name](spark, sf_dir).collect()} == valid != set()
