@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 
 def nearest_neighbours(points: DataFrame, k: int, cell: float, rings: int = 1, key: str = "point_id", block: str | None = None) -> DataFrame:
-    """For each point (key, x, y, z) its k nearest others within ``rings`` cells of size ``cell``: key, other, distance, rank.
+    """For each point (key, x, y, z) its k nearest others, fewer only if there are no more: key, other, distance, rank.
 
-    Points meet by an equi join on grid cells, so the work follows the density of the cloud; every
-    distance up to rings * cell is exact. ``block``: a column that must be equal. Ties: smaller key.
+    Points meet by an equi join on grid cells, so the work follows the density of the cloud. A search of ``rings``
+    cells of size ``cell`` is exact up to rings * cell; points that have fewer than k others there search again
+    with cells of twice the size, until the cells span the whole cloud. ``block``: a column that must be equal.
+    Ties: smaller key. Points with a coordinate that is null or not finite neither find nor are found.
     """
     axes = ("x", "y", "z")
-    home = points.withColumns({f"__g{a}": F.floor(F.col(a) / cell).cast("long") for a in axes})
+    finite = [F.abs(F.col(a)) < float("inf") for a in axes]
+    points = cut(points.filter(finite[0] & finite[1] & finite[2]).select(key, *([block] if block else []), *axes), "points")
+    ends = points.agg(*(F.max(a) - F.min(a) for a in axes)).first()
+    span = math.hypot(*(e or 0.0 for e in ends))
+    seekers, found = points, None
+    while True:
+        near = cut(_within(seekers, points, k, cell, rings, key, block), "near")
+        if rings * cell >= span:
+            return near if found is None else found.unionByName(near)
+        whole = near.filter(F.col("rank") == k).select(key)
+        near = near.join(whole, key, "left_semi")
+        found = near if found is None else found.unionByName(near)
+        seekers = cut(seekers.join(whole, key, "left_anti"), "seekers")
+        if seekers.isEmpty():
+            return found
+        cell *= 2
+
+
+def _within(seekers: DataFrame, points: DataFrame, k: int, cell: float, rings: int, key: str, block: str | None) -> DataFrame:
+    """The up to k nearest ``points`` of each of ``seekers`` at most rings * cell away: key, other, distance, rank."""
+    axes = ("x", "y", "z")
+    at = {f"__g{a}": F.floor(F.col(a) / cell).cast("long") for a in axes}
     side = F.sequence(F.lit(-rings), F.lit(rings))
-    seen = home
+    home, seen = points.withColumns(at), seekers.withColumns(at)
     for cell_axis in (f"__g{a}" for a in axes):
         seen = seen.withColumn("__d", F.explode(side)).withColumn(cell_axis, F.col(cell_axis) + F.col("__d")).drop("__d")
     on = [*(f"__g{a}" for a in axes), *([block] if block else [])]

@@ -6,7 +6,7 @@ import pytest
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
-from skytab.operators import mosaic
+from skytab.operators import mosaic, points
 from skytab.plans import QUERIES, SQL, objects
 from skytab.plans.objects import _INSTANCES
 
@@ -55,3 +55,20 @@ def test_polygons_are_kept_by_validity(spark, sf_dir, monkeypatch, name):
     valid = {r.p_partkey for r in shift.filter(objects.geojson.validity(F.col("ring")) == "valid").collect()}
     monkeypatch.setattr(objects, "_polygons", lambda *_: shift)
     assert {r.p_partkey for r in QUERIES[name](spark, sf_dir).collect()} == valid != set()
+
+
+@pytest.mark.parametrize("name", ["outlier_filter", "knn2_ratio"])
+def test_neighbours_without_a_radius(spark, con, sf_dir, name):
+    whole = SQL[name].replace(" WHERE distance <= 0.2", "")
+    assert "distance <= 0.2" not in whole
+    assert difference(QUERIES[name](spark, sf_dir), con, whole) is None
+
+
+def test_far_points_have_neighbours(spark):
+    xs = {1: 0.0, 2: 0.1, 3: 0.15, 4: 90.0, 5: -4000.0, 6: float("nan")}
+    rows = [(k, "a", x, 0.0, 0.0) for k, x in xs.items()] + [(7, "b", 0.0, 0.0, 0.0), (8, "b", 7.0, 0.0, 0.0), (9, "c", 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "point_id long, label string, x double, y double, z double")
+    got = {}
+    for r in points.nearest_neighbours(df, 2, 0.2, block="label").orderBy("point_id", "rank").collect():
+        got.setdefault(r.point_id, []).append((r.other, round(r.distance, 6)))
+    assert got == {1: [(2, 0.1), (3, 0.15)], 2: [(3, 0.05), (1, 0.1)], 3: [(2, 0.05), (1, 0.15)], 4: [(3, 89.85), (2, 89.9)], 5: [(1, 4000.0), (2, 4000.1)], 7: [(8, 7.0)], 8: [(7, 7.0)]}
