@@ -22,9 +22,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    kept = near_text.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near copies stays.
+
+    Where doc_ids are null or repeat, every row is a document by itself, under a number of its own, and the
+    row with the least doc_id of each group stays (rows without one come last).
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        kept = near_text.near_duplicates(docs).filter("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = near_text.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("least")
+    kept = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(least).select("least.__row")
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
