@@ -147,26 +147,28 @@ def detection_metrics(counts: DataFrame) -> DataFrame:
     return total.select(ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("dice"), ratio(F.col("s"), F.col("n")).alias("matched_mask_iou"), "tp", "fp", "fn")
 
 
-def assign_truths(detections: DataFrame, pairs: DataFrame, threshold: float, key: str) -> DataFrame:
-    """``detections`` (key, a, score) with hit: by descending score (ties: lower a), each takes its best free
-    truth b of ``pairs`` (key, a, b, mask_iou; ties: higher b) if that reaches the threshold.
+def assign_truths(detections: DataFrame, pairs: DataFrame, threshold: float | Column, *keys: str) -> DataFrame:
+    """``detections`` (keys, a, score) with hit: by descending score (ties: lower a), each takes its best free
+    truth b of ``pairs`` (keys, a, b, mask_iou; ties: higher b) if that reaches the threshold.
 
-    One key, an image, is settled by a small loop over its pairs; images are spread over tasks.
+    In each round every detection asks for its best truth left, and a truth drops all pairs with detections that
+    come after the first that asks for it, for they can never have it. When no pair is dropped, all have what the
+    loop in order of score would give them.
     """
-    rows = detections.select(key, "a", "score").join(pairs.filter(F.col("mask_iou") >= threshold).select(key, "a", "b", "mask_iou"), [key, "a"])
-    kinds = dict(rows.dtypes)
-
-    def settle(pdf):
-        used, hits = set(), []
-        for (_, a), own in pdf.sort_values(["score", "a"], ascending=[False, True]).groupby(["score", "a"], sort=False):
-            free = [(iou, b) for iou, b in zip(own["mask_iou"], own["b"]) if b not in used]
-            if free:
-                used.add(max(free)[1])
-                hits.append(a)
-        return pdf[[key, "a"]].drop_duplicates().loc[lambda d: d["a"].isin(hits)]
-
-    hits = rows.groupBy(key).applyInPandas(settle, f"{key} {kinds[key]}, a {kinds['a']}").withColumn("hit", F.lit(True))
-    return detections.join(hits, [key, "a"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    turn = F.struct(F.coalesce(-F.col("score"), F.lit(float("nan"))).alias("score"), "a")
+    left = pairs.filter(F.col("mask_iou") >= threshold).select(*keys, "a", "b", "mask_iou").join(detections.select(*keys, "a", turn.alias("turn")), [*keys, "a"])
+    left = cut(left, "asks")
+    n = left.count()
+    while True:
+        asks = left.groupBy(*keys, "a").agg(F.max(F.struct("mask_iou", "b")).alias("best"), F.min("turn").alias("turn"))
+        asks = asks.select(*keys, "a", F.col("best.b").alias("b"), "turn")
+        first = asks.groupBy(*keys, "b").agg(F.min("turn").alias("first"))
+        rest = cut(left.join(first, [*keys, "b"], "left").filter("first IS NULL OR turn <= first").drop("first"), "asks")
+        before, n, left = n, rest.count(), rest
+        if n == before:
+            break
+    hits = left.select(*keys, "a").distinct().withColumn("hit", F.lit(True))
+    return detections.join(hits, [*keys, "a"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def average_precision(assigned: DataFrame, n_truths: int, *order: str) -> float:

@@ -171,10 +171,10 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred, truth, pairs = _truth_pairs(spark, sf_dir)
     pred, pairs = cut(pred.withColumnRenamed("instance", "a"), "pred"), cut(pairs, "pairs")
     n = truth.count()
-    rows = []
-    for k in range(10):
-        threshold = round(0.05 + 0.02 * k, 2)
-        rows.append((threshold, round(det.average_precision(cut(det.assign_truths(pred, pairs, threshold, "image"), "assigned"), n, "image", "a"), 6)))
+    thresholds = [round(0.05 + 0.02 * k, 2) for k in range(10)]
+    each = lambda df: df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    assigned = cut(det.assign_truths(each(pred), each(pairs), F.col("threshold"), "threshold", "image"), "assigned")
+    rows = [(t, round(det.average_precision(assigned.filter(F.col("threshold") == t), n, "image", "a"), 6)) for t in thresholds]
     return spark.createDataFrame(rows, "threshold double, ap double")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
+from skytab.operators import detections as det
 from skytab.operators import mosaic, points
 from skytab.plans import QUERIES, SQL, objects
 from skytab.plans.objects import _INSTANCES
@@ -72,3 +75,21 @@ def test_far_points_have_neighbours(spark):
     for r in points.nearest_neighbours(df, 2, 0.2, block="label").orderBy("point_id", "rank").collect():
         got.setdefault(r.point_id, []).append((r.other, round(r.distance, 6)))
     assert got == {1: [(2, 0.1), (3, 0.15)], 2: [(3, 0.05), (1, 0.1)], 3: [(2, 0.05), (1, 0.15)], 4: [(3, 89.85), (2, 89.9)], 5: [(1, 4000.0), (2, 4000.1)], 7: [(8, 7.0)], 8: [(7, 7.0)]}
+
+
+def test_truths_are_assigned_in_rounds_of_joins(spark):
+    rng = random.Random(9)
+    dets = [(i, a, rng.randrange(8) / 8) for i in range(3) for a in range(20)]
+    ious = {(i, a, b): rng.randrange(10) / 10 for i, a, _ in dets for b in range(15) if rng.random() < 0.7}
+    detections, pairs = spark.createDataFrame(dets, "image int, a int, score double"), spark.createDataFrame([(*k, v) for k, v in ious.items()], "image int, a int, b int, mask_iou double")
+    for threshold in (0.0, 0.3, 0.8):
+        used, hits = set(), set()
+        for i, a, _ in sorted(dets, key=lambda d: (d[0], -d[2], d[1])):
+            free = [(v, b) for (j, c, b), v in ious.items() if (j, c) == (i, a) and v >= threshold and (i, b) not in used]
+            if free:
+                used.add((i, max(free)[1]))
+                hits.add((i, a))
+        assigned = det.assign_truths(detections, pairs, threshold, "image")
+        assert {(r.image, r.a) for r in assigned.filter("hit").collect()} == hits
+        assert "FlatMapGroupsInPandas" not in assigned._jdf.queryExecution().toString()
+    assert det.assign_truths(detections, pairs.limit(0), 0.3, "image").filter("hit").isEmpty()
