@@ -1,5 +1,5 @@
 """Lineage cuts, as the library has them."""
 
-from ..checkpoints import cut, shared_dir
+from ..checkpoints import cut, scratch, shared_dir
 
-__all__ = ["cut", "shared_dir"]
+__all__ = ["cut", "scratch", "shared_dir"]

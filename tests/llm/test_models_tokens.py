@@ -117,8 +117,8 @@ def test_ids_equal_the_json_form():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(f"{NAME}.json"))
-    t.encode_special_tokens = True
-    for text in TEXTS:
+    long = [" " * 1_000_000, "\n" * 1_000_000, "x" + " \t" * 30_000 + "y <|endoftext|>", "a" * 300_000]
+    for text in [*TEXTS, "a<|endoftext|>b", *long]:
         assert [*t.encode(text, add_special_tokens=False).ids, 0] == tokens.token_ids(text, NAME).tolist()
 
 
@@ -166,19 +166,28 @@ def test_permutation(n):
     assert sorted(a.tolist()) == list(range(n)) and (n < 10 or (a != b).any())
 
 
-def test_training_order_round_trip(spark, tmp_path):
+ORDER = tokens.Order(length=128, shard=64, tasks=5)
+
+
+@pytest.fixture(scope="module")
+def shards(spark, tmp_path_factory):
     texts, docs = documents(spark)
-    s = tokens.Order(length=128, shard=64, block=16)
-    path = str(tmp_path / "shards")
-    got = tokens.training_order(docs.repartition(3), s, path).toPandas().sort_values("slot")
-    assert got.slot.tolist() == list(range(len(got)))
-    assert (got.shard == got.slot // 64).all() and (got.byte_offset == got.slot % 64 * 256).all()
-    blocks = {r.first_slot: r for r in spark.read.parquet(path).collect()}
+    path = str(tmp_path_factory.mktemp("order"))
+    return texts, tokens.training_order(docs.repartition(3), ORDER, path).toPandas().sort_values("slot"), path
+
+
+def test_training_order_round_trip(spark, shards):
+    texts, got, path = shards
+    assert got.slot.tolist() == list(range(len(got))) and len(got) > 640
+    assert (got.shard == got.slot // 64).all() and (got.byte_offset == got.slot % 64 * 258).all()
+    files = {r.shard: r.path.removeprefix("file:") for r in tokens.shard_files(spark, path, ORDER).select("shard", "path").collect()}
+    assert sorted(files) == list(range(-(-len(got) // 64)))
     payload = {}
-    for first, r in blocks.items():
-        assert len(r.block) == r.n * 256 and r.n == len(r.slots)
-        payload |= {first + k: bytes(r.block[k * 256 : (k + 1) * 256]) for k in range(r.n)}
-    assert [zlib.crc32(payload[k]) for k in got.slot] == got.crc32.tolist()
+    for r in got.itertuples():  # any reader can seek to a slot
+        with open(files[r.shard], "rb") as f:
+            f.seek(r.byte_offset)
+            payload[r.slot] = f.read(256)
+            assert f.read(2) == b"\0\0" and zlib.crc32(payload[r.slot]) == r.crc32
     stream = {}
     for r in got.itertuples():
         stream.setdefault(r.part, []).append((r.place, np.frombuffer(payload[r.slot], "<u2")[: r.n_tokens]))
@@ -186,4 +195,36 @@ def test_training_order_round_trip(spark, tmp_path):
         order = list(dict.fromkeys(i for ids in own.doc_ids for i in ids))
         assert np.array_equal(np.concatenate([x for _, x in sorted(stream[part], key=lambda p: p[0])]), np.concatenate([tokens.token_ids(texts[i], NAME) for i in order]))
     assert set(np.concatenate(got.doc_ids.to_list())) == set(texts)
-    assert tokens.training_order(docs.limit(0), s).count() == 0
+
+
+def test_training_order_resumes(spark, shards):
+    """A reader that stops after a slot and starts again there has read every sequence once."""
+    _, got, path = shards
+    read = lambda slot: [(r.slot, zlib.crc32(r.ids)) for r in tokens.read_from(spark, path, slot, ORDER).orderBy("slot").collect()]
+    whole = read(0)
+    assert whole == list(zip(got.slot, got.crc32))
+    for stop in (1, 63, 64, 100, len(got) - 1):
+        assert whole[:stop] + read(stop) == whole
+    assert read(len(got)) == []
+
+
+def test_training_order_edges(spark, tmp_path):
+    _, docs = documents(spark)
+    assert tokens.training_order(docs.limit(0), ORDER, str(tmp_path)).count() == 0
+    rows = spark.createDataFrame([(None, "One. Two"), (7, None), (7, "three"), (7, "three")], "doc_id long, text string").coalesce(1)
+    got = tokens.training_order(rows, ORDER).collect()
+    assert len(got) == 1 and got[0].doc_ids == [None, 7, 7, 7]
+    packed = tokens.pack_documents(rows).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in packed) == [(0, 4), (7, 1), (7, 2), (7, 2)]
+
+
+def test_training_order_refuses_wide_ids(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "sentence_ends", lambda name: np.zeros(70_000, bool))
+    with pytest.raises(ValueError, match="two bytes"):
+        tokens.token_sequences(spark.createDataFrame([], "doc_id long, text string"))
+
+
+def test_long_white_space_packs(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 600_000 + "x")], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in tokens.pack_documents(docs).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    assert got == {k: len(tokens.token_ids(t, NAME)) for k, t in ((1, " " * 1_000_000), (2, "\n" * 600_000 + "x"))}
