@@ -23,7 +23,7 @@ def group(texts, s=near_text.Settings()):
         if w:
             sets[i] = Counter(tuple(w[k : k + s.width]) for k in range(max(1, len(w) - s.width + 1)))
     df, n = Counter(x for c in sets.values() for x in c), len(texts)
-    weight = {x: 1 + s.boost * np.log((1 + n) / (1 + k)) / np.log((n + 1) / 2) for x, k in df.items()}
+    weight = {x: 1 + s.boost * min(1.0, np.log(n / k) / np.log(1 / s.rare)) for x, k in df.items()}
     root = {i: i for i in texts}
 
     def find(x):
