@@ -103,6 +103,7 @@ def test_vectors_equal_brute_force(spark):
         rows.append((k, [float(np.float32(a)) for a in v], int(k % 60 % 3)))
     crowd = x[0] + rng.normal(size=(400, 64)) * 0.08  # one bucket with more rows than a block
     rows += [(1000 + k, [float(np.float32(a)) for a in v], 0) for k, v in enumerate(crowd)]
+    rows += [(2000 + k, rows[k % 7][1], rows[k % 7][2]) for k in range(300)]  # copies
     got = near_vectors.near_duplicate_vectors(spark.createDataFrame([(*r, "z") for r in rows], VECTORS), near_vectors.Settings(block=64)).collect()
     ids = np.array([r[0] for r in rows])
     unit = np.array([r[1] for r in rows])
@@ -125,10 +126,12 @@ def test_vectors_equal_brute_force(spark):
 
 def test_vectors_edges(spark):
     nan, one = float("nan"), [1.0, 0.0, 0.0]
-    rows = [(1, one, 1, ""), (2, one, 1, ""), (3, one, None, ""), (4, one, 2, ""), (5, None, 1, ""), (6, [0.0, 0.0, 0.0], 1, ""), (7, [nan, 0.0, 0.0], 1, ""), (8, [None, 1.0, 0.0], 1, ""), (9, [1.0, 0.0], 1, ""), (10, [], 1, ""), (2, one, 1, ""), (None, one, 1, ""), (11, [float("inf"), 0.0, 0.0], 1, "")]
+    rows = [(1, one, 1, ""), (2, one, 1, ""), (3, one, None, ""), (4, one, 2, ""), (5, None, 1, ""), (6, [0.0, 0.0, 0.0], 1, ""), (7, [nan, 0.0, 0.0], 1, ""), (8, [None, 1.0, 0.0], 1, ""), (9, [1.0, 0.0], 1, ""), (10, [], 1, ""), (2, one, 1, ""), (None, one, 1, ""), (11, [float("inf"), 0.0, 0.0], 1, ""), (12, [2e30, 0.0, 0.0], 5, ""), (13, [1e-30, 0.0, 0.0], 5, ""), (14, [1e30, 0.5e30, 0.0], 5, "")]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_duplicate_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
-    alone = {k: (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10, 11)}
-    assert got == {1: (1, 1, True), 2: (1, 1, False)} | alone
+    alone = {k: (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10, 11, 14)}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 12: (1, 12, True), 13: (1, 12, False)} | alone
+    huge = spark.createDataFrame([(1, [1e200, 0.0], 1), (2, [2e200, 1e199], 1), (3, [1e-200, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.component_id for r in near_vectors.near_duplicate_vectors(huge).collect()} == {1: 1, 2: 1, 3: 1}
     assert near_vectors.near_duplicate_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
