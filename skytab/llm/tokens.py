@@ -327,16 +327,18 @@ def write_training_order(sequences: DataFrame, path: str, settings: Order = Orde
             yield pa.RecordBatch.from_arrays([pa.array(slots(batch)), *batch.columns], ["slot", *batch.schema.names])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(3).compress
+        squeeze = zstandard.ZstdCompressor(5, dict_data=zstandard.ZstdCompressionDict(common)).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(slots(batch)), pa.array([squeeze(x.as_py()) for x in batch.column(2)], pa.binary())], ["slot", "payload"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = zstandard.ZstdDecompressor().decompress
+        whole = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(common)).decompress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([whole(x.as_py()) for x in batch.column(1)], pa.binary())], ["payload"])
 
     if total:
+        # rows are squeezed one by one for the shuffle, with the bytes of some others as their dictionary
+        common = b"".join(r[0] for r in sequences.select("payload").limit(64).collect())
         dealt = sequences.select("part", "place", "payload").mapInArrow(deal, "slot long, payload binary")
         task = (F.col("slot") / F.lit(s.shard * each)).cast("int")
         dealt = dealt.repartitionById(-(-shards // each), task).sortWithinPartitions("slot")
