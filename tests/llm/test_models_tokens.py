@@ -73,13 +73,21 @@ def test_toxicity_held_out(spark, toxic_model):
 
 def test_toxicity_tolerates_gaps(spark, toxic_model):
     _, _, model = toxic_model
-    texts = ["the i.d.i.o.t and on", "the IDIOT!", "the id-iot wh", "the idxiot on", "the mo_ron er", "i d i o t", "the hand station winger", None, "", "!!! ???", "sure"]
-    rows = [(k, t, None, "") for k, t in enumerate(texts)]
-    scored = toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), model).collect()
-    got, score = {r.doc_id: r.predicted for r in scored}, {r.doc_id: r.score for r in scored}
-    assert [got[k] for k in (0, 1, 2, 4, 5)] == [1] * 5
-    assert [got[k] for k in range(6, 11)] == [0] * 5
-    assert score[3] > max(score[k] for k in range(6, 11))  # a strange letter within costs some of the margin
+    toxic = ["the i.d.i.o.t and on", "the IDIOT!", "the id-iot wh", "the mo_ron er", "i d i o t", "the idxiot on", "morxon", "on ha scumxbag re", "ididot wh"]
+    clean = ["the hand station winger", None, "", "!!! ???", "sure", "er", "on", "handing the ston and"]
+    rows = [(k, t, None, "") for k, t in enumerate([*toxic, *clean])]
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert [got[k] for k in range(len(rows))] == [1] * len(toxic) + [0] * len(clean)
+
+
+def test_toxicity_repeated_ids(spark, toxic_model):
+    """Rows that share a doc_id are as many as before, in training and in scores; contradicting labels are toxic."""
+    docs, labels, _ = toxic_model
+    twice = docs.unionByName(docs.filter("doc_id < 50")).unionByName(docs.filter("doc_id < 50"))
+    more = labels.union(spark.createDataFrame([(5, 0), (None, 1), (7, 3)], "doc_id long, toxic int"))
+    model = toxicity.train_toxicity_model(twice, more)
+    got = toxicity.score_toxicity(twice, model)
+    assert got.count() == 700 and got.join(labels, "doc_id").filter("predicted <> toxic").count() < 20
 
 
 def test_toxicity_edges(spark, toxic_model):
@@ -97,15 +105,40 @@ def test_kernel_equals_plain_subsequences():
     from itertools import combinations
 
     s = toxicity.Settings()
-    (codes, x), = toxicity._features(["abcabd"], s)
-    word, plain = "\x02abcabd\x03", {}
-    for c in combinations(range(len(word)), 4):
-        if c[-1] - c[0] < s.span:
-            u = "".join(word[i] for i in c)
-            plain[u] = plain.get(u, 0) + s.decay ** (c[-1] - c[0] - 3)
-    norm = sum(v * v for v in plain.values()) ** 0.5
-    code = lambda u: (ord(u[0]) << 48) | (ord(u[1]) << 32) | (ord(u[2]) << 16) | ord(u[3])
-    assert {int(k): pytest.approx(v, rel=1e-5) for k, v in zip(codes, x)} == {code(u): v / norm for u, v in plain.items()}
+    names = ["abcabd", "x", "\U0001F600b\U0001F601"]
+    found = toxicity._features(names, s)
+
+    def code(u):
+        out = 0
+        for c in u:
+            out = (out * int(toxicity._BASE) + ord(c)) % (1 << 64)
+        return out
+
+    for k, name in enumerate(names):
+        word, plain = f"\x02{name}\x03", {}
+        for c in combinations(range(len(word)), 4):
+            if c[-1] - c[0] < s.span:
+                u = "".join(word[i] for i in c)
+                plain[code(u)] = plain.get(code(u), 0) + s.decay ** (c[-1] - c[0] - 3)
+        norm = sum(v * v for v in plain.values()) ** 0.5
+        own = slice(found.start[k], found.start[k + 1])
+        assert {int(u): pytest.approx(v, rel=1e-5) for u, v in zip(found.codes[own], found.values[own])} == {u: v / norm for u, v in plain.items()}
+
+
+def test_scores_equal_plain_margins(spark, toxic_model):
+    """A text's score from the definition: kernel sums of its two best words over the landmarks' gains, and its size."""
+    docs, _, m = toxic_model
+    texts = {r.doc_id: r.text for r in docs.limit(40).collect()}
+    gain = dict(zip(m.codes.tolist(), m.gain.tolist()))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, m).collect()}
+    for k, text in texts.items():
+        margins = []
+        for w in sorted(toxicity.words(text)):
+            f = toxicity._features([w], m.settings)
+            margins.append(m.bias + max(0.0, sum(v * gain.get(int(u), 0.0) for u, v in zip(f.codes, f.values))))
+        first, second = sorted(margins)[:-3:-1]
+        z = m.slope @ [min(max(first, -2), 3), min(max(second, m.floor, -2), 3), max(np.log1p(len(margins)), np.log1p(4))] + m.shift
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
 
 NAME = "byte_bpe_50k"
