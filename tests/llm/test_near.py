@@ -135,6 +135,22 @@ def test_vectors_edges(spark):
     assert near_vectors.near_duplicate_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_wider_tables_for_more_vectors():
+    s = near_vectors.Settings()
+    assert s.sized(1000) == s and s.sized(1 << 17) == s
+    wide = s.sized(1 << 25)
+    assert (wide.bits, wide.tables) == (29, 2) and wide.probes > s.probes
+    rng = np.random.default_rng(8)
+    x = near_vectors._unit(rng.normal(size=(3000, 64)))
+    e = rng.normal(size=x.shape)
+    e = near_vectors._unit(e - (e * x).sum(1)[:, None] * x)
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * e
+    for t, least in ((s, 0.999), (wide, 0.985)):
+        rotation = near_vectors.learn_rotation(x, t)
+        a, b = near_vectors.lookups(x, rotation, t), near_vectors.lookups(y, rotation, t)
+        assert ((a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)).any(1).mean() >= least
+
+
 def test_codes_are_balanced():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4000, 32)) * np.linspace(3, 0.2, 32)
