@@ -22,13 +22,13 @@ SLOTS = 4
 @dataclass(frozen=True)
 class Settings:
     """min_chars: code points of a key that counts. min_docs: documents from which on it is dropped.
-    shard_keys: keys a shard is planned for. broadcast_bytes: filters larger than this in all are
-    not broadcast; lines then go to the exact join without a filter before it."""
+    shard_keys: keys a shard is planned for. piece: postings that meet a copy of a shard's filter at
+    once, so that a shard with a very common line is dealt out. load: of a new filter."""
 
     min_chars: int = 20
     min_docs: int = 3
     shard_keys: int = 20_000
-    broadcast_bytes: int = 16 << 20
+    piece: int = 50_000
     load: float = 0.85
 
 
@@ -127,6 +127,9 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(shards)).cast("int").alias("shard")
 
 
+FILTERS = "shard int, cuckoo binary, spare long"
+
+
 def _refilter(filters: DataFrame, change: DataFrame, shards: int, s: Settings) -> DataFrame:
     """Filters after the changes (key, added): keys come in where added, go out otherwise."""
 
@@ -138,16 +141,17 @@ def _refilter(filters: DataFrame, change: DataFrame, shards: int, s: Settings) -
         out.remove(pdf["mark"][~pdf["added"]].to_numpy(np.int64))
         out.insert(pdf["mark"][pdf["added"]].to_numpy(np.int64))
         shard = (old if len(old) else pdf)["shard"].iloc[0]
-        return pd.DataFrame({"shard": [shard], "cuckoo": [out.to_bytes()]})
+        return pd.DataFrame({"shard": [shard], "cuckoo": [out.to_bytes()], "spare": [len(out.spare)]})
 
     change = change.select(_shard(shards), F.xxhash64("key").alias("mark"), "added")
-    return filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(update, "shard int, cuckoo binary")
+    return filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(update, FILTERS)
 
 
 @dataclass(frozen=True)
 class LineStore:
     """State of incremental line dedup, as tables: postings (doc_id, key), counts (key, n_docs,
-    last_doc) and filters (shard, cuckoo) over the keys that are to be dropped."""
+    last_doc) and filters (shard, cuckoo, spare) over the keys that are to be dropped. A filter that
+    no longer takes a key is built again, larger, from the counts."""
 
     postings: DataFrame
     counts: DataFrame
@@ -183,33 +187,49 @@ class LineStore:
         least = self.settings.min_docs
         change = merged.filter((F.col("before") >= least) != (F.col("n_docs") >= least)).select("key", (F.col("n_docs") >= least).alias("added"))
         filters = cut(_refilter(self.filters, change, self.shards, self.settings), "filters")
+        full = filters.filter("spare > 0").select("shard")
+        if not full.isEmpty():
+            keys = merged.filter(F.col("n_docs") >= least).select("key", F.lit(True).alias("added"), _shard(self.shards)).join(full, "shard", "left_semi")
+            again = _refilter(filters.limit(0), keys, self.shards, self.settings)
+            filters = cut(filters.filter("spare = 0").union(again), "filters")
         return LineStore(postings, merged.filter("n_docs > 0").drop("before"), filters, self.shards, self.settings)
 
     def droppable(self, postings: DataFrame) -> DataFrame:
-        """Of postings, those (doc_id, key) whose lines go. Filters are broadcast after a size check,
-        so that most lines never reach the exact join; beyond the bound all of them go there."""
-        size = self.filters.agg(F.sum(F.length("cuckoo"))).first()[0] or 0
-        found = self._probe(postings) if size <= self.settings.broadcast_bytes else postings
+        """Of postings, those (doc_id, key) whose lines go: what the filters let through, joined with the exact counts."""
         frequent = cut(self.counts.filter(F.col("n_docs") >= self.settings.min_docs), "frequent")
-        return cut(found, "found").join(frequent, "key").filter("doc_id < last_doc").select("doc_id", "key")
+        return cut(self.probe(postings), "found").join(frequent, "key").filter("doc_id < last_doc").select("doc_id", "key")
 
-    def _probe(self, postings: DataFrame) -> DataFrame:
-        filters = {r["shard"]: bytes(r["cuckoo"]) for r in self.filters.collect()}
-        shared = postings.sparkSession.sparkContext.broadcast(filters)
+    def probe(self, postings: DataFrame) -> DataFrame:
+        """The postings whose key may be in the filter of its shard. Filters go to the tasks that hold their
+        shard's postings, ahead of them; a shard of many postings is dealt out in pieces, each with a copy."""
+        s = self.settings
+        marked = postings.select("doc_id", "key", _shard(self.shards), F.xxhash64("key").alias("mark"))
+        pieces = cut(marked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / s.piece).cast("int").alias("pieces")), "pieces")
+        marked = marked.join(pieces, "shard").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
+        copies = self.filters.join(pieces, "shard").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        blank = F.lit(None)
+        rows = copies.select("shard", "piece", "cuckoo", blank.cast("long").alias("doc_id"), blank.cast("binary").alias("key"), blank.cast("long").alias("mark"))
+        rows = rows.union(marked.select("shard", "piece", blank.cast("binary").alias("cuckoo"), "doc_id", "key", "mark"))
+        rows = rows.repartition("shard", "piece").sortWithinPartitions("shard", "piece", F.col("cuckoo").isNull())
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = {k: Cuckoo.from_bytes(x) for k, x in shared.value.items()}
+            place, held = None, None
             for batch in batches:
-                shard, mark = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                hit = np.zeros(len(batch), bool)
-                for k in np.unique(shard):
-                    if k in held:
-                        at = np.flatnonzero(shard == k)
-                        hit[at] = held[k].may_hold(mark[at])
-                yield batch.select([0, 1]).filter(pa.array(hit))
-
-        marked = postings.select("doc_id", "key", _shard(self.shards), F.xxhash64("key").alias("mark"))
-        return marked.mapInArrow(test, postings.schema)
+                at = np.stack([batch.column(k).to_numpy() for k in (0, 1)], 1)
+                edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(batch)]
+                for a, b in zip(edges, edges[1:]):
+                    if b == a:
+                        continue
+                    part, here = batch.slice(a, b - a), tuple(at[a].tolist())
+                    if here != place:
+                        place, held = here, None
+                    if part.column(2)[0].is_valid:
+                        held = Cuckoo.from_bytes(part.column(2)[0].as_py())
+                        part = part.slice(1)
+                    if held is not None and len(part):
+                        yield part.select([3, 4]).filter(pa.array(held.may_hold(part.column(5).to_numpy())))
+
+        return rows.mapInArrow(test, postings.schema)
 
 
 def line_store(docs: DataFrame, settings: Settings = Settings()) -> LineStore:
@@ -218,7 +238,7 @@ def line_store(docs: DataFrame, settings: Settings = Settings()) -> LineStore:
     counts = cut(count_references(postings), "counts")
     frequent = counts.filter(F.col("n_docs") >= settings.min_docs).select("key", F.lit(True).alias("added"))
     shards = max(1, -(-frequent.count() // settings.shard_keys))
-    none = docs.sparkSession.createDataFrame([], "shard int, cuckoo binary")
+    none = docs.sparkSession.createDataFrame([], FILTERS)
     return LineStore(postings, counts, cut(_refilter(none, frequent, shards, settings), "filters"), shards, settings)
 
 

@@ -54,8 +54,28 @@ def test_lines_edges(spark):
     assert lines.dedup_lines(frame(spark, DOCS).limit(0)).count() == 0
 
 
-def test_without_filters_the_same(spark):
-    assert result(lines.dedup_lines(frame(spark, DOCS), lines.Settings(broadcast_bytes=-1))) == dedup(DOCS)
+def test_filters_take_rows_away(spark):
+    """Few postings of rare lines pass the filters, and no posting of a frequent one is lost, in pieces and shards too."""
+    rows = [(k, "\n".join([f"a line of its own, number {k}", f"a line that many share {k % 5}"]), "", "") for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    store = lines.line_store(docs, lines.Settings(piece=60, shard_keys=2))
+    assert store.shards == 3 and store.postings.count() == 800
+    passed = store.probe(store.postings)
+    frequent = store.counts.filter("n_docs >= 3").select("key")
+    assert passed.join(frequent, "key", "left_semi").count() == 400
+    assert passed.count() < 420
+    assert store.droppable(store.postings).count() == 395
+
+
+def test_filters_grow(spark):
+    """A store built small and filled later keeps no list of keys that its filters cannot take."""
+    text = lambda k: (k, f"a line that three documents share {k // 3}", "", "")
+    small = lines.line_store(spark.createDataFrame([text(k) for k in range(3)], SCHEMA), lines.Settings(shard_keys=64))
+    grown = small.insert(spark.createDataFrame([text(k) for k in range(3, 1500)], SCHEMA))
+    assert {r.spare for r in grown.filters.collect()} == {0}
+    assert grown.droppable(grown.postings).count() == 1000
+    huge = spark.createDataFrame([(k, "x" * 2_000_000 + "\n" + LONG, "", "") for k in range(3)], SCHEMA)
+    assert [r.n_dropped for r in lines.dedup_lines(huge).orderBy("doc_id").collect()] == [2, 2, 0]
 
 
 def test_store_is_reversible(spark):
