@@ -17,13 +17,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled documents the model is fitted on at most, those with the smallest hashes.
-    sample_bytes: bytes in which a sampled text's subwords are counted at most, taken as evenly spaced
-    pieces of the whole text (prediction reads whole texts). buckets, dim: of the embedding table.
-    keep_precision: precision that accepted predictions reach on the calibration part."""
+    """sample: labelled documents the model is fitted on at most, those with the smallest hashes, their
+    whole texts. buckets, dim: of the embedding table. keep_precision: precision that accepted predictions reach on the calibration part."""
 
     sample: int = 4000
-    sample_bytes: int = 4096
     buckets_bits: int = 14
     dim: int = 16
     epochs: int = 12
@@ -64,6 +61,14 @@ def subwords(data: np.ndarray, at: np.ndarray, i: int, j: int, bits: int) -> tup
     return np.concatenate(out), np.concatenate(rows)
 
 
+def parts(at: np.ndarray, i: int, j: int) -> list[tuple[np.ndarray, int, int]]:
+    """Rows i to j in one, or a long row in overlapping parts, so that no run of bytes is lost: offsets and rows for ``subwords``."""
+    if j - i > 1 or at[j] - at[i] <= 1 << 21:
+        return [(at, i, j)]
+    ends = range(int(at[i]), int(at[j]), 1 << 20)
+    return [(np.array([p, min(p + (1 << 20) + 3, at[j])]), 0, 1) for p in ends]
+
+
 def logits(column: pa.Array, model: Model) -> np.ndarray:
     """Mean logits of whole texts."""
     data, at = utf8(column)
@@ -71,9 +76,7 @@ def logits(column: pa.Array, model: Model) -> np.ndarray:
     for i, j in row_slices(at, 1 << 19):
         n = j - i
         total, count = np.zeros((n, out.shape[1])), np.zeros(n)
-        # a long row is read in parts; parts overlap so that no run of bytes is lost
-        parts = [(at, i, j)] if n > 1 or at[j] - at[i] <= 1 << 21 else [(np.array([p, min(p + (1 << 20) + 3, at[j])]), 0, 1) for p in range(int(at[i]), int(at[j]), 1 << 20)]
-        for edges, a, b in parts:
+        for edges, a, b in parts(at, i, j):
             bucket, row = subwords(data, edges, a, b, model.bits)
             count += np.bincount(row, minlength=n)
             for k in range(out.shape[1]):
@@ -133,33 +136,32 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings) -> Model |
 
 
 def train_language_model(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
-    """Fit on rows (doc_id, text, lang); rows without a lang or text are left out. At most ``sample`` rows,
-    with at most ``sample_bytes`` of each, reach the driver, as counts of hashed subwords."""
+    """Fit on rows (doc_id, text, lang); rows without a lang or text are left out, repeated rows count once.
+    Of at most ``sample`` rows the counts of hashed subwords, one for each bucket at most, reach the driver."""
     s = settings
-    rows = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null and length(text) > 0")
-    rows = rows.orderBy(F.crc32(F.concat_ws(":", F.lit("sample"), "doc_id").cast("binary")), "doc_id").select("doc_id", "lang").limit(s.sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most ``sample`` slim rows
+    key = [F.crc32(F.concat_ws(":", F.lit("sample"), "doc_id").cast("binary")).alias("h"), F.xxhash64("doc_id", "lang", "text").alias("row")]
+    rows = docs.select("doc_id", "lang", "text", *key).filter("lang is not null and text is not null and length(text) > 0")
+    chosen = rows.select("h", "row").distinct().orderBy("h", "row").limit(s.sample)
+    sampled = rows.join(F.broadcast(chosen), ["h", "row"])  # at most ``sample`` rows of two numbers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = utf8(batch.column(1))
+            data, at = utf8(batch.column(3))
             buckets, counts = [], []
             for k in range(len(batch)):
-                lo, hi = int(at[k]), int(at[k + 1])
-                step = max(1, -(-(hi - lo) // s.sample_bytes))  # every step-th piece of 256 bytes
-                ends = [p for p in range(lo, hi, 256 * step)]
-                piece = np.concatenate([data[p : min(p + 256, hi)] for p in ends]) if ends else data[:0]
-                bucket, _ = subwords(piece, np.array([0, len(piece)]), 0, 1, s.buckets_bits)
-                b, c = np.unique(bucket, return_counts=True)
-                buckets.append(b.astype(np.int32))
-                counts.append(c.astype(np.int32))
+                total = np.zeros(1 << s.buckets_bits, np.int64)
+                for edges, a, b in parts(at, k, k + 1):
+                    total += np.bincount(subwords(data, edges, a, b, s.buckets_bits)[0], minlength=len(total))
+                buckets.append(np.flatnonzero(total).astype(np.int32))
+                counts.append(total[buckets[-1]].astype(np.int32))
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(buckets, kind), pa.array(counts, kind)], ["doc_id", "lang", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(buckets, kind), pa.array(counts, kind)], ["h", "row", "lang", "buckets", "counts"])
 
-    got = texts.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(count, "doc_id long, lang string, buckets array<int>, counts array<int>").toArrow()
+    counted = sampled.select("h", "row", "lang", "text").mapInArrow(count, "h long, row long, lang string, buckets array<int>, counts array<int>")
+    got = counted.dropDuplicates(["h", "row"]).toArrow()
     order = np.lexsort((got.column(1).to_numpy(), got.column(0).to_numpy()))
-    langs, buckets, counts = (got.column(k) for k in (1, 2, 3))
-    return fit([(langs[k].as_py(), np.array(buckets[k].as_py(), np.int64), np.array(counts[k].as_py(), np.float64)) for k in order.tolist()], s)
+    langs, buckets, counts = (got.column(k) for k in (2, 3, 4))
+    return fit([(langs[k].as_py(), buckets[k].values.to_numpy().astype(np.int64), counts[k].values.to_numpy().astype(np.float64)) for k in order.tolist()], s)
 
 
 def identify_language(docs: DataFrame, model: Model | None) -> DataFrame:

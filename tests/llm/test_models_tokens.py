@@ -43,6 +43,74 @@ def test_language_edges(spark):
     assert language.identify_language(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rows that repeat a doc_id do not multiply; at most ``sample`` rows are fitted on."""
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda rows, s: seen.append(len(rows)))
+    rows = [(k % 2, r[1], r[2], "") for k, r in enumerate(sample_docs(40))]
+    docs = spark.createDataFrame([*rows, *rows, (0, None, "en", "")], DOCS)
+    language.train_language_model(docs)
+    language.train_language_model(docs, language.Settings(sample=7))
+    assert seen == [40, 7]
+
+
+def test_logits_equal_plain_sums():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    m = language.Model(["a", "b", "c"], rng.normal(size=(1 << 10, 3)).astype(np.float32), np.array([0.1, 0.2, 0.3]), 1.0, 0.0, 10)
+    texts = ["Ab", "", "hello World", "é ß", "x" * 50]
+
+    def bucket(run):
+        code, salt = int.from_bytes(run, "big"), int(language._SALT[len(run) - 2])
+        h = np.array([(code * salt + len(run)) % (1 << 64)], np.uint64)
+        return int(language.mix(h)[0] >> np.uint64(54))
+
+    for text, got in zip(texts, language.logits(pa.array(texts), m)):
+        b = "".join(c.lower() if c.isascii() else c for c in text).encode()
+        runs = [b[i : i + n] for n in (2, 3, 4) for i in range(len(b) - n + 1)]
+        plain = sum((m.table[bucket(r)].astype(float) for r in runs), np.zeros(3)) / max(len(runs), 1) + m.bias
+        assert np.allclose(got, plain, atol=1e-5)
+    long = texts[2] * 300_000  # read in parts
+    part = language.logits(pa.array([texts[2] * 3000]), m)
+    assert np.allclose(language.logits(pa.array([long]), m), part, atol=1e-3)
+
+
+def test_fit_equals_plain_descent():
+    """The minibatch steps of the fit, written out document by document and bucket by bucket."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(23):
+        b = np.sort(rng.choice(16, 4, replace=False))
+        rows.append((["x", "y"][k % 2], b, rng.integers(1, 5, 4).astype(float)))
+    s = language.Settings(buckets_bits=4, dim=3, epochs=2, batch=4)
+    model = language.fit(rows, s)
+    rng = np.random.default_rng(s.seed)
+    emb, out, bias = rng.normal(0, 0.1, (16, 3)), np.zeros((3, 2)), np.zeros(2)
+    train = np.array([k for k in range(23) if k % 5 != 4])
+    for epoch in range(2):
+        rate = s.rate * (1 - epoch / 2)
+        rng.shuffle(train)
+        for lo in range(0, len(train), 4):
+            back, d_out, d_bias = [], np.zeros((3, 2)), np.zeros(2)
+            batch = train[lo : lo + 4]
+            for k in batch:
+                share = rows[k][2] / rows[k][2].sum()
+                h = sum(w * emb[b] for w, b in zip(share, rows[k][1]))
+                e = np.exp(h @ out + bias)
+                g = e / e.sum()
+                g[k % 2] -= 1
+                d_out += np.outer(h, g)
+                d_bias += g / len(batch)
+                back.append((k, share, out @ g))
+            out -= rate * d_out
+            bias -= rate * 0.1 * d_bias
+            for k, share, d in back:
+                for w, b in zip(share, rows[k][1]):
+                    emb[b] -= rate * 8 * w * d
+    assert np.allclose(model.table, emb @ out, atol=1e-5) and np.allclose(model.bias, bias)
+
+
 def toxic_docs(n, seed=2):
     rng = random.Random(seed)
     syl = "the ing tion and wh ly st er on ha re".split()
