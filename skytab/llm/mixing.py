@@ -17,17 +17,19 @@ class Settings:
     """targets: for a margin, a map of value to share; values it lacks share what is left by their
     tokens. Without a map the target share of a value is its token share to the power of
     ``flatten`` (1 leaves the mix as it is, 0 makes all values equal). budget: share of all tokens to
-    be kept in expectation. rounds: rounds of iterative proportional fitting over the margins."""
+    be kept in expectation. rounds: rounds of iterative proportional fitting over the margins, fewer if
+    every value comes within the share ``tolerance`` of its target."""
 
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
     flatten: tuple[tuple[str, float], ...] = (("source", 0.9), ("lang", 0.9), ("topic", 0.95))
     budget: float = 0.9
     rounds: int = 6
+    tolerance: float = 1e-9
     seed: int = 23
 
 
-def form_topic(text: Column) -> Column:
-    """A topic by form, where a table brings none: table, marked, shouted, list, brief or prose."""
+def text_form(text: Column) -> Column:
+    """The form of a text, which stands in for a topic where a table brings none: table, marked, shouted, list, brief or prose."""
     n = F.length(text)
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
     return (
@@ -64,7 +66,8 @@ def _target(cells: DataFrame, margin: str, s: Settings) -> DataFrame:
 
 
 def rake(cells: DataFrame, s: Settings) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with weight: tokens scaled by turns until each margin meets its target.
+    """``cells`` (source, lang, topic, tokens) with weight: tokens scaled by turns until each margin meets
+    its target, and margin_error: the largest share by which a value of any margin still misses it.
 
     The cells are as many as combinations of values occur. Each step is one aggregate joined back, and
     its result is written: plans stay small and alike, whatever the rounds, and so does what the
@@ -74,12 +77,22 @@ def rake(cells: DataFrame, s: Settings) -> DataFrame:
     for m in MARGINS:
         fitted = fitted.join(_target(cells, m, s).withColumnRenamed("target", f"target_{m}"), m)
     fitted = cut(fitted.select(*MARGINS, "tokens", "weight", *(f"target_{m}" for m in MARGINS)), "raked")
+    error = margin_error(fitted)
     for _ in range(s.rounds):
+        if error <= s.tolerance:
+            break
         for m in MARGINS:
             now = fitted.groupBy(m).agg(F.sum("weight").alias("now"))
             weight = F.when(F.col("now") > 0, F.col("weight") * F.col(f"target_{m}") / F.col("now")).otherwise(F.lit(0.0))
             fitted = cut(fitted.join(now, m).select(*(weight.alias(c) if c == "weight" else F.col(c) for c in fitted.columns)), "raked")
-    return fitted.select(*MARGINS, "tokens", "weight")
+        error = margin_error(fitted)
+    return fitted.select(*MARGINS, "tokens", "weight", F.lit(error).alias("margin_error"))
+
+
+def margin_error(fitted: DataFrame) -> float:
+    """The largest |weight / target - 1| of all values of all margins (0 for no cells; a target of 0 is met by nothing else)."""
+    off = [fitted.groupBy(m).agg((F.abs(F.sum("weight") / F.nullif(F.max(f"target_{m}"), F.lit(0.0)) - 1)).alias("off")).select("off") for m in MARGINS]
+    return off[0].union(off[1]).union(off[2]).agg(F.max("off")).first()[0] or 0.0
 
 
 def calibrate(fitted: DataFrame, s: Settings) -> DataFrame:
@@ -103,8 +116,8 @@ def calibrate(fitted: DataFrame, s: Settings) -> DataFrame:
 
 def mix_sources(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` (doc_id, text, source, lang, any others, topic among them or else taken from the form
-    of the text) with tokens, topic, weight (target tokens for each token of its cell),
-    probability and selected.
+    of the text) with tokens, topic, weight (target tokens for each token of its cell), probability,
+    margin_error (how far the raked margins still are from their targets) and selected.
 
     Token counts of the cells source x language x topic are raked to the three margins; a document is
     selected when the hash of its doc_id, uniform over [0, 1), lies below the probability of its cell.
@@ -113,17 +126,17 @@ def mix_sources(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Null sources, languages and topics are values of their own (empty strings); null or empty texts
     count one token; repeated rows share their fate; an empty table gives no rows. Columns named
-    tokens, weight, probability or selected are replaced. Only DataFrame functions run.
+    tokens, weight, probability, margin_error or selected are replaced. Only DataFrame functions run.
     """
     s = settings
-    kept = [c for c in docs.columns if c not in ("tokens", "topic", "weight", "probability", "selected")]
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else form_topic(F.col("text"))
+    kept = [c for c in docs.columns if c not in ("tokens", "topic", "weight", "probability", "margin_error", "selected")]
+    topic = F.col("topic").cast("string") if "topic" in docs.columns else text_form(F.col("text"))
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(*kept, token_count(F.col("text")).alias("tokens"), F.coalesce(topic, F.lit("")).alias("topic"), value("source").alias("__source"), value("lang").alias("__lang"))
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     cells = cut(cells, "cells")
     fitted = cut(calibrate(rake(cells, s), s), "cells")
-    fitted = fitted.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), "topic", (F.col("weight") / F.col("tokens")).alias("weight"), "probability")
+    fitted = fitted.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), "topic", (F.col("weight") / F.col("tokens")).alias("weight"), "probability", "margin_error")
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(s.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     out = rows.join(fitted, ["__source", "__lang", "topic"])
-    return out.select(*kept, "tokens", "topic", "weight", "probability", (draw < F.col("probability")).alias("selected"))
+    return out.select(*kept, "tokens", "topic", "weight", "probability", "margin_error", (draw < F.col("probability")).alias("selected"))

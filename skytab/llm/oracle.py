@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from . import mixing, quality
 
+#: What op6 is asked for: four sources to be raised, English to be lowered, and more running prose.
+MIX = mixing.Settings(
+    targets={"source": {"src1": 0.1, "src3": 0.08, "src10": 0.08, "src15": 0.06}, "lang": {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.15}, "topic": {"prose": 0.8}},
+    budget=0.5,
+    rounds=8,
+)
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -47,31 +54,44 @@ m AS (SELECT *, {share("n_symbols", "word_chars")} AS symbol_share, {share("n_re
   {share("upper", "word_chars")} AS upper_share, {share("marks", "word_chars")} AS mark_share FROM base),
 held AS (SELECT * FROM m WHERE n_words >= {s.min_words} AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 counts AS ({counts}),
-tail AS (SELECT *, CASE WHEN k > n * {s.risk!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({s.risk!r}::DOUBLE) + (n - i) * ln(1 - {s.risk!r}::DOUBLE)))) END AS p FROM counts),
-stop AS (SELECT stratum, rule, coalesce(min(step) FILTER (WHERE p > {s.error!r}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM held) * {len(s.grids)})), 999) AS stop FROM tail GROUP BY stratum, rule),
+level AS (SELECT {s.error!r}::DOUBLE / (count(DISTINCT stratum) * {len(s.grids)}) AS e FROM held),
+asked AS (SELECT *, greatest({s.risk!r}::DOUBLE, 1 - exp(ln(e) / n)) AS r FROM counts, level),
+tail AS (SELECT *, CASE WHEN r > {s.most_risk!r}::DOUBLE OR k > n * r THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(r) + (n - i) * ln(1 - r)))) END AS p FROM asked),
+stop AS (SELECT stratum, rule, coalesce(min(step) FILTER (WHERE p > e * (1 + 1e-9)), 999) AS stop FROM tail GROUP BY stratum, rule),
 cut AS (SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM tail JOIN stop USING (stratum, rule) WHERE step < stop GROUP BY stratum, rule),
 cuts AS (SELECT stratum, {cuts} FROM cut GROUP BY stratum),
 judged AS (SELECT *, n_words < {s.min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m LEFT JOIN cuts USING (stratum))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({verdict}) AS kept FROM judged"""
 
 
-def _mixing(s: mixing.Settings = mixing.Settings()) -> str:
-    power = dict(s.flatten)
-    targets = "".join(f", t_{m} AS (SELECT {m}, pow(v, {power[m]!r}::DOUBLE) * (SELECT sum(tokens) FROM cells) / sum(pow(v, {power[m]!r}::DOUBLE)) OVER () AS target FROM (SELECT {m}, sum(tokens)::DOUBLE AS v FROM cells GROUP BY {m}))" for m in mixing.MARGINS)
+def _mixing(s: mixing.Settings = MIX) -> str:
+    def share(m: str) -> str:
+        """What a value of a margin weighs, before it is scaled: given shares, and what is left in proportion to the tokens."""
+        given = s.targets.get(m, {})
+        if not given:
+            return f"pow(v, {dict(s.flatten)[m]!r}::DOUBLE) / sum(pow(v, {dict(s.flatten)[m]!r}::DOUBLE)) OVER ()"
+        names = ", ".join(f"'{k}'" for k in given)
+        found = f"sum(CASE {' '.join(f"WHEN {m} = '{k}' THEN {v!r}::DOUBLE" for k, v in given.items())} ELSE 0 END) OVER ()"
+        rest = f"sum(CASE WHEN {m} NOT IN ({names}) THEN v END) OVER ()"
+        own = f"CASE {' '.join(f"WHEN {m} = '{k}' THEN {v!r}::DOUBLE" for k, v in given.items())} END"
+        return f"CASE WHEN {m} IN ({names}) THEN {own} / CASE WHEN {rest} IS NULL THEN {found} ELSE 1 END ELSE (1 - {found}) * v / {rest} END"
+
+    targets = "".join(f", t_{m} AS (SELECT {m}, ({share(m)}) * (SELECT sum(tokens) FROM cells) AS target FROM (SELECT {m}, sum(tokens)::DOUBLE AS v FROM cells GROUP BY {m}))" for m in mixing.MARGINS)
     steps, last = "", "f0"
     for k in range(s.rounds):
         for m in mixing.MARGINS:
             name = f"f{k}_{m}"
             steps += f", {name} AS (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * t.target / sum(c.weight) OVER (PARTITION BY c.{m}) AS weight FROM {last} c JOIN t_{m} t USING ({m}))"
             last = name
+    off = ", ".join(f"(SELECT max(abs(w / target - 1)) FROM (SELECT {m}, sum(weight) AS w FROM {last} GROUP BY {m}) JOIN t_{m} USING ({m}))" for m in mixing.MARGINS)
     n = lambda p: f"len(regexp_extract_all(t, '{p}'))"
     return rf"""WITH docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 rows AS (SELECT doc_id, source, lang, greatest(len(regexp_extract_all(t, {_WORD})), 1) AS tokens, CASE WHEN length(t) = 0 THEN 'none' WHEN {n(" \\| ")} / length(t) > 0.01 THEN 'table' WHEN {n("[#*$%&<>]")} / length(t) > 0.05 THEN 'marked'
   WHEN {n("\\p{Lu}")} / length(t) > 0.3 THEN 'shouted' WHEN {n("\\n")} / length(t) > 0.02 THEN 'list' WHEN length(t) < 400 THEN 'brief' ELSE 'prose' END AS topic FROM docs),
-cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM rows GROUP BY ALL){targets}, f0 AS (SELECT *, tokens::DOUBLE AS weight FROM cells){steps},
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM rows GROUP BY ALL){targets}, f0 AS (SELECT *, tokens::DOUBLE AS weight FROM cells){steps},
 run AS (SELECT *, weight / tokens AS ratio, sum(tokens) OVER w - tokens AS ct, sum(weight) OVER w - weight AS cw FROM {last} WINDOW w AS (ORDER BY weight / tokens DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT arg_max(({s.budget!r}::DOUBLE * (SELECT sum(tokens) FROM cells) - ct) / ((SELECT sum(weight) FROM run) - cw), ratio) AS c FROM run WHERE ({s.budget!r}::DOUBLE * (SELECT sum(tokens) FROM cells) - ct) / ((SELECT sum(weight) FROM run) - cw) * ratio <= 1)
-SELECT r.doc_id, r.source, r.lang, r.topic, r.tokens, round(ratio, 6) AS weight, round(least(1.0, c * ratio), 6) AS probability, ('0x' || substr(md5('{s.seed}:' || r.doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1.0, c * ratio) AS selected
+SELECT r.doc_id, r.source, r.lang, r.topic, r.tokens, round(ratio, 6) AS weight, round(least(1.0, c * ratio), 6) AS probability, round(greatest({off}), 4) AS margin_error, ('0x' || substr(md5('{s.seed}:' || r.doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1.0, c * ratio) AS selected
 FROM rows r JOIN run USING (source, lang, topic), c"""
 
 

@@ -17,13 +17,15 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 @dataclass(frozen=True)
 class Settings:
-    """risk: least upper bound asked for the share of good documents of a stratum that one rule
-    rejects. confidence error: chance that any bound of any stratum and rule is wrong. cutoffs: fixed
+    """risk: upper bound asked for the share of good documents of a stratum that one rule rejects. A
+    holdout too small to show so little at all (under about 630 good documents) is asked for the least
+    share it can show, which takes a rule that rejects none of it; never for more than most_risk. error: chance that any bound of any stratum and rule is wrong. cutoffs: fixed
     grids, from lax to strict, of (measure, side, values); a document is rejected above (or below) a
     cutoff. A grid is tested in that order until a test fails, which needs no correction; the error
     is shared out over strata times rules."""
 
     risk: float = 0.01
+    most_risk: float = 0.05
     error: float = 0.05
     min_words: int = 50
     grids: tuple[tuple[str, str, tuple[float, ...]], ...] = (
@@ -88,13 +90,13 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     """log P(X <= k) for X binomial of n trials with chance p, by the recurrence of its terms.
 
     P(X <= k) <= e says that the exact (Clopper-Pearson) upper bound of the rate at error e is p or less.
     """
-    q = F.log(F.lit(p / (1 - p)))
-    first = F.struct((n * F.log(F.lit(1 - p))).alias("term"), (n * F.log(F.lit(1 - p))).alias("sum"))
+    q = F.log(p / (1 - p))
+    first = F.struct((n * F.log(1 - p)).alias("term"), (n * F.log(1 - p)).alias("sum"))
 
     def step(a: Column, i: Column) -> Column:
         term = a["term"] + F.log((n - i + 1) / i) + q
@@ -106,7 +108,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def select_cutoffs(measured: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Of measured rows with a column stratum, for each stratum and rule the strictest cutoff whose risk bound holds: (stratum, rule, cutoff, n_good, n_rejected).
+    """Of measured rows with a column stratum, for each stratum and rule the strictest cutoff whose risk bound holds: (stratum, rule, cutoff, n_good, n_rejected, risk).
 
     The holdout is every labelled good document (quality = 1) that has min_words. A rule of a
     stratum has no row where not even its laxest cutoff holds. Counts are sums over all labels; the
@@ -124,11 +126,14 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, s: Settings = Setting
     counts = cut(counts.select("stratum", "n_good", F.explode(cells).alias("c")).select("stratum", "n_good", "c.*"), "counts")
     m = max(1, counts.select("stratum").distinct().count())
     level = float(math.log(s.error / (m * len(s.grids))))
-    holds = F.when(F.col("n_rejected") > F.col("n_good") * s.risk, F.lit(False)).otherwise(binomial_tail(F.col("n_rejected"), F.col("n_good"), s.risk) <= F.lit(level))
+    counts = counts.withColumn("risk", F.greatest(F.lit(s.risk), 1 - F.exp(F.lit(level) / F.col("n_good"))))
+    tail = binomial_tail(F.col("n_rejected"), F.col("n_good"), F.col("risk"))
+    hopeless = (F.col("risk") > s.most_risk) | (F.col("n_rejected") > F.col("n_good") * F.col("risk"))
+    holds = F.when(hopeless, F.lit(False)).otherwise(tail <= F.lit(level + 1e-9))
     tested = counts.withColumn("fails", F.when(holds, F.lit(len(tests))).otherwise(F.col("step")))
-    stop = tested.groupBy("stratum", "rule").agg(F.min("fails").alias("stop"), F.collect_list(F.struct("step", "cutoff", "n_good", "n_rejected")).alias("all"))
+    stop = tested.groupBy("stratum", "rule").agg(F.min("fails").alias("stop"), F.collect_list(F.struct("step", "cutoff", "n_good", "n_rejected", "risk")).alias("all"))
     last = F.array_max(F.filter("all", lambda x: x["step"] < F.col("stop")))
-    return stop.select("stratum", "rule", last.alias("x")).filter("x is not null").select("stratum", "rule", "x.cutoff", "x.n_good", "x.n_rejected")
+    return stop.select("stratum", "rule", last.alias("x")).filter("x is not null").select("stratum", "rule", "x.cutoff", "x.n_good", "x.n_rejected", "x.risk")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", settings: Settings = Settings(), carry: list[str] | None = None) -> DataFrame:
@@ -138,8 +143,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", set
 
     base_failed: under min_words words, or over half of them in repeated windows. Otherwise a document
     is kept unless a rule of its stratum rejects it. labels (doc_id, quality): rows of quality 1 are
-    the holdout. With probability 1 - error every rule of every stratum rejects at most the share
-    ``risk`` of the good documents there; strata without enough labels keep all that pass the base.
+    the holdout. With probability 1 - error every rule of every stratum rejects at most the share of
+    the good documents there that ``Settings.risk`` describes; strata without enough labels keep all
+    that pass the base.
 
     A null text has no words; a null stratum is one of its own; repeated rows are judged each; empty
     tables give no rows or no cutoffs; columns of the same names are replaced. Only expressions and

@@ -129,6 +129,19 @@ def test_urls_equal_brute_force(spark):
     assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()) == expected
 
 
+def test_urls_meet_rules_on_short_prefixes(spark):
+    """With prefixes of one byte most meetings are false, and the digest turns every one of them down."""
+    rng = np.random.default_rng(3)
+    rules = sorted({(".".join(f"d{rng.integers(6)}" for _ in range(rng.integers(1, 4))), ["", "/", "/a", "/ab/"][rng.integers(4)], ["block", "allow"][rng.integers(2)]) for _ in range(400)})
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls = ["http://" + ".".join(f"D{rng.integers(7)}" for _ in range(rng.integers(1, 6))) + ["", "/", "/abc", "/ab/c?x"][rng.integers(4)] for _ in range(300)]
+    urls.append("http://" + "a." * 20_000 + "d1/ab/")  # many labels
+    got = url_rules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), prefix_bytes=1)
+    assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {(k, *judge(u, rules)) for k, u in enumerate(urls)}
+    met = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    assert met and all("sha2" not in x.split("LeftOuter")[0] for x in met)
+
+
 def test_urls_without_rules(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
@@ -176,11 +189,23 @@ def test_cutoffs_hold_their_risk(spark):
     assert quality.quality_rules(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_small_holdouts_show_the_risk_they_can(spark):
+    """A stratum of 250 good documents gets cutoffs that reject none of them; one of 100 gets none."""
+    plain = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, plain, "a" if k < 250 else "b", "") for k in range(350)] + [(1000, plain.replace("w", "#"), "a", ""), (1001, plain.replace("w", "#"), "b", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+    labels = spark.createDataFrame([(k, 1) for k in range(350)], "doc_id long, quality int")
+    assert [r.doc_id for r in quality.quality_rules(docs, labels).filter("not kept").collect()] == [1000]
+    measured = quality.measures(docs).withColumnRenamed("lang", "stratum")
+    cutoffs = quality.select_cutoffs(measured, labels).collect()
+    assert {r.stratum for r in cutoffs} == {"a"} and all(0.01 < r.risk < 0.05 and r.n_rejected == 0 for r in cutoffs)
+
+
 @pytest.mark.parametrize("k,n,p", [(0, 50, 0.01), (3, 1000, 0.01), (40, 5000, 0.01), (900, 100_000, 0.01)])
 def test_binomial_tail(spark, k, n, p):
     from pyspark.sql import functions as F
 
-    got = spark.range(1).select(quality.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0]
+    got = spark.range(1).select(quality.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), F.lit(p))).first()[0]
     terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
     top = max(terms)
     assert got == pytest.approx(top + math.log(sum(math.exp(t - top) for t in terms)), rel=1e-6, abs=1e-6)
@@ -201,6 +226,7 @@ def test_mixing_meets_targets(spark):
     assert (got.probability * got.tokens).sum() == pytest.approx(0.3 * got.tokens.sum(), rel=1e-6)
     taken = got[got.selected]
     assert taken.tokens.sum() == pytest.approx(0.3 * got.tokens.sum(), rel=0.1)
+    assert got.margin_error.max() < 1e-3
     more = mixing.mix_sources(docs, mixing.Settings(targets=s.targets, budget=0.5, rounds=12)).filter("selected").toPandas()
     assert set(taken.doc_id) <= set(more.doc_id)
 
