@@ -1,6 +1,6 @@
 """Lookups in ordered tables: by time interval, by frame number, by nearest id, with interpolation.
 
-Each is a union of targets and rows with one window over it: linear in the rows of a track, no pairs.
+Each is a union of targets and rows with two running windows over it: linear in the rows, no pairs.
 """
 
 from __future__ import annotations
@@ -8,18 +8,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 
-def neighbours(targets: DataFrame, rows: DataFrame, key: str, target_at: str, row_at: str, row: str, strict: bool) -> DataFrame:
+
+def neighbours(targets: DataFrame, rows: DataFrame, key: str, target_at: str, row_at: str, row: str, strict: bool, chunk: int | None = None) -> DataFrame:
     """``targets`` with the structs prev and next of ``rows``: the last row before the target's place and
     the first one after it. strict: a row at the very place is next; else it is prev. Of rows at one
-    place, prev is the last by the struct's order and next the first."""
+    place, prev is the last by the struct's order and next the first.
+
+    Both come from frames that run along with the order, up for prev and down for next, so a row is
+    looked at twice, however long its track. chunk: rows of a track that one task is to take, where
+    tracks can be too long for one: places are cut at approximate quantiles, and the last and the first
+    row of each chunk are carried over to its neighbours.
+    """
     a = targets.select("*", F.col(target_at).alias("__at"), F.lit(None).cast(rows.select(row).schema[0].dataType).alias("__row"), F.lit(0 if strict else 1).alias("__side"))
     b = rows.select(F.col(key), F.col(row_at).alias("__at"), F.col(row).alias("__row"), F.lit(1 if strict else 0).alias("__side"))
-    w = Window.partitionBy(key).orderBy("__at", "__side", "__row")
     both = a.unionByName(b, allowMissingColumns=True).withColumn("__target", F.col("__row").isNull())
-    both = both.withColumn("prev", F.last("__row", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("next", F.first("__row", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return both.filter("__target").select(*targets.columns, "prev", "next")
+    keys = [key]
+    if chunk:
+        both = cut(both, "both")
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.lit(2)).cast("int")
+        marks = both.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__at", [k / 64 for k in range(1, 64)], 1000).alias("__q"), n.alias("__k"))
+        some = F.filter("__q", lambda x, i: F.pmod(i + 1, F.greatest(F.lit(1), F.floor(64 / F.col("__k"))).cast("int")) == 0)
+        marks = marks.filter(F.col("__n") > chunk).select(key, F.array_distinct(some).alias("__marks"))
+        both = both.join(marks, key, "left").withColumn("__chunk", F.coalesce(F.size(F.filter("__marks", lambda m: m < F.col("__at"))), F.lit(0)))
+        both, keys = cut(both.drop("__marks"), "chunked"), [key, "__chunk"]
+    up = Window.partitionBy(*keys).orderBy("__at", "__side", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__side"), F.desc("__row")).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("prev", F.last("__row", True).over(up)).withColumn("next", F.last("__row", True).over(down)).filter("__target")
+    if chunk:
+        place = F.struct("__at", "__side", "__row")
+        ends = both.filter(~F.col("__target")).groupBy(*keys).agg(F.max(place).alias("hi"), F.min(place).alias("lo"))
+        ends = both.select(*keys).distinct().join(ends, keys, "left")
+        w = Window.partitionBy(key).orderBy("__chunk")
+        before = F.last("hi.__row", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before")
+        after = F.last("lo.__row", True).over(Window.partitionBy(key).orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)).alias("__after")
+        out = out.join(ends.select(*keys, before, after), keys).withColumns({"prev": F.coalesce("prev", "__before"), "next": F.coalesce("next", "__after")})
+    return out.select(*targets.columns, "prev", "next")
 
 
 def asof_interval(targets: DataFrame, telemetry: DataFrame, key: str = "track_id", at: str = "at") -> DataFrame:
@@ -54,6 +79,16 @@ def frame_lookup(targets: DataFrame, telemetry: DataFrame, key: str = "track_id"
     return both.select(*targets.columns, found.alias(value))
 
 
+def frame_telemetry(targets: DataFrame, telemetry: DataFrame, key: str = "track_id", frame: str = "frame", at: str = "at", pos: str = "pos", cnt: str = "frame_cnt") -> DataFrame:
+    """``targets`` with ``telemetry``: the row for the frame number, else the one for the time, and with
+    latitude, longitude and altitude of it, 0.0 where there is none or it lacks them."""
+    columns = ["start_sec", "end_sec", "mid_sec", *(c for c in telemetry.columns if c not in (key, "start_sec", "end_sec", "mid_sec"))]
+    by_frame = frame_lookup(targets, telemetry.withColumn("telemetry", F.struct(*columns)), key, frame, pos, cnt, "telemetry")
+    both = asof_interval(by_frame, telemetry, key, at).withColumn("telemetry", F.coalesce("telemetry", "match"))
+    zero = {c: F.coalesce(F.col(f"telemetry.{c}"), F.lit(0.0)) for c in ("latitude", "longitude", "altitude")}
+    return both.withColumns(zero).select(*targets.columns, "telemetry", *zero)
+
+
 def nearest(targets: DataFrame, rows: DataFrame, key: str = "track_id", target_id: str = "target", row_id: str = "id") -> DataFrame:
     """``targets`` with ``match``: the row struct with the nearest id, the lower one on a tie; of rows
     that repeat an id the last (by the struct's order) counts."""

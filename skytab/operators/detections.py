@@ -171,28 +171,23 @@ def assign_truths(detections: DataFrame, pairs: DataFrame, threshold: float | Co
     return detections.join(hits, [*keys, "a"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-def average_precision(assigned: DataFrame, n_truths: int, *order: str) -> float:
-    """Area under precision over recall, as rectangles, of rows (score, hit) by descending score.
+def average_precision(assigned: DataFrame, truths: DataFrame, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """For each of ``keys`` (such as a threshold) the area under precision over recall, as rectangles, of rows
+    (keys, score, hit) by descending score, ties by ``order``: keys, ap. truths: all truths, for each key the same.
 
-    Ranks come from counts of score groups first, so that no window holds all rows: precision at a hit
-    needs only how many hits and misses have a higher score.
+    Ranks come from counts of score buckets first, so that no window holds all rows of a key: the
+    precision at a hit needs only how many hits and rows go before it.
     """
-    groups = assigned.groupBy("score").agg(F.count_if("hit").alias("h"), F.count(F.lit(1)).alias("n"))
-    bucketed = groups.withColumn("g", F.floor(F.col("score") * 64))
-    totals = bucketed.groupBy("g").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
-    above = {r["g"]: (r["h"], r["n"]) for r in totals.collect()}  # at most 65 rows for scores in 0..1
-    sums, h, n = {}, 0, 0
-    for g in sorted(above, reverse=True):
-        sums[g] = (h, n)
-        h, n = h + above[g][0], n + above[g][1]
-    if not sums or not n_truths:
-        return 0.0
-    base = F.create_map(*(x for g, v in sums.items() for x in (F.lit(g), F.array(F.lit(v[0]), F.lit(v[1])))))
-    w = Window.partitionBy("__g").orderBy(F.desc("score"), *order)
-    ranked = assigned.withColumn("__g", F.floor(F.col("score") * 64))
-    upto = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranked.withColumns({"tp": upto(F.col("hit").cast("long")) + base[F.col("__g")][0], "n": upto(F.lit(1)) + base[F.col("__g")][1]})
-    return ranked.filter("hit").agg(F.sum(F.col("tp") / F.col("n"))).first()[0] / n_truths if h else 0.0
+    ranked = assigned.withColumn("__g", F.floor(F.coalesce("score", F.lit(0.0)) * 64))
+    buckets = ranked.groupBy(*keys, "__g").agg(F.count_if("hit").alias("__h"), F.count(F.lit(1)).alias("__c"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("__g")).rowsBetween(Window.unboundedPreceding, -1)  # 65 buckets for scores in 0..1
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above")
+    buckets = buckets.select(*keys, "__g", before("__h"), before("__c"))
+    w = Window.partitionBy(*keys, "__g").orderBy(F.desc("score"), *order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.join(buckets, [*keys, "__g"]).withColumns({"__tp": F.sum(F.col("hit").cast("long")).over(w) + F.col("__h_above"), "__n": F.sum(F.lit(1)).over(w) + F.col("__c_above")})
+    n = truths.agg(F.count(F.lit(1)).alias("__truths"))  # one row
+    sums = ranked.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("__tp") / F.col("__n"))), F.lit(0.0)).alias("__s"))
+    return sums.join(F.broadcast(n)).select(*keys, F.coalesce(F.col("__s") / F.nullif("__truths", F.lit(0)), F.lit(0.0)).alias("ap"))
 
 
 def pixel_metrics(df: DataFrame, p: Column, t: Column, *keys: str, eps: float = 1e-6) -> DataFrame:

@@ -57,8 +57,10 @@ def warped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image", "instance", "warped.x1", "warped.y1", "warped.x2", "warped.y2")
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, reach AS (SELECT image, a AS instance, a AS other FROM pairs WHERE a % 3 = 0 GROUP BY ALL UNION SELECT r.image, r.instance, p.b FROM reach r JOIN pairs p ON p.image = r.image AND p.a = r.other AND p.b % 3 = 0)
-SELECT image, instance, min(other) AS component FROM reach GROUP BY image, instance""")
+@query(f"""WITH RECURSIVE {_INSTANCES}, boxes AS (SELECT image, x1, y1, x2, y2, min(instance) AS a FROM inst GROUP BY ALL),
+touch AS (SELECT p.image, p.a, q.a AS b FROM boxes p JOIN boxes q ON p.image = q.image AND least(p.x2, q.x2) > greatest(p.x1, q.x1) AND least(p.y2, q.y2) > greatest(p.y1, q.y1)),
+reach AS (SELECT image, a, a AS other FROM boxes UNION SELECT r.image, r.a, t.b FROM reach r JOIN touch t ON t.image = r.image AND t.a = r.other), comp AS (SELECT image, a, min(other) AS component FROM reach GROUP BY image, a)
+SELECT i.image, i.instance, c.component FROM inst i JOIN boxes b USING (image, x1, y1, x2, y2) JOIN comp c ON c.image = b.image AND c.a = b.a""")
 def box_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _instances(spark, sf_dir).select("image", "instance", "box")
     return mosaic.box_components(rows, "image").select("image", "instance", "component")
@@ -78,7 +80,7 @@ def segmentation_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("batch", *(r(c, 6).alias(c) for c in ("bce", "focal", "bce_dice")))
 
 
-@query(f"WITH {_LABELS} SELECT batch, true AS not_empty, bool_or(t > 0) AS has_positive, true AS finite, bool_and(t IN (0, 1)) AS binary, NOT bool_and(prob >= 0.5) AND bool_or(prob >= 0.5) AS mixed FROM l GROUP BY batch")
+@query(f"WITH {_LABELS} SELECT batch, count(*) > 0 AS not_empty, bool_or(t > 0) AS has_positive, bool_and(prob IS NOT NULL AND isfinite(prob)) AS finite, bool_and(t IN (0, 1)) AS binary, NOT bool_and(prob >= 0.5) AND bool_or(prob >= 0.5) AS mixed FROM l GROUP BY batch")
 def batch_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic.sanity(mosaic.require_valid(_labels(spark, sf_dir), "t"), F.col("prob"), F.col("t"), "batch")
 
@@ -95,7 +97,7 @@ def exif_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("e.fnum.num").cast("double").alias("fnum"), F.col("e.focal.num").alias("focal_num"), "e.focal_35mm", "e.latitude_ref", F.col("e.latitude.d.num").alias("d"), "e.altitude_ref", F.col("e.altitude.num").alias("altitude_num"), F.col("e.direction.num").alias("direction_num"), F.coalesce("e.taken", F.lit("none")).alias("taken"))
 
 
-_CAMERAS = f"{b.IMAGES}, cams AS (SELECT event_id AS frame, (event_id % 97) * 7.0::DOUBLE AS east, (event_id % 89) * 7.0::DOUBLE AS north, agl AS up, yaw, -90.0::DOUBLE + k % 20 AS pitch, roll, focal * width / 36 AS focal, width, height, agl * 1.5::DOUBLE AS radius FROM images WHERE event_id % 10 = 0)"
+_CAMERAS = f"{b.IMAGES}, cams AS (SELECT event_id AS frame, (event_id % 97) * 7.0::DOUBLE AS east, (event_id % 89) * 7.0::DOUBLE AS north, agl AS up, yaw, -90.0::DOUBLE + k % 20 AS pitch, roll, focal * width / 36 AS focal, width, height, agl * 1.5::DOUBLE AS radius FROM images)"
 _CELLS = "cells AS (SELECT r AS row, c AS col, c * 25.0::DOUBLE + 12.5 AS x, r * 25.0::DOUBLE + 12.5 AS y, ((r * 7 + c * 3) % 5)::DOUBLE AS z FROM (SELECT unnest(range(0, 26)) AS r), (SELECT unnest(range(0, 28)) AS c))"
 
 

@@ -165,17 +165,35 @@ def detection_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*(r(c, 6).alias(c) for c in ("precision", "recall", "dice", "matched_mask_iou")), "tp", "fp", "fn")
 
 
-@query(None)
-def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At ten thresholds; order-dependent; tests compare with a plain loop."""
+_THRESHOLDS = [round(0.05 + 0.02 * k, 2) for k in range(10)]
+_USUAL = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+_AP = _PAIRS + """, th AS (SELECT unnest($thresholds)::DOUBLE AS threshold), cand AS (SELECT threshold, image, a, list(b ORDER BY round(mask_iou, 9) DESC, b DESC) AS bs FROM pairs, th WHERE a % 2 = 0 AND b % 2 = 1 AND round(mask_iou, 9) >= threshold GROUP BY ALL),
+ranked AS (SELECT th.threshold, i.image, i.instance AS a, score, coalesce(bs, []) AS bs, row_number() OVER (PARTITION BY th.threshold, i.image ORDER BY score DESC, i.instance) AS k FROM inst i CROSS JOIN th LEFT JOIN cand c ON c.threshold = th.threshold AND c.image = i.image AND c.a = i.instance WHERE i.instance % 2 = 0),
+walk AS (SELECT DISTINCT threshold, image, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS b FROM ranked
+  UNION ALL SELECT w.threshold, w.image, r.k, CASE WHEN len(list_filter(r.bs, lambda z: NOT list_contains(w.used, z))) > 0 THEN list_append(w.used, list_filter(r.bs, lambda z: NOT list_contains(w.used, z))[1]) ELSE w.used END, list_filter(r.bs, lambda z: NOT list_contains(w.used, z))[1]
+  FROM walk w JOIN ranked r ON r.threshold = w.threshold AND r.image = w.image AND r.k = w.k + 1),
+hits AS (SELECT r.threshold, w.b IS NOT NULL AS hit, row_number() OVER o AS n, count(w.b) OVER o AS tp FROM ranked r JOIN walk w ON w.threshold = r.threshold AND w.image = r.image AND w.k = r.k WINDOW o AS (PARTITION BY r.threshold ORDER BY score DESC, r.image, r.a ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT threshold, coalesce(sum(tp / n) FILTER (WHERE hit), 0) / (SELECT count(*) FROM inst WHERE instance % 2 = 1) AS ap FROM hits GROUP BY threshold)"""
+
+
+def _precision(spark: SparkSession, sf_dir: str, thresholds: list[float]) -> DataFrame:
     pred, truth, pairs = _truth_pairs(spark, sf_dir)
     pred, pairs = cut(pred.withColumnRenamed("instance", "a"), "pred"), cut(pairs, "pairs")
-    n = truth.count()
-    thresholds = [round(0.05 + 0.02 * k, 2) for k in range(10)]
     each = lambda df: df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     assigned = cut(det.assign_truths(each(pred), each(pairs), F.col("threshold"), "threshold", "image"), "assigned")
-    rows = [(t, round(det.average_precision(assigned.filter(F.col("threshold") == t), n, "image", "a"), 6)) for t in thresholds]
-    return spark.createDataFrame(rows, "threshold double, ap double")
+    return det.average_precision(assigned, truth, "threshold", order=("image", "a"))
+
+
+@query(f"WITH RECURSIVE {_AP.replace('$thresholds', str(_THRESHOLDS))} SELECT threshold, round(ap, 6) AS ap FROM ap")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At ten low thresholds, as random masks of 64 pixels hardly overlap by half."""
+    return _precision(spark, sf_dir, _THRESHOLDS).select("threshold", r("ap", 6).alias("ap"))
+
+
+@query(f"WITH RECURSIVE {_AP.replace('$thresholds', str(_USUAL))} SELECT round(avg(ap), 6) AS ap_50_95, round(max(ap) FILTER (WHERE threshold = 0.5), 6) AS ap_50 FROM ap")
+def average_precision_50_95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over the ten usual thresholds, and the first of them."""
+    return _precision(spark, sf_dir, _USUAL).agg(r(F.avg("ap"), 6).alias("ap_50_95"), r(F.max(F.when(F.col("threshold") == 0.5, F.col("ap"))), 6).alias("ap_50"))
 
 
 # -- pixel metrics over labels ---------------------------------------------------------------------
@@ -230,20 +248,27 @@ def _polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "part").select("p_partkey", "p_size", ring.alias("ring"))
 
 
-_KIND = "p_partkey % 7"
+# the same rings as lists of points; what is wrong with one is worked out from its points
+_RINGS = """ends AS (SELECT p_partkey, p_size, p_brand, p_partkey % 7 AS shape, {'x': 0.25::DOUBLE, 'y': 0.25::DOUBLE} AS a, {'x': p_size + 1.0::DOUBLE, 'y': 0.25::DOUBLE} AS c, {'x': p_size + 2.0::DOUBLE, 'y': p_size / 2.0::DOUBLE + 1} AS d, {'x': 0.5::DOUBLE, 'y': p_size / 3.0::DOUBLE + 1} AS e FROM part),
+rings AS (SELECT p_partkey, p_size, p_brand, CASE shape WHEN 1 THEN [a, c, d, e] WHEN 2 THEN [a, d, c, e, a] WHEN 3 THEN [a, c, a, c, a] WHEN 4 THEN [a, c, a] WHEN 5 THEN [a, c, {'x': 'nan'::DOUBLE, 'y': p_size::DOUBLE}, e, a] ELSE [a, c, d, e, a] END AS ring FROM ends),
+points AS (SELECT p_partkey, i, ring[i].x AS x, ring[i].y AS y FROM (SELECT *, unnest(range(1, len(ring) + 1)) AS i FROM rings)),
+legs AS (SELECT p.p_partkey, p.i, p.x AS ax, p.y AS ay, q.x AS zx, q.y AS zy FROM points p JOIN points q ON q.p_partkey = p.p_partkey AND q.i = p.i + 1),
+crossed AS (SELECT DISTINCT f.p_partkey FROM legs f JOIN legs g ON f.p_partkey = g.p_partkey AND g.i > f.i + 1
+  AND sign((f.zx - f.ax) * (g.ay - f.ay) - (f.zy - f.ay) * (g.ax - f.ax)) * sign((f.zx - f.ax) * (g.zy - f.ay) - (f.zy - f.ay) * (g.zx - f.ax)) < 0
+  AND sign((g.zx - g.ax) * (f.ay - g.ay) - (g.zy - g.ay) * (f.ax - g.ax)) * sign((g.zx - g.ax) * (f.zy - g.ay) - (g.zy - g.ay) * (f.zx - g.ax)) < 0),
+odd AS (SELECT p_partkey, bool_or(NOT isfinite(x) OR NOT isfinite(y)) AS wild, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points GROUP BY p_partkey),
+areas AS (SELECT p_partkey, sum(ax * zy - zx * ay) / 2 AS area FROM legs GROUP BY p_partkey),
+judged AS (SELECT r.*, area, x0, x1, y0, y1, CASE WHEN wild THEN 'non-finite' WHEN len(ring) < 4 THEN 'too few points' WHEN ring[1] <> ring[-1] THEN 'unclosed' WHEN abs(area) < 1e-12 THEN 'no area' WHEN c.p_partkey IS NOT NULL THEN 'self-crossing' ELSE 'valid' END AS validity
+  FROM rings r JOIN odd USING (p_partkey) JOIN areas USING (p_partkey) LEFT JOIN crossed c USING (p_partkey))"""
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 1 THEN 4 WHEN p_partkey % 7 = 3 THEN 5 WHEN p_partkey % 7 = 4 THEN 3 ELSE 5 END AS n_points,
- CASE p_partkey % 7 WHEN 1 THEN 'unclosed' WHEN 2 THEN 'self-crossing' WHEN 3 THEN 'no area' WHEN 4 THEN 'too few points' WHEN 5 THEN 'non-finite' ELSE 'valid' END AS validity FROM part""")
+@query(f"WITH {_RINGS} SELECT p_partkey, len(ring)::INT AS n_points, validity FROM judged")
 def polygon_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _polygons(spark, sf_dir)
     return p.select("p_partkey", F.size("ring").alias("n_points"), geojson.validity(F.col("ring")).alias("validity"))
 
 
-_CORNERS = "x1 AS (SELECT p_partkey, p_size, 0.25::DOUBLE AS ax, 0.25::DOUBLE AS ay, p_size + 1.0::DOUBLE AS cx, 0.25::DOUBLE AS cy, p_size + 2.0::DOUBLE AS dx, p_size / 2.0::DOUBLE + 1 AS dy, 0.5::DOUBLE AS ex, p_size / 3.0::DOUBLE + 1 AS ey FROM part WHERE p_partkey % 7 IN (0, 6))"
-
-
-@query(f"WITH {_CORNERS} SELECT p_partkey, round(((ax * cy - cx * ay) + (cx * dy - dx * cy) + (dx * ey - ex * dy) + (ex * ay - ax * ey)) / 2, 6) AS area, round(least(ax, cx, dx, ex), 6) AS x0, round(-greatest(ay, cy, dy, ey), 6) AS y0, round(greatest(ax, cx, dx, ex), 6) AS x1, round(-least(ay, cy, dy, ey), 6) AS y1, greatest(cx, dx) <= 40 AND greatest(dy, ey) <= 20 AS inside FROM x1")
+@query(f"WITH {_RINGS} SELECT p_partkey, round(area, 6) AS area, round(x0, 6) AS x0, round(-y1, 6) AS y0, round(x1, 6) AS x1, round(-y0, 6) AS y1, x0 >= 0 AND x1 <= 40 AND y0 >= 0 AND y1 <= 20 AS inside FROM judged WHERE validity = 'valid'")
 def y_flip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area, and bounds after the flip to annotation coordinates, of valid polygons."""
     p = _polygons(spark, sf_dir).filter(geojson.validity(F.col("ring")) == "valid").withColumn("flip", geojson.flip_y(F.col("ring")))
@@ -252,13 +277,13 @@ def y_flip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", r(geojson.signed_area(F.col("ring")), 6).alias("area"), r(x0, 6).alias("x0"), r(y0, 6).alias("y0"), r(x1, 6).alias("x1"), r(y1, 6).alias("y1"), inside.alias("inside"))
 
 
-@query("SELECT p_brand AS file, count(*) AS n, count(*) FILTER (WHERE p_partkey % 7 IN (0, 6)) AS n_valid, count(*) FILTER (WHERE p_partkey % 7 NOT IN (0, 6)) AS n_invalid, count(*) FILTER (WHERE p_partkey % 7 = 5) AS n_nonfinite, sum(CASE p_partkey % 7 WHEN 1 THEN 4 WHEN 4 THEN 3 ELSE 5 END)::BIGINT AS n_points FROM part GROUP BY p_brand")
+@query(f"WITH {_RINGS} SELECT p_brand AS file, count(*) AS n, count(*) FILTER (WHERE validity = 'valid') AS n_valid, count(*) FILTER (WHERE validity <> 'valid') AS n_invalid, count(*) FILTER (WHERE validity = 'non-finite') AS n_nonfinite, sum(len(ring))::BIGINT AS n_points FROM judged GROUP BY p_brand")
 def polygon_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _polygons(spark, sf_dir).join(b.table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey").withColumn("v", geojson.validity(F.col("ring")))
     return p.groupBy(F.col("p_brand").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == "valid").alias("n_valid"), F.count_if(F.col("v") != "valid").alias("n_invalid"), F.count_if(F.col("v") == "non-finite").alias("n_nonfinite"), F.sum(F.size("ring")).alias("n_points"))
 
 
-@query("SELECT p_partkey, p_partkey % 7 = 1 AS was_repaired, CASE WHEN p_partkey % 7 = 4 THEN 3 ELSE 5 END AS n_points, p_partkey % 7 IN (0, 1, 6) AS is_valid FROM part")
+@query(f"WITH {_RINGS}, w AS (SELECT *, validity = 'unclosed' AS was_repaired FROM judged) SELECT p_partkey, was_repaired, (len(ring) + was_repaired::INT)::INT AS n_points, validity = 'valid' OR (was_repaired AND abs(area + (ring[-1].x * ring[1].y - ring[1].x * ring[-1].y) / 2) >= 1e-12 AND p_partkey NOT IN (SELECT p_partkey FROM crossed)) AS is_valid FROM w")
 def repaired_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unclosed rings are closed and put in the place of the originals."""
     p = _polygons(spark, sf_dir)
@@ -267,10 +292,11 @@ def repaired_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("p_partkey", "was_repaired", F.size("ring").alias("n_points"), (geojson.validity(F.col("ring")) == "valid").alias("is_valid"))
 
 
-@query(f"""WITH {_CORNERS}, e AS (SELECT p_partkey, p_size, unnest([{{'a': ax, 'b': ay, 'c': cx, 'd': cy}}, {{'a': cx, 'b': cy, 'c': dx, 'd': dy}}, {{'a': dx, 'b': dy, 'c': ex, 'd': ey}}, {{'a': ex, 'b': ey, 'c': ax, 'd': ay}}]) AS s FROM x1),
-g AS (SELECT p_partkey, s, unnest(range(0, p_size + 3)) AS px, p_size FROM e), h AS (SELECT *, unnest(range(0, p_size // 2 + 3)) AS py FROM g),
-k AS (SELECT p_partkey, px, py, count(*) FILTER (WHERE (s.b > py + 0.5) <> (s.d > py + 0.5) AND px + 0.5 < (s.c - s.a) * (py + 0.5 - s.b) / (s.d - s.b) + s.a) AS hits FROM h GROUP BY ALL)
-SELECT p_partkey, count(*) AS n_pixels, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM k WHERE hits % 2 = 1 GROUP BY p_partkey""")
+_COVER = _RINGS + """, g AS (SELECT p_partkey, p_size, unnest(range(0, p_size + 3)) AS px FROM judged WHERE validity = 'valid'), h AS (SELECT *, unnest(range(0, p_size // 2 + 3)) AS py FROM g),
+cover AS (SELECT h.p_partkey, px, py FROM h JOIN legs l ON l.p_partkey = h.p_partkey AND (l.ay > py + 0.5) <> (l.zy > py + 0.5) AND px + 0.5 < (l.zx - l.ax) * (py + 0.5 - l.ay) / (l.zy - l.ay) + l.ax GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+@query(f"WITH {_COVER} SELECT p_partkey, count(*) AS n_pixels, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM cover GROUP BY p_partkey")
 def raster_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = geojson.rasterize(_polygons(spark, sf_dir).filter(geojson.validity(F.col("ring")) == "valid"))
     long = lambda c: c.cast("long")
@@ -286,7 +312,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POINTS = "pts AS (SELECT vec_id AS point_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
-_NEAR = _POINTS + """, nn AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, other) AS rank FROM (SELECT p.point_id, p.label, q.point_id AS other, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS distance FROM pts p JOIN pts q ON p.label = q.label AND p.point_id <> q.point_id) WHERE distance <= 0.2)"""
+_NEAR = _POINTS + """, nn AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, other) AS rank FROM (SELECT p.point_id, p.label, q.point_id AS other, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS distance FROM pts p JOIN pts q ON p.label = q.label AND p.point_id <> q.point_id))"""
 
 
 def _neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -311,14 +337,17 @@ def percentile_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("label", *(r(c, 6).alias(c) for c in ("min_x", "min_y", "max_x", "max_y", "median_z")))
 
 
-@query("SELECT 1.5::DOUBLE AS scale, 0.6::DOUBLE AS r00, -0.8::DOUBLE AS r01, 0.0::DOUBLE AS r02, 10.0::DOUBLE AS shift_x, -20.0::DOUBLE AS shift_y, 5.0::DOUBLE AS shift_z")
+@query(f"""WITH {_POINTS}, m AS (SELECT *, 1.5 * (0.6 * x - 0.8 * y) + 10 + 0.1 * sin(point_id) AS u, 1.5 * (0.8 * x + 0.6 * y) - 20 + 0.1 * cos(point_id) AS v FROM pts),
+s AS (SELECT avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(x, u) + covar_pop(y, v) AS a, covar_pop(x, v) - covar_pop(y, u) AS b, var_pop(x) + var_pop(y) AS d FROM m)
+SELECT round(sqrt(a * a + b * b) / d, 6) AS scale, round(a / sqrt(a * a + b * b), 6) AS r00, round(-b / sqrt(a * a + b * b), 6) AS r01, round(mu - (a * mx - b * my) / d, 6) AS shift_x, round(mv - (b * mx + a * my) / d, 6) AS shift_y FROM s""")
 def similarity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The oracle has the transform that the points were moved by."""
-    p, x, y, z = _points(spark, sf_dir), F.col("x"), F.col("y"), F.col("z")
-    pairs = p.select("x", "y", "z", (1.5 * (0.6 * x - 0.8 * y) + 10).alias("u"), (1.5 * (0.8 * x + 0.6 * y) - 20).alias("v"), (1.5 * z + 5).alias("w"))
+    """Points moved in their plane, with noise; the oracle solves the plane case by sums of complex numbers."""
+    p, x, y = _points(spark, sf_dir), F.col("x"), F.col("y")
+    u, v = 1.5 * (0.6 * x - 0.8 * y) + 10 + 0.1 * F.sin("point_id"), 1.5 * (0.8 * x + 0.6 * y) - 20 + 0.1 * F.cos("point_id")
+    pairs = p.select("x", "y", F.lit(0.0).alias("z"), u.alias("u"), v.alias("v"), F.lit(0.0).alias("w"))
     scale, rot, shift = points.similarity_transform(pairs)
-    row = [round(float(v), 6) + 0.0 for v in (scale, rot[0][0], rot[0][1], rot[0][2], *shift)]
-    return spark.createDataFrame([row], "scale double, r00 double, r01 double, r02 double, shift_x double, shift_y double, shift_z double")
+    row = [round(float(c), 6) + 0.0 for c in (scale, rot[0][0], rot[0][1], shift[0], shift[1])]
+    return spark.createDataFrame([row], "scale double, r00 double, r01 double, shift_x double, shift_y double")
 
 
 _CELLS = "c AS (SELECT l_orderkey % 40 AS row, l_partkey % 50 AS col, l_linenumber AS frame, round(l_discount * 100) * l_quantity AS weight, round(l_extendedprice * 100) AS value FROM lineitem)"

@@ -99,8 +99,11 @@ def test_average_precision(spark):
             used.add(best[1])
     tp = np.cumsum(hits)
     area = sum(tp[n] / (n + 1) for n in range(len(hits)) if hits[n]) / len(truth)
-    assert det.average_precision(assigned, len(truth), "image", "a") == pytest.approx(area)
-    assert det.average_precision(assigned.limit(0), 0, "image", "a") == 0.0
+    twice = assigned.withColumn("threshold", F.explode(F.array(F.lit(0.3), F.lit(0.7))))
+    got = det.average_precision(twice, it, "threshold", order=("image", "a")).collect()
+    assert {r.threshold: r.ap for r in got} == {0.3: pytest.approx(area), 0.7: pytest.approx(area)}
+    assert det.average_precision(twice.limit(0), it.limit(0), "threshold", order=("image", "a")).count() == 0
+    assert [r.ap for r in det.average_precision(twice, it.limit(0), "threshold", order=("image", "a")).collect()] == [0.0, 0.0]
 
 
 @pytest.mark.parametrize("points_,expected", [([(0, 0), (4, 0), (4, 3), (0, 0)], "valid"), ([(0, 0), (4, 4), (4, 0), (0, 3), (0, 0)], "self-crossing"), ([(0, 0), (1, 0), (2, 0), (0, 0)], "no area"), ([(0, 0), (1, 0), (1, 1), (0, 1)], "unclosed"), ([(0, 0), (1, 0), (0, 0)], "too few points"), ([(0, 0), (float("inf"), 0), (1, 1), (0, 0)], "non-finite"), ([], "too few points")])

@@ -115,3 +115,39 @@ def test_yaw_round_trip(spark):
     for x in df.select("*", camera.yaw_from_motion(down, motion, F.col("t")).alias("yaw"), pitch.alias("pitch"), roll.alias("roll")).collect():
         assert abs((x.yaw - x.y + 540) % 360 - 180) < 1e-6
         assert x.pitch == pytest.approx(x.p, abs=1e-6) and x.roll == pytest.approx(x.r, abs=1e-6)
+
+
+def test_one_long_track(spark):
+    """A track of 400,000 rows: linear, and the same in chunks."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from skytab.operators import asof
+
+    n = 200_000
+    rows = spark.range(n).select(F.lit(1).alias("track_id"), (F.col("id") * 3 % (3 * n)).alias("idx"), (F.col("id") % 101).cast("double").alias("x"))
+    targets = spark.range(n).select(F.lit(1).alias("track_id"), (F.col("id") * 3 + F.col("id") % 3).alias("idx"))
+    packed = rows.select("track_id", "idx", F.struct("idx", "x").alias("r"))
+    began = time.time()
+    plain = asof.neighbours(targets, packed, "track_id", "idx", "idx", "r", strict=False)
+    sums = lambda df: df.agg(F.sum("prev.idx"), F.sum("next.idx"), F.sum("prev.x"), F.count("prev"), F.count("next")).first()
+    got = sums(plain)
+    assert time.time() - began < 60
+    assert got[0] == sum(3 * k for k in range(n)) and got[3] == n
+    assert sums(asof.neighbours(targets, packed, "track_id", "idx", "idx", "r", strict=False, chunk=20_000)) == got
+
+
+def test_lookups_in_chunks(spark):
+    import random
+
+    from skytab.operators import asof
+
+    rng = random.Random(5)
+    rows = [(t, rng.randrange(40), rng.random()) for t in ("a", "b") for _ in range(60)] + [("c", 5, 0.5)]
+    seek = [(t, rng.randrange(-5, 50)) for t in ("a", "b", "c", "d") for _ in range(50)]
+    packed = spark.createDataFrame([(t, i, (i, x)) for t, i, x in rows], "track_id string, idx int, r struct<idx:int,x:double>")
+    targets = spark.createDataFrame(seek, "track_id string, idx int")
+    for strict in (True, False):
+        got = [sorted(map(str, asof.neighbours(targets, packed, "track_id", "idx", "idx", "r", strict, chunk).collect())) for chunk in (None, 10)]
+        assert got[0] == got[1] and len(got[0]) == 200
