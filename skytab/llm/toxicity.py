@@ -130,26 +130,30 @@ class Features:
         at = np.repeat(self.start[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
         return Features(self.codes[at], self.values[at], np.r_[0, np.cumsum(size)])
 
-    def project(self, codes: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """Products of the rows with columns over the sorted ``codes``."""
-        out = np.zeros((len(self.start) - 1, columns.shape[1]), np.float32)
-        for lo in range(0, len(out) if len(codes) else 0, 4096):
+    def blocks(self, codes: np.ndarray, columns: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Products of the rows with columns over the sorted ``codes``, some thousand rows at a time: first row, products."""
+        for lo in range(0, len(self.start) - 1, 4096):
             edges = self.start[lo : lo + 4097]
+            out = np.zeros((len(edges) - 1, columns.shape[1]), np.float32)
             own = self.codes[edges[0] : edges[-1]]
             at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
             hit = np.flatnonzero(codes[at] == own)
-            row = np.repeat(np.arange(lo, lo + len(edges) - 1), np.diff(edges))[hit]
-            for k in range(0, len(hit), 1 << 15):
-                some, r = hit[k : k + (1 << 15)], row[k : k + (1 << 15)]
+            row = np.repeat(np.arange(len(out)), np.diff(edges))[hit]
+            for k in range(0, len(hit), 1 << 14):
+                some, r = hit[k : k + (1 << 14)], row[k : k + (1 << 14)]
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                 out[r[first]] += np.add.reduceat(self.values[edges[0] + some][:, None] * columns[at[some]], first)
-        return out
+            yield lo, out
+
+    def margins(self, codes: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        column = gain[:, None].astype(np.float32)
+        return np.concatenate([x[:, 0] for _, x in self.blocks(codes, column)])
 
 
 def _joined(parts: list[Features]) -> Features:
     ends = np.cumsum([0, *(len(p.codes) for p in parts)])
     start = [p.start[:-1] + e for p, e in zip(parts, ends)]
-    return Features(np.concatenate([p.codes for p in parts]), np.concatenate([p.values for p in parts]), np.r_[tuple(start), ends[-1]])
+    return Features(np.concatenate([p.codes for p in parts]), np.concatenate([p.values for p in parts]), np.concatenate([*start, ends[-1:]]))
 
 
 def _features(items: list[str], s: Settings) -> Features:
@@ -199,15 +203,20 @@ def _dense(features: Features, codes: np.ndarray) -> np.ndarray:
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, s: Settings) -> np.ndarray:
-    """Weights and bias of a squared-hinge machine, by Newton steps: least squares over the rows within the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    ridge = np.diag(np.r_[np.full(x.shape[1], 0.5 / s.cost), 1e-9])
-    w = np.r_[np.zeros(x.shape[1]), -0.5]
+    """Weights of a squared-hinge machine over rows that end in a one, for the bias, by Newton steps: least
+    squares over the rows within the margin."""
+    ridge = np.diag(np.r_[np.full(x.shape[1] - 1, 0.5 / s.cost), 1e-9])
+    w = np.r_[np.zeros(x.shape[1] - 1), -0.5]
     for _ in range(30):
-        inside = y * (x1 @ w) < 1
-        xi = x1[inside] * np.sqrt(weight[inside, None]).astype(np.float32)
-        new = np.linalg.solve((xi.T @ xi).astype(np.float64) + ridge, xi.T @ (y * np.sqrt(weight))[inside])
-        if np.allclose(new, w, atol=1e-6):
+        gram, side = ridge.copy(), np.zeros(len(w))
+        for lo in range(0, len(x), 8192):
+            part, sign, each = x[lo : lo + 8192], y[lo : lo + 8192], weight[lo : lo + 8192]
+            inside = sign * (part @ w.astype(np.float32)) < 1
+            xi = part[inside] * np.sqrt(each[inside, None]).astype(np.float32)
+            gram += xi.T @ xi
+            side += xi.T @ (sign * np.sqrt(each))[inside]
+        new = np.linalg.solve(gram, side)
+        if np.allclose(new, w, atol=1e-5):
             break
         w = new
     return w
@@ -271,7 +280,8 @@ def fit_sentences(rows: list[tuple[object, int, str]], s: Settings) -> tuple[np.
         toxic, gapped = everything.take(at_toxic), _features([f for _, f in forms], s)
         marks = at_toxic[_choose_landmarks(toxic, count, s.landmarks * 2 // 3)]
         codes = np.unique(everything.take(marks).codes)
-        close = everything.project(codes, _dense(everything.take(marks), codes))[negative].max(1, initial=0)
+        columns = _dense(everything.take(marks), codes)
+        close = np.concatenate([x.max(1, initial=0) for _, x in everything.blocks(codes, columns)])[negative]
         near = np.argsort(-close, kind="stable")[: s.landmarks // 3]
         marks = np.r_[marks, negative[near[close[near] > 0.2]]]
         land = everything.take(marks)
@@ -280,20 +290,33 @@ def fit_sentences(rows: list[tuple[object, int, str]], s: Settings) -> tuple[np.
         value, vector = np.linalg.eigh((columns.T @ columns).astype(np.float64))
         keep = value > 1e-4
         to_space = (columns @ (vector[:, keep] / np.sqrt(value[keep]))).astype(np.float32)  # codes to Nyström features
-        known = everything.project(codes, to_space)
-        met = negative[np.abs(known[negative]).max(1, initial=0) > 1e-3]  # all others have the margin of the bias
-        x = np.vstack([known[at_toxic], gapped.project(codes, to_space), known[met], np.zeros((1, known.shape[1]))])
-        y = np.r_[np.ones(len(names) + len(forms)), -np.ones(len(met) + 1)]
+        signs = np.zeros(len(vocabulary), np.int8)
+        signs[negative], signs[at_toxic] = -1, 1
+        rows_of, held = [], []
+        for features, sign in ((everything, signs), (gapped, np.ones(len(forms), np.int8))):
+            for lo, x in features.blocks(codes, to_space):
+                # clean words that no landmark knows are all alike; one row stands for them
+                use = np.flatnonzero((sign[lo : lo + len(x)] > 0) | ((sign[lo : lo + len(x)] < 0) & (np.abs(x).max(1, initial=0) > 1e-3)))
+                held.append(np.hstack([x[use], np.ones((len(use), 1), np.float32)]))
+                rows_of.append(use + lo + (len(vocabulary) if features is gapped else 0))
+        at = np.concatenate(rows_of)
         share = dict.fromkeys(names, 0.0)  # every toxic document weighs the same, dealt out to its toxic words
         for own in bags.values():
             for v in (mine := [v for v in own if v in share]):
                 share[v] += 1 / len(mine) / len(bags)
-        own, apart = np.array([share[v] for v in names]), np.array([share[v] / s.put_in / (len(v) - 1) for v, _ in forms])
         each = s.strict / len(bags)
-        weight = np.r_[own, s.gaps * apart, np.full(len(met), each), max(1, len(negative) - len(met)) * each]
-        w = _machine(x, y, weight, s)
+        weight = np.full(len(vocabulary) + len(forms), each)
+        weight[at_toxic] = [share[v] for v in names]
+        weight[len(vocabulary) :] = [s.gaps * share[v] / s.put_in / (len(v) - 1) for v, _ in forms]
+        left = len(negative) - (signs[at[at < len(vocabulary)]] < 0).sum()
+        held.append(np.r_[np.zeros(to_space.shape[1]), 1][None].astype(np.float32))
+        x = np.concatenate(held)
+        del held
+        y = np.r_[np.r_[signs, np.ones(len(forms), np.int8)][at], -1].astype(np.float64)
+        w = _machine(x, y, np.r_[weight[at], max(1, left) * each], s)
+        del x
         machine = codes, to_space.astype(np.float64) @ w[:-1], float(w[-1])
-        margin = known @ w[:-1] + w[-1]
+        margin = everything.margins(codes, machine[1]) + w[-1]
         found: Counter = Counter(given)
         for own in bags.values():
             best = max(own, key=lambda w: (margin[place[w]], w))
