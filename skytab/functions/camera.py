@@ -132,3 +132,20 @@ def yaw_from_motion(down: list[Column], motion: list[Column], track: Column) ->
     # world: down x (sin a, cos a, 0) = (cos a, -sin a, 0)
     east, north = h[2] * F.sin(a) + across_z * F.cos(a), h[2] * F.cos(a) - across_z * F.sin(a)
     return F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
+
+
+def nadir_affine(ground_w: Column, width: Column, height: Column, yaw: Column, east: Column, north: Column, min_x: Column, max_y: Column, gsd: Column) -> Column:
+    """The 2 x 3 matrix, row by row, that takes the pixels of a nadir photograph to a canvas: scaled by what a pixel
+    covers, turned by the yaw, centre on centre."""
+    scale = ground_w / width / gsd
+    a, b = scale * F.cos(F.radians(yaw)), scale * F.sin(F.radians(yaw))
+    x, y = width / 2.0, height / 2.0
+    return F.array(a, -b, (east - min_x) / gsd - (a * x - b * y), b, a, (max_y - north) / gsd - (b * x + a * y))
+
+
+def best_attitude(candidates: Column, most_roll: float = 35.0) -> Column:
+    """Of an array of (pitch, roll, ...) structs the one with the smallest absolute roll, the first on a tie; null if
+    all roll more than allowed."""
+    ok = F.filter(candidates, lambda c: F.abs(c["roll"]) <= most_roll)
+    keyed = F.transform(ok, lambda c, i: F.struct(F.abs(c["roll"]).alias("r"), i.alias("i")))
+    return F.get(ok, F.array_min(keyed)["i"])

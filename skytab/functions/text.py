@@ -10,6 +10,14 @@ CLOCK = r"(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})[,.]
 TAG = r"\[\s*([\w_]+)\s*[:=]\s*([^\]]+)\s*\]"
 NUMBER = r"([-+]?\d+\.?\d*)"
 XMP_ATTRIBUTE = r'(?:drone-dji|Camera):(\w+)="([^"]*)"'
+XMP_HEADER = '<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?>'
+XMP_FOOTER = '<?xpacket end="w"?>'
+XMP_NAMESPACES = {
+    "drone-dji": "http://www.dji.com/drone-dji/1.0/",
+    "Camera": "http://pix4d.com/camera/1.0/",
+    "photomechanic": "http://ns.camerabits.com/photomechanic/1.0/",
+}
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
@@ -125,6 +133,20 @@ def xmp_attributes(gimbal_yaw: Column, gimbal_pitch: Column, gimbal_roll: Column
     )
 
 
+def xml_text(value: Column) -> Column:
+    return F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def xmp_packet(attributes: Column, source: Column, software: str) -> Column:
+    """A whole XMP packet around attributes as of xmp_attributes (none: an empty text), with a note of where
+    the attitude comes from, unless that is null or empty."""
+    names = "\n".join(f'    xmlns:{k}="{v}"' for k, v in XMP_NAMESPACES.items())
+    lines = F.when(attributes == "", F.lit("")).otherwise(F.concat(F.regexp_replace(attributes, "(?m)^", "    "), F.lit("\n")))
+    note = F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.lit("\n   <photomechanic:Prefs>attitude-source: "), xml_text(source), F.lit("</photomechanic:Prefs>"))).otherwise(F.lit(""))
+    head = F.concat(F.lit(f'{XMP_HEADER}\n<x:xmpmeta xmlns:x="adobe:ns:meta/" '), xml_attribute("x:xmptk", F.lit(software)), F.lit(f'>\n <rdf:RDF xmlns:rdf="{RDF}">\n  <rdf:Description rdf:about=""\n{names}\n'))
+    return F.concat(head, lines, F.lit("  >"), note, F.lit(f"\n  </rdf:Description>\n </rdf:RDF>\n</x:xmpmeta>\n{XMP_FOOTER}"))
+
+
 def image_description(frame: Column, latitude: Column, longitude: Column, altitude: Column) -> Column:
     gps = F.when(latitude.isNotNull() & longitude.isNotNull(), F.format_string("GPS: (%.6f, %.6f)", latitude, longitude))
     return F.concat_ws(" | ", F.concat(F.lit("Frame: "), frame.cast("string")), gps, F.when(altitude.isNotNull(), F.format_string("Alt: %.2fm", altitude)))

@@ -84,6 +84,41 @@ def match_one_to_one(candidates: DataFrame, key: str, score: str = "score", a: s
     return done
 
 
+def accept(detections: DataFrame, pixels: DataFrame, key: str, least_score: float, least_mask: float = 0.5) -> DataFrame:
+    """Detections (key, instance, score, ...) of at least ``least_score`` with a mask that is not empty: with the
+    statistics of the pixels (key, instance, px, py, mask) that reach ``least_mask``."""
+    stats = instance_stats(pixels.filter(F.col("mask") >= least_mask), key, "instance")
+    return detections.filter(F.col("score") >= least_score).join(stats, [key, "instance"])
+
+
+def centroid(stats: DataFrame) -> DataFrame:
+    """``stats`` with cx and cy, for an instance without pixels (null) the middle of its box."""
+    return stats.withColumns({"cx": F.coalesce("cx", (F.col("box.x1") + F.col("box.x2")) / 2), "cy": F.coalesce("cy", (F.col("box.y1") + F.col("box.y2")) / 2)})
+
+
+def detection_rows(detections: DataFrame, key: str) -> DataFrame:
+    """Detections (key, instance, score, box, tile) as rows of a detection file, without masks: instance_id from 1 by
+    descending score (ties: lower instance), mask_path, and all of it as a JSON text."""
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "instance")
+    rows = detections.withColumn("instance_id", F.row_number().over(w)).withColumn("mask_path", F.format_string("masks/instance_%04d.png", "instance_id"))
+    array = lambda b: F.array(*(b[c] for c in ("x1", "y1", "x2", "y2")))
+    text = F.struct(array(F.col("box")).alias("box"), "score", F.col(key).alias("source_image"), "instance_id", "mask_path")
+    return rows.withColumn("detection", F.to_json(text))
+
+
+def write_change_set(changes: DataFrame, path: str, pair: str = "pair") -> None:
+    """Changes as JSON lines, one folder a pair; any number of pairs in one job."""
+    changes.repartition(pair).write.partitionBy(pair).json(path)
+
+
+def change_of_instance(instances: DataFrame, changes: DataFrame, key: str, side: str = "before_id", default: str = "UNCHANGED") -> DataFrame:
+    """``instances`` with the classification of their first change (by the other side's id, none last), by which they are coloured."""
+    other = "after_id" if side == "before_id" else "before_id"
+    order = F.struct(F.col(other).isNull(), F.col(other))
+    first = changes.filter(F.col(side).isNotNull()).groupBy(key, F.col(side).alias("instance")).agg(F.min_by("classification", order).alias("classification"))
+    return instances.join(first, [key, "instance"], "left").withColumn("classification", F.coalesce("classification", F.lit(default)))
+
+
 def change_candidates(pairs: DataFrame, least_mask_iou: float = 0.1, least_box_iou: float = 0.2, most_distance: float = 250.0) -> DataFrame:
     """Pairs of before and after that may be one building, with their score."""
     ok = ((F.col("mask_iou") >= least_mask_iou) | (F.col("box_iou") >= least_box_iou)) & (F.col("distance") <= most_distance)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.geodesy import haversine_3d
 
@@ -47,12 +48,34 @@ RINGS = "array<array<array<double>>>"
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON files under a path as rows (file, feature_idx, geometry_type, rings); a MultiPolygon gives its parts' rings one after another."""
+    """GeoJSON files under a path as rows (file, feature_idx, geometry_type, parts, rings): parts are lists of rings, of
+    which the first is the outer one and the others holes; rings are those of all parts one after another. Other
+    geometries have null parts."""
     schema = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     rows = rows.select("file", F.posexplode("features").alias("feature_idx", "f")).select("file", "feature_idx", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("c"))
-    parts = F.when(F.col("geometry_type") == "Polygon", F.from_json("c", RINGS)).when(F.col("geometry_type") == "MultiPolygon", F.flatten(F.from_json("c", f"array<{RINGS}>")))
-    return rows.withColumn("rings", parts).drop("c")
+    parts = F.when(F.col("geometry_type") == "Polygon", F.array(F.from_json("c", RINGS))).when(F.col("geometry_type") == "MultiPolygon", F.from_json("c", f"array<{RINGS}>"))
+    return rows.withColumn("parts", parts).withColumn("rings", F.flatten("parts")).drop("c")
+
+
+def load_parts(features: DataFrame) -> DataFrame:
+    """Of features as of read_features the polygons' parts, in image space: file, feature_idx, part, rings (the outer
+    one first, then its holes, of (x, y) structs with y down), area. Other kinds and parts without an area are left out."""
+    rows = features.filter(F.col("geometry_type").isin("Polygon", "MultiPolygon")).select("file", "feature_idx", F.posexplode("parts").alias("part", "r"))
+    rings = F.transform("r", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), (-p[1]).alias("y"))))
+    rows = rows.withColumn("rings", rings)
+    area = F.aggregate(F.transform("rings", lambda ring, i: F.when(i == 0, F.abs(signed_area(ring))).otherwise(-F.abs(signed_area(ring)))), F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn("area", area).filter("area > 0").drop("r")
+
+
+def save_collections(collections: DataFrame, path: str, key: str) -> None:
+    """Each collection (key, geojson) as a text file of its own, in a folder for its key."""
+    collections.select(key, "geojson").repartition(key).write.partitionBy(key).option("maxRecordsPerFile", 1).text(path)
+
+
+def flag_features(features: DataFrame, invalid: DataFrame) -> DataFrame:
+    """The features (file, feature_idx, ...) that the invalid records (filename, feature_idx) name."""
+    return features.join(invalid.select(F.col("filename").alias("file"), "feature_idx").distinct(), ["file", "feature_idx"], "left_semi")
 
 
 def edges(ring: Column) -> Column:
@@ -120,10 +143,13 @@ def rasterize(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     """``polygons`` with one row (px, py) for each pixel whose centre lies inside (even-odd); y runs down, from 0.
 
     By scan lines: each line's crossings are sorted, and the pixels between the first and the second,
-    the third and the fourth and so on come out as ranges; no pixel is tested by itself.
+    the third and the fourth and so on come out as ranges; no pixel is tested by itself. A column of
+    several rings counts their edges together, so holes stay free.
     """
-    _, y0, _, y1 = bounds(F.col(ring))
-    box = polygons.withColumns({"__edges": edges(F.col(ring)), "__y0": F.floor(y0).cast("int"), "__y1": F.ceil(y1).cast("int")})
+    several = isinstance(polygons.schema[ring].dataType.elementType, ArrayType)
+    outer = F.col(ring)[0] if several else F.col(ring)
+    _, y0, _, y1 = bounds(outer)
+    box = polygons.withColumns({"__edges": F.flatten(F.transform(ring, edges)) if several else edges(F.col(ring)), "__y0": F.floor(y0).cast("int"), "__y1": F.ceil(y1).cast("int")})
     lines = box.select("*", F.explode(F.sequence("__y0", "__y1")).alias("py"))
     y = F.col("py") + 0.5
     hit = F.filter("__edges", lambda e: (e["y1"] > y) != (e["y2"] > y))

@@ -34,3 +34,37 @@ def storage_bytes(spark: SparkSession, path: str) -> DataFrame:
     """Total length of all files under a path; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
+def create_jobs(requests: DataFrame, root: str, seed: str = "request_id", name: str = "job_name") -> DataFrame:
+    """``requests`` as queued jobs: job_id (eight hexadecimal digits of a hash of the request's id, so that a
+    retried task makes the same job), job_name (by default after the id), status, progress, message, output_dir."""
+    job = F.substring(F.sha2(F.col(seed).cast("string"), 256), 1, 8)
+    rows = requests.withColumn("job_id", job)
+    return rows.select(
+        *(c for c in requests.columns if c != name),
+        "job_id",
+        F.coalesce(F.when(F.trim(name) != "", F.col(name)), F.concat(F.lit("job_"), "job_id")).alias("job_name"),
+        F.lit("QUEUED").alias("status"),
+        F.lit(0.0).alias("progress_percent"),
+        F.lit("Job queued for processing").alias("message"),
+        F.concat(F.lit(root.rstrip("/") + "/"), "job_id").alias("output_dir"),
+    )
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two timestamps, to hundredths."""
+    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6, 2)
+
+
+def iso_utc(at: Column) -> Column:
+    """A timestamp as ISO text in UTC, with microseconds."""
+    return F.date_format(F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def mosaic_message(engine: Column, width: Column, height: Column, seconds: Column) -> Column:
+    return F.concat(F.lit("Successfully generated "), engine, F.lit(" orthomosaic ("), width.cast("string"), F.lit("x"), height.cast("string"), F.lit("px) in "), seconds.cast("string"), F.lit("s"))
+
+
+def model_message(points: Column, triangles: Column, seconds: Column) -> Column:
+    return F.concat(F.lit("Reconstructed "), points.cast("string"), F.lit(" 3D points ("), F.coalesce(triangles, F.lit(0)).cast("string"), F.lit(" triangles) in "), seconds.cast("string"), F.lit("s"))

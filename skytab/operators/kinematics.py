@@ -112,3 +112,12 @@ def path_length(tracks: DataFrame, track: str = "track_id", order: str = "rn") -
             F.max_by("t", order).alias("end_t"),
         )
     )
+
+
+def accepted_solutions(samples: DataFrame, tracks: DataFrame, key: str = "track_id", at: str = "index", most_error: float = 1.0, least_tracks: int = 60, least_inliers: int = 200, least_baseline: float = 0.8) -> DataFrame:
+    """Samples (key, index, baseline) with enough support: of feature tracks (key, index, forward, backward error, inlier)
+    those whose way there and back ends less than ``most_error`` pixels off count; there must be ``least_tracks`` of
+    them, and ``least_inliers`` that fit one homography, over a baseline long enough. With n_tracks and n_inliers."""
+    held = tracks.filter(F.col("fb_error") < most_error).groupBy(key, at).agg(F.count(F.lit(1)).alias("n_tracks"), F.count_if("inlier").alias("n_inliers"))
+    rows = samples.filter(F.col("baseline") >= least_baseline).join(held, [key, at])
+    return rows.filter((F.col("n_tracks") >= least_tracks) & (F.col("n_inliers") >= least_inliers))

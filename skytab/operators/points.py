@@ -135,3 +135,59 @@ def median_smooth_labels(cells: DataFrame, half: int = 1) -> DataFrame:
     side = F.sequence(F.lit(-half), F.lit(half))
     near = cells.select(F.explode(F.transform(side, lambda d: F.col("row") + d)).alias("row"), "col", "label").select("row", F.explode(F.transform(side, lambda d: F.col("col") + d)).alias("col"), "label")
     return near.join(cells.select("row", "col"), ["row", "col"]).groupBy("row", "col").agg(F.median("label").alias("label"))
+
+
+def density_filter(vertices: DataFrame, *groups: str, share: float = 0.05) -> DataFrame:
+    """``vertices`` without those under the quantile ``share`` (linear interpolation) of the density of their group."""
+    least = vertices.groupBy(*groups).agg(F.percentile("density", share).alias("__least"))
+    both = vertices.join(least, list(groups)) if groups else vertices.join(F.broadcast(least))  # one row
+    return both.filter(F.col("density") >= F.col("__least")).drop("__least")
+
+
+def pivot_radii(neighbours: DataFrame, *groups: str) -> DataFrame:
+    """Radii of a rolling ball, 3, 6 and 12 times the mean distance to the nearest neighbour."""
+    mean = F.avg(F.when(F.col("rank") == 1, F.col("distance")))
+    return neighbours.groupBy(*groups).agg(mean.alias("mean_distance")).withColumn("radii", F.array(*(F.lit(k) * F.col("mean_distance") for k in (3.0, 6.0, 12.0))))
+
+
+def fill_nearest(cells: DataFrame, points: DataFrame, cell: float, *, key: str = "cell_id") -> DataFrame:
+    """``cells`` (key, x, y, z) with z, where null, that of the nearest of ``points`` (point_id, x, y, z; ties: smaller
+    id) in the plane, and where there are no points at all 0."""
+    flat = points.filter("z IS NOT NULL").select((-1 - F.col("point_id")).alias("p"), "x", "y", F.lit(0.0).alias("z"), F.col("z").alias("height"))
+    empty = cells.filter("z IS NULL").select(F.col(key).alias("p"), "x", "y", F.lit(0.0).alias("z"))
+    near = _nearest_of(empty, flat.select("p", "x", "y", "z"), cell)
+    found = near.join(flat.select(F.col("p").alias("other"), "height"), "other").select(F.col("p").alias(key), "height")
+    return cells.join(found, key, "left").withColumn("z", F.coalesce("z", "height", F.lit(0.0))).drop("height")
+
+
+def _nearest_of(seekers: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """For each seeker (p, x, y, z) its nearest point (p, other), by grid cells of growing size."""
+    seekers, points = cut(seekers, "seekers"), cut(points, "points")
+    ends = seekers.select("x", "y").union(points.select("x", "y")).agg(*(F.max(a) - F.min(a) for a in ("x", "y"))).first()
+    span, found = math.hypot(*(e or 0.0 for e in ends)), None
+    while True:
+        near = cut(_within(seekers, points, 1, cell, 1, "p", None).select("p", "other"), "near")
+        found = near if found is None else found.unionByName(near)
+        if cell >= span:
+            return found
+        seekers = cut(seekers.join(near, "p", "left_anti"), "seekers")
+        if seekers.isEmpty():
+            return found
+        cell *= 2
+
+
+def surface_summary(cells: DataFrame, gsd: float, *groups: str) -> DataFrame:
+    """Lowest and highest ground, covered hectares (cells with a label of 0 or more) and how many cells each surface has."""
+    covered = F.count_if(F.col("label") >= 0)
+    return cells.groupBy(*groups).agg(F.min("z").alias("min_elevation"), F.max("z").alias("max_elevation"), (covered * gsd * gsd / 10000.0).alias("hectares"), F.count(F.lit(1)).alias("n_cells"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_labels"))
+
+
+def last_by_name(geo: DataFrame, order: str, name: str = "filename") -> DataFrame:
+    """One row a name, the last one by ``order``."""
+    rows = geo.groupBy(name).agg(F.max(F.struct(order, *(c for c in geo.columns if c not in (name, order)))).alias("__r"))
+    return rows.select(name, "__r.*").select(*geo.columns)
+
+
+def sfm_to_geo(cameras: DataFrame, geo: DataFrame, order: str, name: str = "filename") -> DataFrame:
+    """Camera centres (name, x, y, z) with the photograph (name, u, v, w, ...) of that name, the last one where it repeats."""
+    return cameras.join(last_by_name(geo, order, name), name)

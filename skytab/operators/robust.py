@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import wrap360
 from .asof import interpolate
+from .kinematics import circular_stats
 
 
 def mad_inliers(df: DataFrame, columns: list[str], *keys: str, k: float = 4.0) -> DataFrame:
@@ -77,3 +78,30 @@ def fill_attitude(frames: DataFrame) -> DataFrame:
     """Where a camera pitch is known, yaw, pitch and roll that telemetry lacks come from the camera's."""
     known = F.col("camera_pitch").isNotNull()
     return frames.withColumns({c: F.when(known, F.coalesce(c, f"camera_{c}")).otherwise(F.col(c)) for c in ("yaw", "pitch", "roll")})
+
+
+def count_sources(fused: DataFrame, key: str = "track_id") -> DataFrame:
+    """How many frames of each track have a solved attitude, an extrapolated one, and none but the track's."""
+    kind = lambda s: F.count_if(F.col("attitude_source") == s)
+    return fused.groupBy(key).agg(kind("visual-homography").alias("n_solved"), kind("visual-extrapolated").alias("n_extrapolated"), kind("gps-track").alias("n_gps"))
+
+
+def attitude_report(motion: DataFrame, samples: DataFrame, fused: DataFrame, key: str = "track_id") -> DataFrame:
+    """One report a track as JSON text (key, report): of motion (key, course, ground_speed) the mean course, its
+    spread and the speeds; of samples (key, pitch, roll, yaw, agl) means and deviations; of fused frames how
+    many are solved and extrapolated. A track without samples has no visual part."""
+    speed = motion.groupBy(key).agg(F.count(F.lit(1)).alias("records"), F.avg("ground_speed").alias("mean"), F.max("ground_speed").alias("most"))
+    course = circular_stats(motion, "course", key).select(key, F.col("mean").alias("course"), F.col("std").alias("course_std"))
+    turn = circular_stats(samples, "yaw", key).select(key, F.col("mean").alias("yaw"), F.col("std").alias("yaw_std"))
+    both = lambda c: F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
+    seen = samples.groupBy(key).agg(F.count(F.lit(1)).alias("samples"), both("pitch"), both("roll"), both("agl"))
+    rows = speed.join(course, key, "left").join(seen.join(turn, key), key, "left").join(count_sources(fused, key), key, "left")
+    track = F.struct(F.col("course").alias("mean_course_deg"), F.col("course_std").alias("course_circ_std_deg"), F.col("mean").alias("mean_speed_mps"), F.col("most").alias("max_speed_mps"))
+    visual = F.struct("samples", F.col("pitch").alias("pitch_deg"), F.col("roll").alias("roll_deg"), F.struct(F.col("yaw").alias("mean"), F.col("yaw_std").alias("circ_std")).alias("yaw_deg"), F.col("agl").alias("agl_m"))
+    report = F.struct("records", track.alias("track"), F.when(F.col("samples").isNotNull(), visual).alias("visual"), F.coalesce("n_solved", F.lit(0)).alias("frames_with_visual_attitude"), F.coalesce("n_extrapolated", F.lit(0)).alias("frames_extrapolated"))
+    return rows.select(key, F.to_json(report).alias("report"))
+
+
+def metrics_report(metrics: DataFrame, *keys: str) -> DataFrame:
+    """Rows of metrics as JSON texts (keys, metrics), for a file of metrics or curves."""
+    return metrics.select(*keys, F.to_json(F.struct(*(c for c in metrics.columns if c not in keys))).alias("metrics"))

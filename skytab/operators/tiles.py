@@ -12,6 +12,43 @@ def orthophoto_id(stem: Column) -> Column:
     return F.regexp_replace(stem, SUFFIX, "")
 
 
+def orthophoto_token(stem: Column) -> Column:
+    """The other form of the id: marked endings go wherever they stand, a plain one stays."""
+    return F.regexp_replace(stem, r"_(2sec|1fps)_orthophoto", "")
+
+
+def assign_split(images: DataFrame, splits: DataFrame, image_id: str = "image_id", within: bool = False) -> DataFrame:
+    """``images`` that a table (token, split) names, with split. within: the token may stand anywhere in the
+    id, and of several the first split by train, val, test counts; else it must be the id. Splits are few."""
+    order = F.array_position(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("split"))
+    if not within:
+        return images.join(splits.select(F.col("token").alias(image_id), "split"), image_id)
+    held = splits.agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "token", "split"))).alias("__s"))  # one row
+    rows = images.join(F.broadcast(held))
+    first = F.get(F.filter("__s", lambda x: F.contains(F.col(image_id), x["token"])), F.lit(0))
+    return rows.withColumn("split", first["split"]).filter("split IS NOT NULL").drop("__s")
+
+
+def tile_records(images: DataFrame, splits: DataFrame, size: int, stride: int) -> DataFrame:
+    """Images x tiles x split: ``images`` (image_id, width, height, ...) that have a split, one row for each tile."""
+    return iter_tiles(assign_split(images, splits), size, stride)
+
+
+def tile_instances(pixels: DataFrame, tiles: DataFrame, image: str = "image", cell: int = 64, least_pixels: int = 4) -> DataFrame:
+    """Instances as the tiles see them, from pixels (image, instance, px, py) and tiles (image, x, y, tile_width,
+    tile_height): image, x, y, instance, n_pixels and the box x1, y1, x2, y2 (half open) within the tile.
+
+    Pixels meet tiles by an equi join on grid cells. Fragments of fewer than ``least_pixels`` pixels are left out.
+    """
+    span = lambda c, n: F.sequence(F.floor(F.col(c) / cell), F.floor((F.col(c) + F.col(n) - 1) / cell))
+    near = tiles.select(image, "x", "y", "tile_width", "tile_height", F.explode(span("x", "tile_width")).alias("__gx")).select("*", F.explode(span("y", "tile_height")).alias("__gy"))
+    home = pixels.withColumns({"__gx": F.floor(F.col("px") / cell), "__gy": F.floor(F.col("py") / cell)})
+    both = home.join(near, [image, "__gx", "__gy"]).withColumns({"u": F.col("px") - F.col("x"), "v": F.col("py") - F.col("y")})
+    both = both.filter("u >= 0 AND v >= 0 AND u < tile_width AND v < tile_height")
+    box = [F.min("u").alias("x1"), F.min("v").alias("y1"), (F.max("u") + 1).alias("x2"), (F.max("v") + 1).alias("y2")]
+    return both.groupBy(image, "x", "y", "instance").agg(F.count(F.lit(1)).alias("n_pixels"), *box).filter(F.col("n_pixels") >= least_pixels)
+
+
 def origins(extent: Column, size: int, stride: int) -> Column:
     """Starts of tiles along a side: every stride, and one flush with the end."""
     last = F.greatest(extent - size, F.lit(0)).cast("int")

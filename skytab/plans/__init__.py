@@ -1,7 +1,7 @@
 """Registered queries: name to (spark, sf_dir) function, and name to equivalent SQL."""
 
-from . import imagery, mosaics, objects, tracks
+from . import deliveries, imagery, mosaics, objects, tracks
 
-MODULES = [tracks, imagery, objects, mosaics]
+MODULES = [tracks, imagery, objects, mosaics, deliveries]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

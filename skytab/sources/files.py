@@ -14,7 +14,7 @@ from ..functions import text as tx
 # layout of TIFF values inside JPEG files, fixed values: type to (size, struct letter)
 TIFF_TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 7: (1, "s"), 9: (4, "i"), 10: (8, "ii")}
 EXIF_POINTER, GPS_POINTER = 0x8769, 0x8825
-IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff")
+SUFFIXES = r"\.(jpg|jpeg|png|tif|tiff)$"
 
 
 def _directory(data: bytes, order: str, at: int) -> dict[int, object]:
@@ -140,7 +140,23 @@ def list_images(spark: SparkSession, path: str, contains: str = "orthophoto", wi
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.withColumn("filename", name).withColumn("stem", F.regexp_replace("filename", r"\.[^.]*$", ""))
-    return rows.filter(F.lower("filename").contains(contains) & ~F.lower("filename").contains(without))
+    return rows.filter(F.lower("filename").contains(contains) & ~F.lower("filename").contains(without) & F.lower("filename").rlike(SUFFIXES))
+
+
+def list_orthophotos(spark: SparkSession, path: str, inventory: DataFrame | None = None) -> DataFrame:
+    """TIFF orthophotos under a path, without previews; with an inventory (filename, annotation) those it names."""
+    rows = list_images(spark, path).filter(F.lower("filename").endswith(".tif"))
+    return rows if inventory is None else rows.join(inventory.select("filename"), "filename", "left_semi")
+
+
+def require_inventory(inventory: DataFrame, images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Every row of the inventory (filename, annotation) with the path of its image (the first by name) and of its
+    annotation file (name, path); reading it fails if one of them is missing."""
+    image = images.groupBy("filename").agg(F.min("path").alias("image_path"))
+    note = annotations.groupBy(F.col("name").alias("annotation")).agg(F.min("path").alias("annotation_path"))
+    rows = inventory.join(image, "filename", "left").join(note, "annotation", "left")
+    need = lambda c, what: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit("missing "), F.col(what))).cast("string")).alias(c)
+    return rows.select("filename", "annotation", need("image_path", "filename"), need("annotation_path", "annotation"))
 
 
 def find_annotation(images: DataFrame, annotations: DataFrame, inventory: DataFrame) -> DataFrame:
