@@ -70,21 +70,22 @@ def rake(cells: DataFrame, s: Settings) -> DataFrame:
     its target, and margin_error: the largest share by which a value of any margin still misses it.
 
     The cells are as many as combinations of values occur. Each step is one aggregate joined back, and
-    its result is written: plans stay small and alike, whatever the rounds, and so does what the
-    driver holds for them.
+    the result of a round is written: plans stay small and alike, whatever the rounds, and so does
+    what the driver holds for them.
     """
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
     for m in MARGINS:
         fitted = fitted.join(_target(cells, m, s).withColumnRenamed("target", f"target_{m}"), m)
     fitted = cut(fitted.select(*MARGINS, "tokens", "weight", *(f"target_{m}" for m in MARGINS)), "raked")
-    error = margin_error(fitted)
+    error, columns = margin_error(fitted), fitted.columns
     for _ in range(s.rounds):
         if error <= s.tolerance:
             break
         for m in MARGINS:
             now = fitted.groupBy(m).agg(F.sum("weight").alias("now"))
             weight = F.when(F.col("now") > 0, F.col("weight") * F.col(f"target_{m}") / F.col("now")).otherwise(F.lit(0.0))
-            fitted = cut(fitted.join(now, m).select(*(weight.alias(c) if c == "weight" else F.col(c) for c in fitted.columns)), "raked")
+            fitted = fitted.join(now, m).select(*(weight.alias(c) if c == "weight" else F.col(c) for c in columns))
+        fitted = cut(fitted, "raked")
         error = margin_error(fitted)
     return fitted.select(*MARGINS, "tokens", "weight", F.lit(error).alias("margin_error"))
 
