@@ -15,8 +15,7 @@ def _restored(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], keep: tu
     """The stage's rows with the columns of ``docs``: those the operator might replace go through it under other names."""
     plain = ("doc_id", "text", "lang", "source", *keep)
     names = {c: f"__kept_{k}" for k, c in enumerate(docs.columns) if c not in plain}
-    back = {v: k for k, v in names.items()}
-    return stage(docs.withColumnsRenamed(names)).withColumnsRenamed(back).select(docs.columns)
+    return stage(docs.withColumnsRenamed(names)).select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
