@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,22 +101,32 @@ def similarity_transform(pairs: DataFrame) -> tuple[float, np.ndarray, np.ndarra
     return scale, rotation, mu_b - scale * rotation @ mu_a
 
 
-def seam_gains(pairs: DataFrame, low: float = 0.82, high: float = 1.22) -> dict[int, float]:
-    """Exposure gain of each frame from rows (i, j, mean_i, mean_j, weight): least squares of log gains with
-    mean zero, clamped. The normal equations are summed in Spark; frames of one mosaic are few."""
-    ok = pairs.filter("mean_i > 0 AND mean_j > 0 AND i <> j").select("i", "j", F.coalesce("weight", F.lit(1.0)).alias("w"), (F.log("mean_j") - F.log("mean_i")).alias("r"))
-    diagonal = ok.select(F.explode(F.array(F.struct(F.col("i").alias("k"), F.col("w"), (F.col("w") * F.col("r")).alias("b")), F.struct(F.col("j").alias("k"), F.col("w"), (-F.col("w") * F.col("r")).alias("b")))).alias("e")).groupBy("e.k").agg(F.sum("e.w").alias("w"), F.sum("e.b").alias("b")).collect()
-    off = ok.groupBy("i", "j").agg(F.sum("w").alias("w")).collect()
-    at = {row["k"]: n for n, row in enumerate(sorted(diagonal, key=lambda x: x["k"]))}
-    m, rhs = np.zeros((len(at) + 1, len(at))), np.zeros(len(at) + 1)
-    for row in diagonal:
-        m[at[row["k"]], at[row["k"]]], rhs[at[row["k"]]] = row["w"], row["b"]
-    for row in off:
-        m[at[row["i"]], at[row["j"]]] -= row["w"]
-        m[at[row["j"]], at[row["i"]]] -= row["w"]
-    m[-1] = 1.0
-    gains = np.exp(np.linalg.lstsq(m, rhs, rcond=None)[0]) if at else []
-    return {k: float(np.clip(gains[n], low, high)) for k, n in at.items()}
+def seam_gains(pairs: DataFrame, key: str, low: float = 0.82, high: float = 1.22) -> DataFrame:
+    """Exposure gain (key, frame, gain) of each frame of each mosaic from seams (key, i, j, mean_i, mean_j, weight): least
+    squares of log gains with mean zero, clamped. Each mosaic is solved where its seams are, by conjugate
+    gradients over the seams; seams of a mosaic are as many as its frames have neighbours."""
+    ok = pairs.filter("mean_i > 0 AND mean_j > 0 AND i <> j")
+    ok = ok.select(key, F.col("i").cast("long"), F.col("j").cast("long"), F.coalesce("weight", F.lit(1.0)).alias("w"), (F.log("mean_j") - F.log("mean_i")).alias("r"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        frames, at = np.unique(pdf[["i", "j"]].to_numpy(), return_inverse=True)
+        i, j = at.reshape(-1, 2).T
+        w, n = pdf["w"].to_numpy(), len(frames)
+        spread = lambda v: np.bincount(i, v, n) - np.bincount(j, v, n)
+        x, rest = np.zeros(n), spread(w * pdf["r"].to_numpy())
+        step, size = rest.copy(), rest @ rest
+        goal = 1e-26 * size
+        for _ in range(20 * n):
+            if size <= goal:
+                break
+            pull = spread(w * (step[i] - step[j]))
+            a = size / (step @ pull)
+            x, rest = x + a * step, rest - a * pull
+            size, last = rest @ rest, size
+            step = rest + size / last * step
+        return pd.DataFrame({key: pdf[key].iloc[0], "frame": frames, "gain": np.clip(np.exp(x - x.mean()), low, high)})
+
+    return ok.groupBy(key).applyInPandas(solve, f"{key} {dict(pairs.dtypes)[key]}, frame long, gain double")
 
 
 def best_frame(weights: DataFrame, *cell: str) -> DataFrame:
@@ -153,7 +164,7 @@ def pivot_radii(neighbours: DataFrame, *groups: str) -> DataFrame:
 def fill_nearest(cells: DataFrame, points: DataFrame, cell: float, *, key: str = "cell_id") -> DataFrame:
     """``cells`` (key, x, y, z) with z, where null, that of the nearest of ``points`` (point_id, x, y, z; ties: smaller
     id) in the plane, and where there are no points at all 0."""
-    flat = points.filter("z IS NOT NULL").select((-1 - F.col("point_id")).alias("p"), "x", "y", F.lit(0.0).alias("z"), F.col("z").alias("height"))
+    flat = points.filter("z IS NOT NULL").select((F.col("point_id") - (1 << 62)).alias("p"), "x", "y", F.lit(0.0).alias("z"), F.col("z").alias("height"))
     empty = cells.filter("z IS NULL").select(F.col(key).alias("p"), "x", "y", F.lit(0.0).alias("z"))
     near = _nearest_of(empty, flat.select("p", "x", "y", "z"), cell)
     found = near.join(flat.select(F.col("p").alias("other"), "height"), "other").select(F.col("p").alias(key), "height")

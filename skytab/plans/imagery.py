@@ -75,13 +75,17 @@ def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.images(spark, sf_dir).select("event_id", r(w, 4).alias("ground_w"), r(h, 4).alias("ground_h"), r(gsd, 6).alias("gsd"))
 
 
-@query(f"""WITH {_FOOT}, e AS (SELECT *, abs(cos(radians(yaw))) AS c, abs(sin(radians(yaw))) AS s FROM foot)
-SELECT track_id, round(min(longitude * 100000 - (gw * c + gh * s) / 2), 3) AS min_x, round(min(latitude * 100000 - (gw * s + gh * c) / 2), 3) AS min_y, round(max(longitude * 100000 + (gw * c + gh * s) / 2), 3) AS max_x, round(max(latitude * 100000 + (gw * s + gh * c) / 2), 3) AS max_y FROM e GROUP BY track_id""")
+@query(f"""WITH {_FOOT}, p AS (SELECT *, radians(latitude) AS f, radians(longitude - (floor((longitude + 180) / 6) * 6 + 3 - 180)) AS dl FROM foot),
+q AS (SELECT *, sinh(atanh(sin(f)) - {_E!r}::DOUBLE * atanh({_E!r}::DOUBLE * sin(f))) AS t FROM p), x AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM q),
+u AS (SELECT *, 500000 + 0.9996::DOUBLE * {_R!r}::DOUBLE * (eta + {" + ".join(f"{a!r}::DOUBLE * cos({2 * k + 2} * xi) * sinh({2 * k + 2} * eta)" for k, a in enumerate(_ALPHA))}) AS x, 0.9996::DOUBLE * {_R!r}::DOUBLE * (xi + {" + ".join(f"{a!r}::DOUBLE * sin({2 * k + 2} * xi) * cosh({2 * k + 2} * eta)" for k, a in enumerate(_ALPHA))}) AS y, abs(cos(radians(yaw))) AS c, abs(sin(radians(yaw))) AS s FROM x)
+SELECT track_id, round(min(x - (gw * c + gh * s) / 2), 3) AS min_x, round(min(y - (gw * s + gh * c) / 2), 3) AS min_y, round(max(x + (gw * c + gh * s) / 2), 3) AS max_x, round(max(y + (gw * s + gh * c) / 2), 3) AS max_y FROM u GROUP BY track_id""")
 def rotated_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of all turned footprints of a track, in metres of its UTM zone."""
     (w, h, _), _ = _footprint()
     rows = b.images(spark, sf_dir).withColumns({"w": w, "h": h})
     hw, hh = geodesy.rotated_half_extent(F.col("w"), F.col("h"), F.col("yaw"))
-    rows = rows.withColumns({"hw": hw, "hh": hh, "x": F.col("longitude") * 100000, "y": F.col("latitude") * 100000})
+    x, y = geodesy.utm_forward(F.col("longitude"), F.col("latitude"))
+    rows = rows.withColumns({"hw": hw, "hh": hh, "x": x, "y": y})
     ends = {"min_x": F.min(F.col("x") - F.col("hw")), "min_y": F.min(F.col("y") - F.col("hh")), "max_x": F.max(F.col("x") + F.col("hw")), "max_y": F.max(F.col("y") + F.col("hh"))}
     return rows.groupBy("track_id").agg(*(r(c, 3).alias(n) for n, c in ends.items()))
 

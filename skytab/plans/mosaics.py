@@ -117,3 +117,15 @@ def ray_cast_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = mosaic.cast_rays(cells, cams)
     long = lambda c: F.col(c).cast("long").alias(c)
     return seen.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n_frames"), r(F.sum("weight"), 5).alias("weight")).select(long("row"), long("col"), "n_frames", "weight")
+
+
+@query(f"""WITH {b.TRACKS}, s AS (SELECT track_id, rn, ln(100.0::DOUBLE + lead(v) OVER w % 5) - ln(100.0::DOUBLE + v % 7) AS r, lead(rn) OVER w AS nxt FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY rn)),
+x AS (SELECT track_id, rn, -coalesce(sum(r) OVER (PARTITION BY track_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM s)
+SELECT track_id, rn AS frame, round(least(1.22, greatest(0.82, exp(x - avg(x) OVER (PARTITION BY track_id)))), 4) AS gain FROM x WHERE track_id IN (SELECT track_id FROM s WHERE nxt IS NOT NULL)""")
+def seam_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a track, each with a seam to the next: on a chain the gains follow from sums of logs."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("track_id").orderBy("rn")
+    rows = b.tracks(spark, sf_dir).select("track_id", F.col("rn").alias("i"), F.lead("rn").over(w).alias("j"), (100.0 + F.col("v") % 7).alias("mean_i"), (100.0 + F.lead("v").over(w) % 5).alias("mean_j"), F.lit(None).cast("double").alias("weight"))
+    return points.seam_gains(rows, "track_id").select("track_id", "frame", r("gain", 4).alias("gain"))

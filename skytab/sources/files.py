@@ -6,9 +6,10 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import text as tx
 
 # layout of TIFF values inside JPEG files, fixed values: type to (size, struct letter)
@@ -172,10 +173,30 @@ def find_annotation(images: DataFrame, annotations: DataFrame, inventory: DataFr
 
 
 def read_ply(spark: SparkSession, path: str, at_least: int = 4) -> DataFrame:
-    """Points (x, y, z, nx, ny, nz) of ASCII PLY files under a path; an error with fewer than ``at_least`` points in all."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v"))
-    part = lambda k: tx.as_double(F.get("v", F.lit(k)))
-    rows = lines.select(*(part(k).alias(c) for k, c in enumerate(("x", "y", "z", "nx", "ny", "nz")))).filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    """Points (file, x, y, z, nx, ny, nz) of ASCII PLY files under a path, by the names and the number of vertices in
+    each header; properties a file lacks are null. An error with fewer than ``at_least`` points in all.
+
+    Lines are numbered without a window over a file: within a task as they come, and after the counts of
+    the tasks before.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("m"), F.trim("value").alias("value"))
+    lines = cut(lines.select("file", F.shiftright("m", 33).alias("task"), F.expr("m & 8589934591").alias("at"), "value"), "lines")
+    sizes = lines.groupBy("file", "task").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.join(sizes.select("file", "task", (before - F.col("first")).alias("shift")), ["file", "task"]).withColumn("line", F.col("at") + F.col("shift"))
+    head = lines.filter(F.rlike("value", F.lit(r"^(element|property)\s|^end_header$")))
+    head = head.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("h"))  # some dozen lines a file
+    end = F.array_min(F.transform(F.filter("h", lambda x: x["value"] == "end_header"), lambda x: x["line"]))
+    head = head.withColumn("end", end).withColumn("h", F.filter("h", lambda x: x["line"] < F.col("end")))
+    elements = F.filter("h", lambda x: F.startswith(x["value"], F.lit("element")))
+    vertex = F.get(F.filter(elements, lambda x: F.rlike(x["value"], F.lit(r"^element\s+vertex\s"))), F.lit(0))
+    other = F.array_min(F.transform(F.filter(elements, lambda x: x["line"] > vertex["line"]), lambda x: x["line"]))
+    own = F.filter("h", lambda x: F.startswith(x["value"], F.lit("property")) & (x["line"] > vertex["line"]) & (x["line"] < F.coalesce(other, F.col("end"))))
+    names = F.transform(own, lambda x: F.element_at(F.split(x["value"], r"\s+"), -1))
+    head = head.select("file", "end", F.element_at(F.split(vertex["value"], r"\s+"), 3).try_cast("long").alias("n"), names.alias("names"))
+    rows = lines.join(head, "file").filter("line > end AND line <= end + n").withColumn("v", F.split("value", r"\s+"))
+    part = lambda c: tx.as_double(F.get("v", F.nullif(F.array_position("names", c), F.lit(0)).cast("int") - 1)).alias(c)
+    rows = rows.select("file", *map(part, ("x", "y", "z", "nx", "ny", "nz"))).filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     if rows.limit(at_least).count() < at_least:
         raise ValueError(f"fewer than {at_least} points")
     return rows

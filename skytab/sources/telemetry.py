@@ -10,46 +10,48 @@ from ..functions import text as tx
 FIELDS = ["frame_cnt", "diff_time_ms", "timestamp_str", "latitude", "longitude", "altitude", "iso", "shutter", "fnum", "focal_len", "ev", "ct", "color_md", "yaw", "pitch", "roll"]
 
 
-def _tagged(tags: tuple[Column, Column], names: list[str], parse, fallback: Column) -> Column:
-    """The first of the tags that is there, parsed: one that does not parse gives null, not the fallback."""
-    out = fallback
-    for name in reversed(names):
-        out = F.when(F.array_contains(tags[0], name), parse(tx.tag(*tags, name))).otherwise(out)
-    return out
+# The input format, fixed values: of each field the bracketed tags in order of preference, and the pattern by which it
+# is found in text without brackets (group 1). Patterns without a word boundary match inside longer names too.
+SIGNED, PLAIN = tx.NUMBER, r"(\d+\.?\d*)"
+FORMAT = {
+    "frame_cnt": ([], r"(?i)(?:FrameCnt|Frame)\s*[:=]\s*(\d+)"),
+    "diff_time_ms": ([], r"(?i)DiffTime\s*[:=]\s*(\d+)\s*ms"),
+    "timestamp_str": ([], r"(\d{4}[-/]\d{2}[-/]\d{2}\s+\d{2}:\d{2}:\d{2}(?:[,.]\d+)?)"),
+    "latitude": (["latitude", "lat"], rf"(?i)(?:latitude|lat)\s*[:=]\s*{SIGNED}"),
+    "longitude": (["longtitude", "longitude", "lon", "lng"], rf"(?i)(?:longtitude|longitude|lon|lng)\s*[:=]\s*{SIGNED}"),
+    "altitude": (["altitude", "alt", "rel_alt"], rf"(?i)(?:altitude|alt|rel_alt)\s*[:=]\s*{SIGNED}"),
+    "iso": (["iso"], r"(?i)\biso\s*[:=]\s*(\d+)"),
+    "shutter": (["shutter"], r"(?i)\bshutter\s*[:=]\s*([0-9/.]+)"),
+    "fnum": (["fnum"], rf"(?i)\bfnum\s*[:=]\s*{PLAIN}"),
+    "focal_len": (["focal_len"], rf"(?i)\bfocal_len\s*[:=]\s*{PLAIN}"),
+    "ev": (["ev"], rf"(?i)\bev\s*[:=]\s*{SIGNED}"),
+    "ct": (["ct"], r"(?i)\bct\s*[:=]\s*(\d+)"),
+    "color_md": (["color_md"], r"(?i)\bcolor_md\s*[:=]\s*(\w+)"),
+    "yaw": (["gb_yaw", "yaw"], rf"(?i)(?:gb_yaw|yaw)\s*[:=]\s*{SIGNED}"),
+    "pitch": (["gb_pitch", "pitch"], rf"(?i)(?:gb_pitch|pitch)\s*[:=]\s*{SIGNED}"),
+    "roll": (["gb_roll", "roll"], rf"(?i)(?:gb_roll|roll)\s*[:=]\s*{SIGNED}"),
+}
+WHOLE, TEXT, ANGLES = ("frame_cnt", "diff_time_ms", "iso", "ct"), ("timestamp_str", "shutter", "color_md"), ("yaw", "pitch", "roll")
+SCALES = {"fnum": 100.0, "focal_len": 10.0}
 
 
 def telemetry_fields(text: Column, tags: tuple[Column, Column]) -> dict[str, Column]:
     """Columns for FIELDS of one payload text without markup, and its tag arrays.
 
-    A bracketed tag goes before the looser pattern; the loose patterns for positions and angles are
-    not anchored, so they match inside longer names.
+    A bracketed tag goes before the looser pattern, and one that does not parse gives null, not what the
+    pattern finds; of an angle an empty tag is as good as none.
     """
-    loose = lambda names, rest=tx.NUMBER: tx.extract(text, rf"(?i)(?:{names})\s*[:=]\s*{rest}")
-    word = lambda name, rest: tx.extract(text, rf"(?i)\b{name}\s*[:=]\s*{rest}")
-    number, whole, same = tx.as_double, tx.as_int, lambda v: v
-
-    def angle(name: str) -> Column:
-        tag = F.coalesce(*(F.nullif(tx.tag(*tags, k), F.lit("")) for k in (f"gb_{name}", name)))
-        return F.when(tag.isNotNull(), number(tag)).otherwise(number(loose(f"gb_{name}|{name}")))
-
-    return {
-        "frame_cnt": tx.extract(text, r"(?i)(?:FrameCnt|Frame)\s*[:=]\s*(\d+)").try_cast("int"),
-        "diff_time_ms": tx.extract(text, r"(?i)DiffTime\s*[:=]\s*(\d+)\s*ms").try_cast("int"),
-        "timestamp_str": F.replace(tx.extract(text, r"(\d{4}[-/]\d{2}[-/]\d{2}\s+\d{2}:\d{2}:\d{2}(?:[,.]\d+)?)"), F.lit(","), F.lit(".")),
-        "latitude": _tagged(tags, ["latitude", "lat"], number, number(loose("latitude|lat"))),
-        "longitude": _tagged(tags, ["longtitude", "longitude", "lon", "lng"], number, number(loose("longtitude|longitude|lon|lng"))),
-        "altitude": _tagged(tags, ["altitude", "alt", "rel_alt"], number, number(loose("altitude|alt|rel_alt"))),
-        "iso": _tagged(tags, ["iso"], whole, whole(word("iso", r"(\d+)"))),
-        "shutter": _tagged(tags, ["shutter"], same, word("shutter", r"([0-9/.]+)")),
-        "fnum": tx.scaled(_tagged(tags, ["fnum"], number, number(word("fnum", r"(\d+\.?\d*)"))), 100.0),
-        "focal_len": tx.scaled(_tagged(tags, ["focal_len"], number, number(word("focal_len", r"(\d+\.?\d*)"))), 10.0),
-        "ev": _tagged(tags, ["ev"], number, number(word("ev", tx.NUMBER))),
-        "ct": _tagged(tags, ["ct"], whole, whole(word("ct", r"(\d+)"))),
-        "color_md": _tagged(tags, ["color_md"], same, word("color_md", r"(\w+)")),
-        "yaw": angle("yaw"),
-        "pitch": angle("pitch"),
-        "roll": angle("roll"),
-    }
+    out = {}
+    for field, (names, pattern) in FORMAT.items():
+        parse = tx.as_int if field in WHOLE else (lambda v: v) if field in TEXT else tx.as_double
+        value = parse(tx.extract(text, pattern))
+        for name in reversed(names):
+            found = tx.tag(*tags, name)
+            there = F.coalesce(found != "", F.lit(False)) if field in ANGLES else F.array_contains(tags[0], name)
+            value = F.when(there, parse(found)).otherwise(value)
+        out[field] = tx.scaled(value, SCALES[field]) if field in SCALES else value
+    out["timestamp_str"] = F.replace(out["timestamp_str"], F.lit(","), F.lit("."))
+    return out
 
 
 def parse_payload(df: DataFrame, text: str = "raw_text") -> DataFrame:

@@ -140,8 +140,9 @@ def test_points(spark):
     scale, rot, shift = points.similarity_transform(pairs)
     assert scale == pytest.approx(2) and np.allclose(rot, [[0, 1, 0], [-1, 0, 0], [0, 0, 1]]) and np.allclose(shift, [1, 0, -3])
     seams = spark.createDataFrame([(0, 1, 100.0, 110.0, 1.0), (1, 2, 110.0, 100.0, 1.0), (0, 2, 100.0, 100.0, 1.0), (5, 6, 0.0, 1.0, 1.0)], "i int, j int, mean_i double, mean_j double, weight double")
-    gains = points.seam_gains(seams)
-    assert gains[0] == pytest.approx(gains[2]) and gains[0] / gains[1] == pytest.approx(1.1) and points.seam_gains(seams.limit(0)) == {}
+    gains = {r.frame: r.gain for r in points.seam_gains(seams.withColumn("mosaic", F.lit("m")), "mosaic").collect()}
+    assert gains[0] == pytest.approx(gains[2]) and gains[0] / gains[1] == pytest.approx(1.1)
+    assert points.seam_gains(seams.limit(0).withColumn("mosaic", F.lit("m")), "mosaic").count() == 0
 
 
 def test_jobs(spark, tmp_path):

@@ -125,8 +125,10 @@ def test_image_folder(spark, tmp_path):
 
 
 def test_ply_and_inventories(spark, tmp_path):
-    (tmp_path / "p.ply").write_text("ply\nformat ascii 1.0\nend_header\n" + "".join(f"{k} {k}.5 0 0 0 1\n" for k in range(4)))
-    assert files.read_ply(spark, str(tmp_path / "p.ply")).count() == 4
+    head = "ply\nformat ascii 1.0\nelement vertex 4\nproperty float z\nproperty float x\nproperty float y\nproperty float nx\nelement face 2\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "p.ply").write_text(head + "".join(f"{k} {k}.5 7 1\n" for k in range(4)) + "3 0 1 2\n3 1 2 3\n")
+    got = sorted((r.x, r.y, r.z, r.nx, r.ny) for r in files.read_ply(spark, str(tmp_path / "p.ply")).collect())
+    assert got == [(k + 0.5, 7.0, float(k), 1.0, None) for k in range(4)]
     with pytest.raises(ValueError):
         files.read_ply(spark, str(tmp_path / "p.ply"), 5)
     for name in ("A_2sec_orthophoto.tif", "B_orthophoto.tif", "B_orthophoto_preview.tif", "C_orthophoto.tif"):
