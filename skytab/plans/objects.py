@@ -425,12 +425,28 @@ def srt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("track_id", long("index"), r("start_sec", 3).alias("start_sec"), r("end_sec", 3).alias("end_sec"), long("frame_cnt"), "diff_time_ms", "timestamp_str", r("latitude", 6).alias("latitude"), r("longitude", 6).alias("longitude"), long("iso"), "shutter", "fnum", "focal_len", "ev", "ct", "color_md")
 
 
-@query(f"""WITH {b.TRACKS} SELECT track_id, rn AS index, CASE rn % 7 WHEN 0 THEN 12.5 WHEN 1 THEN NULL WHEN 2 THEN 13.25 WHEN 3 THEN -7.5 WHEN 4 THEN 2.0 WHEN 5 THEN NULL ELSE 44.0 END::DOUBLE AS latitude,
- CASE rn % 7 WHEN 0 THEN 1.5 WHEN 3 THEN 200.1 WHEN 4 THEN 7.0 END::DOUBLE AS altitude, CASE rn % 7 WHEN 0 THEN 100 WHEN 2 THEN 400 ELSE -1 END::INT AS iso, CASE rn % 7 WHEN 4 THEN 350.5 WHEN 6 THEN -7.0 END::DOUBLE AS yaw FROM tracks""")
+_CASES = ["[latitude: 12.5] [alt: 1.5] [iso: 100]", "[latitude: north] lat: 5.0 [rel_alt: 1.2 abs_alt: 200.1] [iso: 100.0]", "[lat: 1.0] [LAT: 13.25] iso: 400", "latitude = -7.5, abs_alt: 200.1", "xlat: 2.0 [altitude: 9] [Altitude: 7] [gb_yaw: 350.5] [yaw: 1]", "nothing [iso: ]", "[latitude: 44] [yaw: -7]"]
+
+
+def _dirty(names: list[str], loose: str, form: str, kind: str) -> str:
+    """A field worked out in SQL: the last tag of the first name that is there, else what the loose pattern finds."""
+    number = lambda x: f"CASE WHEN regexp_full_match(trim({x}), '{form}') THEN CAST(trim({x}) AS {kind}) END"
+    tag = lambda n: f"vs[len(ks) - list_position(list_reverse(ks), '{n}') + 1]"
+    whens = " ".join(f"WHEN list_contains(ks, '{n}') THEN {number(tag(n))}" for n in names)
+    return f"CASE {whens} ELSE {number(f"nullif(regexp_extract(t, '{loose}', 1), '')")} END"
+
+
+_DOUBLE = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
+_LOOSE = r"(?i)(?:{})\s*[:=]\s*([-+]?\d+\.?\d*)"
+
+
+@query(rf"""WITH {b.TRACKS}, c AS (SELECT track_id, rn, [{", ".join(f"'{c}'" for c in _CASES)}][rn % 7 + 1] AS t FROM tracks),
+k AS (SELECT *, list_transform(regexp_extract_all(t, '\[\s*([\w_]+)\s*[:=]\s*([^\]]+)\s*\]', 1), lambda x: lower(trim(x))) AS ks, list_transform(regexp_extract_all(t, '\[\s*([\w_]+)\s*[:=]\s*([^\]]+)\s*\]', 2), lambda x: trim(x)) AS vs FROM c)
+SELECT track_id, rn AS index, {_dirty(["latitude", "lat"], _LOOSE.format("latitude|lat"), _DOUBLE, "DOUBLE")} AS latitude, {_dirty(["altitude", "alt", "rel_alt"], _LOOSE.format("altitude|alt|rel_alt"), _DOUBLE, "DOUBLE")} AS altitude,
+ coalesce({_dirty(["iso"], r"(?i)\biso\s*[:=]\s*(\d+)", r"[+-]?\d+", "INT")}, -1) AS iso, {_dirty(["gb_yaw", "yaw"], _LOOSE.format("gb_yaw|yaw"), _DOUBLE, "DOUBLE")} AS yaw FROM k""")
 def srt_dirty_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry with repeated, broken and missing tags; the oracle has what they should give."""
-    cases = ["[latitude: 12.5] [alt: 1.5] [iso: 100]", "[latitude: north] lat: 5.0 [rel_alt: 1.2 abs_alt: 200.1] [iso: 100.0]", "[lat: 1.0] [LAT: 13.25] iso: 400", "latitude = -7.5, abs_alt: 200.1", "xlat: 2.0 [altitude: 9] [Altitude: 7] [gb_yaw: 350.5] [yaw: 1]", "nothing [iso: ]", "[latitude: 44] [yaw: -7]"]
-    body = F.element_at(F.array(*map(F.lit, cases)), (F.col("rn") % 7 + 1).cast("int"))
+    """Telemetry with repeated, broken and missing tags; the oracle reads the same texts."""
+    body = F.element_at(F.array(*map(F.lit, _CASES)), (F.col("rn") % 7 + 1).cast("int"))
     p = telemetry.parse_srt(_render(b.tracks(spark, sf_dir), body))
     return p.select("track_id", F.col("index").cast("long").alias("index"), "latitude", "altitude", F.coalesce("iso", F.lit(-1)).alias("iso"), "yaw")
 
