@@ -72,15 +72,17 @@ def match_one_to_one(candidates: DataFrame, key: str, score: str = "score", a: s
     all of those and drops what they use, until none is left. Ties are settled by the ids, so the
     order is total and the rounds give the greedy result.
     """
+    rank = [F.desc(score), F.desc(a), F.desc(b)]
+    best = lambda side: F.row_number().over(Window.partitionBy(key, side).orderBy(*rank)) == 1
+    used = lambda side: F.max("__taken").over(Window.partitionBy(key, side))
     left = cut(candidates, "candidates")
     done = left.limit(0)
-    rank = [F.desc(score), F.desc(a), F.desc(b)]
     while not left.isEmpty():
-        ranked = left.withColumns({"__a": F.row_number().over(Window.partitionBy(key, a).orderBy(*rank)), "__b": F.row_number().over(Window.partitionBy(key, b).orderBy(*rank))})
-        taken = cut(ranked.filter("__a = 1 AND __b = 1").drop("__a", "__b"), "taken")
-        done = done.unionByName(taken)
-        left = left.join(taken.select(key, a), [key, a], "left_anti").join(taken.select(key, b), [key, b], "left_anti")
-        left = cut(left, "candidates")
+        state = left.withColumns({"__a": best(a), "__b": best(b)}).withColumn("__taken", F.col("__a") & F.col("__b"))
+        state = state.withColumns({"__b": used(b), "__a": used(a)}).filter("__taken OR NOT (__a OR __b)")
+        state = cut(state.drop("__a", "__b"), "candidates")  # what is taken, and what is left after it
+        done = done.unionByName(state.filter("__taken").drop("__taken"))
+        left = state.filter("NOT __taken").drop("__taken")
     return done
 
 
@@ -166,11 +168,13 @@ def suppress(instances: DataFrame, duplicates: DataFrame, key: str) -> DataFrame
     gone = better.select(key, "instance").limit(0)
     while not better.isEmpty():
         # an instance that is below none that is left stays; what it beats goes
-        heads = better.select(key, F.col("up").alias("instance")).distinct().join(better.select(key, "instance").distinct(), [key, "instance"], "left_anti")
-        lost = cut(better.join(heads.select(key, F.col("instance").alias("up")), [key, "up"], "left_semi").select(key, "instance").distinct(), "lost")
-        gone = gone.unionByName(lost)
-        better = better.join(lost, [key, "instance"], "left_anti").join(lost.select(key, F.col("instance").alias("up")), [key, "up"], "left_anti")
-        better = cut(better, "better")
+        below = better.select(key, F.col("instance").alias("up")).distinct().withColumn("__below", F.lit(True))
+        state = better.join(below, [key, "up"], "left").withColumn("__lost", F.max(F.col("__below").isNull()).over(Window.partitionBy(key, "instance")))
+        lost = state.filter("__lost").select(key, F.col("instance").alias("up")).distinct().withColumn("__off", F.lit(True))
+        state = state.join(lost, [key, "up"], "left").filter("__lost OR __off IS NULL")
+        state = cut(state.select(key, "up", "instance", "__lost"), "better")
+        gone = gone.unionByName(state.filter("__lost").select(key, "instance").distinct())
+        better = state.filter("NOT __lost").drop("__lost")
     return instances.join(gone, [key, "instance"], "left_anti")
 
 

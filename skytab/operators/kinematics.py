@@ -9,10 +9,13 @@ from ..functions.geodesy import angle_difference, bearing, meters_per_degree, wr
 
 
 def to_enu(tracks: DataFrame, track: str = "track_id", origin: tuple[Column, Column, Column] | None = None) -> DataFrame:
-    """Add east, north, up in metres about each track's mean position, or about ``origin`` (lat, lon, alt)."""
-    mean = Window.partitionBy(track)
-    lat0, lon0, alt0 = origin or (F.avg("latitude").over(mean), F.avg("longitude").over(mean), F.avg("altitude").over(mean))
-    out = tracks.withColumns({"__lat0": lat0, "__lon0": lon0, "__alt0": alt0})
+    """Add east, north, up in metres about each track's mean position, or about ``origin`` (lat, lon, alt). The means are
+    an aggregate joined back, so that a long track stays spread over tasks."""
+    if origin:
+        out = tracks.withColumns(dict(zip(("__lat0", "__lon0", "__alt0"), origin)))
+    else:
+        mean = tracks.groupBy(track).agg(*(F.avg(c).alias(f"__{n}0") for c, n in (("latitude", "lat"), ("longitude", "lon"), ("altitude", "alt"))))
+        out = tracks.join(mean, track, "left")
     north, east = meters_per_degree(F.col("__lat0"))
     out = out.withColumns({"east": (F.col("longitude") - F.col("__lon0")) * east, "north": (F.col("latitude") - F.col("__lat0")) * north, "up": F.col("altitude") - F.col("__alt0")})
     return out.drop("__lat0", "__lon0", "__alt0")
