@@ -167,6 +167,15 @@ def merge_repaired(original: DataFrame, repaired: DataFrame, *keys: str, value:
     return both.select(*(F.when(F.col("__has"), F.col("__new")).otherwise(F.col(value)).alias(value) if c == value else F.col(c) for c in original.columns), F.coalesce("__has", F.lit(False)).alias("was_repaired"))
 
 
+def repair_report(original: DataFrame, merged: DataFrame, *keys: str, group: str, value: str = "ring") -> DataFrame:
+    """For each ``group`` how many polygons were invalid, how many of those have been replaced by valid ones, and how
+    many are invalid still, with the share that was mended (null where nothing was invalid)."""
+    wrong = lambda c: validity(F.col(c)) != "valid"
+    both = original.select(*keys, group, wrong(value).alias("__was")).join(merged.select(*keys, wrong(value).alias("__is")), list(keys))
+    counts = both.groupBy(group).agg(F.count_if("__was").alias("n_invalid"), F.count_if(F.col("__was") & ~F.col("__is")).alias("n_repaired"), F.count_if("__is").alias("n_left"))
+    return counts.withColumn("repaired_share", F.col("n_repaired") / F.nullif("n_invalid", F.lit(0)))
+
+
 def within_image(ring: Column, width: Column, height: Column) -> Column:
     """Whether annotation coordinates (y up, negative) lie in the image."""
     x0, y0, x1, y1 = bounds(ring)

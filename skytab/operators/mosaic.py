@@ -19,8 +19,10 @@ def focal_candidates(low: int = 20, high: int = 35) -> Column:
 
 
 def grid(canvas: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
-    """``canvas`` (min_x, max_y, gsd and sizes) with one row a cell: row, col and the centre's x and y. For small canvases."""
-    cells = canvas.select("*", F.explode(F.sequence(F.lit(0), F.col(height) - 1)).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.col(width) - 1)).alias("col"))
+    """``canvas`` (min_x, max_y, gsd and sizes) with one row a cell: row, col and the centre's x and y.
+    Rows of cells are dealt out before they are written out, so that one canvas is the work of many tasks."""
+    rows = canvas.select("*", F.explode(F.sequence(F.lit(0), F.col(height) - 1)).alias("row")).repartition("row")
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col(width) - 1)).alias("col"))
     return cells.withColumns({"x": F.col("min_x") + (F.col("col") + 0.5) * F.col("gsd"), "y": F.col("max_y") - (F.col("row") + 0.5) * F.col("gsd")})
 
 

@@ -292,6 +292,15 @@ def repaired_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("p_partkey", "was_repaired", F.size("ring").alias("n_points"), (geojson.validity(F.col("ring")) == "valid").alias("is_valid"))
 
 
+@query(f"""WITH {_RINGS}, w AS (SELECT *, validity = 'valid' OR (validity = 'unclosed' AND abs(area + (ring[-1].x * ring[1].y - ring[1].x * ring[-1].y) / 2) >= 1e-12 AND p_partkey NOT IN (SELECT p_partkey FROM crossed)) AS good FROM judged)
+SELECT p_brand AS file, count(*) FILTER (WHERE validity <> 'valid') AS n_invalid, count(*) FILTER (WHERE validity <> 'valid' AND good) AS n_repaired, count(*) FILTER (WHERE NOT good) AS n_left, round(count(*) FILTER (WHERE validity <> 'valid' AND good) / nullif(count(*) FILTER (WHERE validity <> 'valid'), 0), 6) AS repaired_share FROM w GROUP BY p_brand""")
+def repair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _polygons(spark, sf_dir).join(b.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("file")), "p_partkey")
+    fixed = p.filter(geojson.validity(F.col("ring")) == "unclosed").select("p_partkey", F.concat("ring", F.array(F.col("ring")[0])).alias("ring"))
+    report = geojson.repair_report(p, geojson.merge_repaired(p, fixed, "p_partkey"), "p_partkey", group="file")
+    return report.select("file", "n_invalid", "n_repaired", "n_left", r("repaired_share", 6).alias("repaired_share"))
+
+
 _COVER = _RINGS + """, g AS (SELECT p_partkey, p_size, unnest(range(0, p_size + 3)) AS px FROM judged WHERE validity = 'valid'), h AS (SELECT *, unnest(range(0, p_size // 2 + 3)) AS py FROM g),
 cover AS (SELECT h.p_partkey, px, py FROM h JOIN legs l ON l.p_partkey = h.p_partkey AND (l.ay > py + 0.5) <> (l.zy > py + 0.5) AND px + 0.5 < (l.zx - l.ax) * (py + 0.5 - l.ay) / (l.zy - l.ay) + l.ax GROUP BY ALL HAVING count(*) % 2 = 1)"""
 

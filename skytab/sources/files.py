@@ -160,16 +160,18 @@ def require_inventory(inventory: DataFrame, images: DataFrame, annotations: Data
     return rows.select("filename", "annotation", need("image_path", "filename"), need("annotation_path", "annotation"))
 
 
-def find_annotation(images: DataFrame, annotations: DataFrame, inventory: DataFrame) -> DataFrame:
+def find_annotation(images: DataFrame, annotations: DataFrame, inventory: DataFrame, required: bool = False) -> DataFrame:
     """``images`` (filename, stem) with annotation: by the inventory (filename, annotation), else the file (name) called
-    like the image's id, else like its stem; null if there is none."""
+    like the image's id, else like its stem; of several the first by name. Without one it is null, or, where
+    ``required``, reading fails."""
     from ..operators.tiles import orthophoto_id
 
-    names = annotations.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("__n"), F.col("name").alias("__a")).dropDuplicates(["__n"])
+    names = annotations.groupBy(F.regexp_replace("name", r"\.[^.]*$", "").alias("__n")).agg(F.min("name").alias("__a"))
     rows = images.withColumn("__id", orthophoto_id(F.col("stem"))).join(inventory.select("filename", F.col("annotation").alias("__inv")), "filename", "left")
     for key, out in (("__id", "__by_id"), ("stem", "__by_stem")):
         rows = rows.join(names.withColumnsRenamed({"__n": key, "__a": out}), key, "left")
-    return rows.withColumn("annotation", F.coalesce("__inv", "__by_id", "__by_stem")).drop("__id", "__inv", "__by_id", "__by_stem")
+    none = [F.raise_error(F.concat(F.lit("no annotation for "), "filename")).cast("string")] if required else []
+    return rows.withColumn("annotation", F.coalesce("__inv", "__by_id", "__by_stem", *none)).drop("__id", "__inv", "__by_id", "__by_stem")
 
 
 def read_ply(spark: SparkSession, path: str, at_least: int = 4) -> DataFrame:
