@@ -135,10 +135,10 @@ class Features:
         for lo in range(0, len(self.start) - 1, 4096):
             edges = self.start[lo : lo + 4097]
             out = np.zeros((len(edges) - 1, columns.shape[1]), np.float32)
-            own = self.codes[edges[0] : edges[-1]]
+            own = self.codes[edges[0] : edges[-1] if len(codes) else edges[0]]
             at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
             hit = np.flatnonzero(codes[at] == own)
-            row = np.repeat(np.arange(len(out)), np.diff(edges))[hit]
+            row = np.searchsorted(edges - edges[0], hit, "right") - 1
             for k in range(0, len(hit), 1 << 14):
                 some, r = hit[k : k + (1 << 14)], row[k : k + (1 << 14)]
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
@@ -247,7 +247,7 @@ def fit_sentences(rows: list[tuple[object, int, str]], s: Settings) -> tuple[np.
         seen[0].update(own)
     for own in bags.values():
         seen[1].update(own)
-    if not bags or not clean:
+    if not seen[0] or not seen[1]:
         return None
     base = len(bags) / (len(bags) + len(clean))
 
@@ -318,7 +318,7 @@ def fit_sentences(rows: list[tuple[object, int, str]], s: Settings) -> tuple[np.
         machine = codes, to_space.astype(np.float64) @ w[:-1], float(w[-1])
         margin = everything.margins(codes, machine[1]) + w[-1]
         found: Counter = Counter(given)
-        for own in bags.values():
+        for own in filter(None, bags.values()):
             best = max(own, key=lambda w: (margin[place[w]], w))
             found.update({w for w in own - given.keys() if w == best or (margin[place[w]] > 0 and w not in seen[0])})
         positive = {w: n for w, n in found.items() if w in given or s.odds * seen[0][w] <= n}

@@ -168,6 +168,16 @@ def test_toxicity_edges(spark, toxic_model):
     assert got == {1: 1, None: 0}
 
 
+def test_fit_without_much_to_see():
+    s = toxicity.Settings(landmarks=8)
+    fit = lambda rows: toxicity.fit_sentences(rows, s)
+    assert fit([]) is None and fit([(1, 1, "a b")]) is None and fit([(1, 1, "!!!"), (2, 0, "...")]) is None
+    for rows in ([(1, 1, "x"), (2, 0, "y z")], [(1, 1, "!!"), (2, 1, "badword"), (3, 0, "plain words here")], [(1, 1, "same"), (2, 0, "same other")]):
+        machine = fit(rows)
+        if machine is not None:
+            assert np.isfinite(toxicity.Scorer(*machine, s).margins(["x", "badword", None, "plain"])).all()
+
+
 def test_kernel_equals_plain_subsequences():
     """Features of a word are all its four-letter subsequences within the span, gaps weighted."""
     from itertools import combinations
