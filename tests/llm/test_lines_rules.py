@@ -238,3 +238,12 @@ def test_mixing_edges(spark):
     assert len(got) == 4 and {r.topic for r in got} == {"none", "table"} and min(r.tokens for r in got) == 1
     assert len({r.selected for r in got if r.doc_id == 1}) == 1
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_mixing_replaces_its_columns(spark):
+    """Columns of the operator's names give way to its own; a very long text counts all its words."""
+    schema = "doc_id long, text string, source string, lang string, weight string, probability string, selected string, margin_error string"
+    docs = spark.createDataFrame([(1, "w " * 500_000, "a", "en", "x", "x", "x", "x"), (2, "w", "b", "en", "x", "x", "x", "x")], schema)
+    got = mixing.mix_sources(docs, mixing.Settings(budget=1.0, rounds=1))
+    assert got.columns == ["doc_id", "text", "source", "lang", "tokens", "topic", "weight", "probability", "margin_error", "selected"]
+    assert {r.doc_id: r.tokens for r in got.collect()} == {1: 500_000, 2: 1} and dict(got.dtypes)["weight"] == "double"

@@ -51,7 +51,7 @@ def test_near_duplicates_equal_brute_force(spark):
             for _ in range(edits):
                 copy[rng.randrange(len(copy))] = "changed%d" % rng.randrange(10**6)
             texts[len(texts)] = " ".join(copy) if edits else " ".join(base).upper().replace("W", "w") + " \n"
-    texts |= {1000: None, 1001: "", 1002: " \n\t", 1003: "two words", 1004: "Two  Words", 1005: " ".join(words(rng, 30000))}
+    texts |= {1000: None, 1001: "", 1002: " \n\t", 1003: "two words", 1004: "Two  Words", 1005: " ".join(words(rng, 30000)), 1006: " ".join(f"u{k}" for k in range(300_000)), 1007: " ".join(f"u{k}" for k in range(50, 300_000))}
     docs = spark.createDataFrame([(i, t, "other") for i, t in texts.items()], DOCS)
     got = near_text.near_duplicates(docs.repartition(7)).collect()
     assert len(got) == len(texts)
