@@ -66,7 +66,7 @@ def xmp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.md5(tx.xmp_packet(F.col("attributes"), source, "skytab")).alias("digest"))
 
 
-@query(f"WITH {b.TRACKS} SELECT track_id, count(*) AS n_points, CASE WHEN count(*) > 1 THEN 1 ELSE 0 END::BIGINT AS n_lines, round(sum(longitude), 4) AS lon, round(sum(latitude), 4) AS lat FROM tracks GROUP BY track_id")
+@query(f"WITH {b.TRACKS} SELECT track_id, count(*) AS n_points, CASE WHEN count(*) > 1 THEN 1 ELSE 0 END::BIGINT AS n_lines, round(sum(longitude), 3) AS lon, round(sum(latitude), 3) AS lat FROM tracks GROUP BY track_id")
 def geojson_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections saved to a file each and read back; the oracle has the tracks."""
     frames = b.tracks(spark, sf_dir).select("track_id", F.col("rn").alias("frame_index"), "latitude", "longitude", "altitude")
@@ -76,7 +76,7 @@ def geojson_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.read.text(path).select(F.col("track_id").cast("long").alias("track_id"), F.explode(F.from_json("value", schema)["features"]).alias("f"))
     at = F.from_json("f.geometry.coordinates", "array<double>")
     point = F.col("f.geometry.type") == "Point"
-    both = lambda k: r(F.sum(F.when(point, at[k])), 4)
+    both = lambda k: r(F.sum(F.when(point, at[k])), 3)
     return f.groupBy("track_id").agg(F.count_if(point).alias("n_points"), F.count_if(~point).alias("n_lines"), both(0).alias("lon"), both(1).alias("lat"))
 
 
