@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import math
 import re
 import uuid
@@ -23,6 +24,7 @@ from .shared import cut, shared_dir
 from .textcodes import mix
 
 END = 0  # the id after each document
+LONG = 1 << 16  # characters from which on ids come as an array, slower but without an object for each
 WIDEST = 10_000  # characters of white space in a row that the rank form is given
 
 
@@ -48,8 +50,14 @@ def json_encoder(name: str):
 
 @functools.lru_cache(maxsize=2)
 def added_tokens(name: str) -> dict[str, int]:
-    """The tokens that the .json form has beside its vocabulary; a text may hold them."""
-    return {t.content: i for i, t in json_encoder(name).get_added_tokens_decoder().items()}
+    """The tokens that the .json form has beside its vocabulary; a text may hold them. They stand ahead of the
+    vocabulary in the file, which is not loaded for them."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        text = f.read()
+    found, _ = json.JSONDecoder().raw_decode(text, re.search(r'"added_tokens"\s*:\s*', text).end())
+    return {t["content"]: t["id"] for t in found}
 
 
 @functools.lru_cache(maxsize=2)
@@ -75,6 +83,8 @@ def token_ids(text: str | None, name: str) -> np.ndarray:
     """
     if text and (any(t in text for t in added_tokens(name)) or _wide(text)):
         ids = json_encoder(name).encode(text, add_special_tokens=False).ids
+    elif text and len(text) > LONG:
+        return np.append(encoder(name).encode_to_numpy(text, disallowed_special=()), np.uint32(END))
     else:
         ids = encoder(name).encode_ordinary(text or "")
     return np.array([*ids, END], np.uint32)
