@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
         kept = near_text.near_duplicates(docs).filter("kept").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+        return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)  # texts move alike at every size
     rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     groups = near_text.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("least")
