@@ -34,6 +34,13 @@ often AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GRO
 marked AS (SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.last AS gone FROM keyed k LEFT JOIN often o USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
 
+OP11 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10"""
+
 
 def _quality(s: quality.Settings = quality.Settings()) -> str:
     tests = [(r, k, v, m, side) for r, (m, side, values) in enumerate(s.grids) for k, v in enumerate(values)]
@@ -95,4 +102,4 @@ SELECT r.doc_id, r.source, r.lang, r.topic, r.tokens, round(ratio, 6) AS weight,
 FROM rows r JOIN run USING (source, lang, topic), c"""
 
 
-ORACLE_SQL = {"op2_embedding_near_dedup": OP2, "op6_source_mixing": _mixing(), "op7_url_filter": OP7, "op8_line_dedup": OP8, "op10_quality_rules": _quality()}
+ORACLE_SQL = {"op2_embedding_near_dedup": OP2, "op6_source_mixing": _mixing(), "op7_url_filter": OP7, "op8_line_dedup": OP8, "op10_quality_rules": _quality(), "op11_hard_negatives": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, near_text, near_vectors, quality, tokens, toxicity, url_rules
+from . import hard_negatives, language, lines, mixing, near_text, near_vectors, nearest_vectors, quality, resampling, tokens, toxicity, url_rules
 from .oracle import MIX, ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), "anchor_id % 100 = 0")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -87,5 +101,8 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_packing,
         op10_quality_rules,
+        op11_hard_negatives,
+        op12_importance_resampling,
+        op13_nearest_neighbours,
     )
 }
