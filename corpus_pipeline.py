@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skytab.checkpoints import cut, forget, scratch
 from skytab.llm import lines, mixing, near_text, quality, tokens
-from skytab.llm.shared import cut, scratch
 
 
 def _restored(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -79,9 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each stage's rows are written and read again, and what it wrote on the way is deleted."""
+    """Apply all stages to documents; each stage's rows are written and read again. What a stage wrote on the way is deleted
+    when it ends, and so is then the table that it read; only the last one's rows stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         with scratch(spark) as keep:
-            docs = keep(stage(spark, docs, sf_dir), name)
+            done = keep(stage(spark, docs, sf_dir), name)
+        forget(docs)
+        docs = done
     return docs
