@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +36,15 @@ def cut(df: DataFrame, name: str, codec: str = "snappy", **options: object) -> D
     if (held := _OPEN.get()) is not None:
         held.append(path)
     df.write.options(**options).option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Remove a table that ``cut`` wrote, once nothing reads it any more; of any other DataFrame nothing goes."""
+    if path := getattr(table, "written_to", None):
+        delete(table.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -51,6 +60,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     token = _OPEN.set(own)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
+        if (path := getattr(df, "written_to", None)) in own:  # as it is
+            own.remove(path)
+            if outer is not None:
+                outer.append(path)
+            return df
         inner = _OPEN.set(outer)
         try:
             return cut(df, name)
@@ -63,3 +77,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         _OPEN.reset(token)
         for path in own:
             delete(spark, path)
+
+
+def tidy(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For operators that write tables on the way: their result is written, under ``name``, and the others are deleted."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(first: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+            with scratch(first.sparkSession) as keep:
+                return keep(operator(first, *args, **kwargs), name)
+
+        return run
+
+    return wrap
