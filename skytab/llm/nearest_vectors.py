@@ -35,10 +35,11 @@ class Settings:
 
 @dataclass(frozen=True)
 class Index:
-    """Projections of one length of vectors. longest: largest length of a row, which the extra coordinate fills up to.
+    """Projections of one length of vectors. longest: largest length of a row, which the extra coordinate fills up to; rest: its mean.
     axes: [table, coordinate, hash]; shift, width: by which a projection is cut into cells; probes: buckets visited."""
 
     longest: float
+    rest: float
     axes: np.ndarray
     shift: np.ndarray
     width: np.ndarray
@@ -46,7 +47,7 @@ class Index:
 
     def hashes(self, n: int) -> Index:
         """With the first n hashes of each table only."""
-        return Index(self.longest, self.axes[:, :, :n], self.shift[:, :n], self.width[:, :n], self.probes)
+        return Index(self.longest, self.rest, self.axes[:, :, :n], self.shift[:, :n], self.width[:, :n], self.probes)
 
 
 def _raised(x: np.ndarray, longest: float) -> np.ndarray:
@@ -56,10 +57,10 @@ def _raised(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, rest[:, None]])
 
 
-def _asking(x: np.ndarray) -> np.ndarray:
-    """Queries at length one, with an extra coordinate of 0."""
+def _asking(x: np.ndarray, rest: float) -> np.ndarray:
+    """Queries at length one, whose extra coordinate is that of a mean row: then their cells lie where their neighbours' do."""
     x = x / np.abs(x).max(1, keepdims=True)
-    return np.hstack([x / np.sqrt((x * x).sum(1))[:, None], np.zeros((len(x), 1))])
+    return np.hstack([x * (np.sqrt(1 - rest * rest) / np.sqrt((x * x).sum(1)))[:, None], np.full((len(x), 1), rest)])
 
 
 def places(raised: np.ndarray, index: Index) -> np.ndarray:
@@ -104,14 +105,15 @@ def fit_index(sample: np.ndarray, longest: float, asked: np.ndarray, near: np.nd
     cells that need at most ``probes`` are taken. With no hash a table has one bucket."""
     rng = np.random.default_rng(s.seed)
     raised = _raised(sample, longest)
+    rest = float(raised[:, -1].mean()) if len(raised) else 0.0
     axes = rng.normal(size=(s.tables, raised.shape[1], s.most_hashes))
     spread = np.einsum("nd,tdm->ntm", raised, axes).std(0) if len(raised) else np.ones((s.tables, s.most_hashes))
     centre = np.einsum("nd,tdm->ntm", raised, axes).mean(0) if len(raised) else np.zeros((s.tables, s.most_hashes))
     width = s.width * np.where(spread > 1e-9, spread, 1.0)
-    whole = Index(longest, axes, rng.uniform(0, 1, width.shape) * width - centre, width, s.probes)
+    whole = Index(longest, rest, axes, rng.uniform(0, 1, width.shape) * width - centre, width, s.probes)
     if not len(near):
         return whole.hashes(0)
-    mine, theirs = places(_asking(asked), whole), np.floor(places(_raised(near, longest), whole))
+    mine, theirs = places(_asking(asked, rest), whole), np.floor(places(_raised(near, longest), whole))
     for n in range(s.most_hashes, 0, -1):
         rank = np.full(len(near), s.probes)
         for t in range(s.tables):
@@ -120,7 +122,7 @@ def fit_index(sample: np.ndarray, longest: float, asked: np.ndarray, near: np.nd
         need = int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(s.recall * len(rank))) - 1)]) + 1
         if need <= s.probes:
             index = whole.hashes(n)
-            return Index(longest, index.axes, index.shift, index.width, need)
+            return Index(longest, rest, index.axes, index.shift, index.width, need)
     return whole.hashes(0)
 
 
@@ -261,7 +263,7 @@ def nearest_vectors(vectors: DataFrame, queries: Column | str, settings: Setting
                     index = shared.value[dim]
                     for lo in range(0, len(all_rows), 1024):
                         batch = all_rows.slice(lo, 1024)
-                        place = places(_asking(_matrix(batch.column(2))), index)
+                        place = places(_asking(_matrix(batch.column(2)), index.rest), index)
                         for t in range(place.shape[1]):
                             code = codes(probe_sequence(place[:, t], index.probes), t, dim)
                             row = pa.array(np.repeat(np.arange(len(batch)), code.shape[1]))

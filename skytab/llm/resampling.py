@@ -132,7 +132,7 @@ def features(column: pa.Array, s: Settings = Settings()) -> Iterator[tuple[np.nd
     data, at = utf8(column)
     for i, j in row_slices(at):
         lo, hi = int(at[i]), int(at[j])
-        if hi - lo <= PART:
+        if j - i > 1 or hi - lo <= PART:
             text = _LOWER[data[lo:hi]]
             heads = np.unique(at[i:j] - lo)
             crc, size, starts = _words(text, heads[heads < hi - lo])
