@@ -35,7 +35,7 @@ def vectors(rng, n, labels=4, dim=8, spread=1.0):
     """Of several lengths, with copies and ties."""
     out = []
     for i in range(n):
-        e = list(rng.normal(size=dim) * (1 + spread * (i % 5)))
+        e = (rng.normal(size=dim) * (1 + spread * (i % 5))).tolist()
         out.append((i, int(rng.integers(labels)), e if i % 7 else out[-1][2] if out else e))
     return out
 
@@ -158,6 +158,7 @@ def test_long_texts_are_taken_whole_in_parts(monkeypatch):
     rng = random.Random(8)
     text = prose(rng, 30_000) + " " + "z" * 5000 + " end"
     monkeypatch.setattr(resampling, "PART", 1 << 12)
+    monkeypatch.setattr(resampling, "row_slices", lambda at: iter([(k, k + 1) for k in range(len(at) - 1)]))
     parts = list(resampling.features(pa.array([text, "after", None])))
     assert len(parts) > 50
     words, want = found(text)
@@ -224,7 +225,7 @@ def test_clustered_vectors_are_searched_in_part(spark):
     near = np.concatenate([e[np.argsort(-(e @ e[q]))[1:6]] for q in range(50)])
     index = nearest_vectors.fit_index(e, float(np.linalg.norm(e, axis=1).max()), e[:50], near, owner, s)
     cells = np.floor(nearest_vectors.places(nearest_vectors._raised(e, index.longest), index))
-    asked = nearest_vectors.places(nearest_vectors._asking(e[:50]), index)
+    asked = nearest_vectors.places(nearest_vectors._asking(e[:50], index.rest), index)
     met = np.zeros((50, 4000), bool)
     for t in range(s.tables):
         there, visited = nearest_vectors.codes(cells[:, t], t, 32), nearest_vectors.codes(nearest_vectors.probe_sequence(asked[:, t], index.probes), t, 32)
