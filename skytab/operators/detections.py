@@ -1,15 +1,17 @@
 """Relations between detected instances: overlap, one-to-one matching, suppression, changes, scores.
 
 Masks are tables of pixels (key, instance, px, py); overlap joins are equi joins on pixels or grid
-cells, so no pair of far instances is ever formed. Greedy rules run as rounds of joins.
+cells, so no pair of far instances is ever formed. Greedy rules run as rounds of joins, and in one task where little is left.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, tidy
+from . import greedy
 
 
 def box_area(b: Column) -> Column:
@@ -65,25 +67,60 @@ def pair_overlaps(a: DataFrame, b: DataFrame, pixels_a: DataFrame, pixels_b: Dat
     return both.select(key, F.col("ia").alias("a"), F.col("ib").alias("b"), "box_iou", F.when(union > 0, F.col("inter") / union).otherwise(0.0).alias("mask_iou"), "distance")
 
 
-def match_one_to_one(candidates: DataFrame, key: str, score: str = "score", a: str = "a", b: str = "b") -> DataFrame:
+@tidy("matches")
+def match_one_to_one(candidates: DataFrame, key: str, score: str = "score", a: str = "a", b: str = "b", small: int = greedy.SMALL) -> DataFrame:
     """Greedy matching: pairs by descending (score, a, b), each side used once. Rows of ``candidates`` that match.
 
-    A pair that is the best one left of both its sides is what the greedy rule takes; each round takes
-    all of those and drops what they use, until none is left. Ties are settled by the ids, so the
-    order is total and the rounds give the greedy result.
+    A pair that is the best one left of both its sides is what the greedy rule takes; a round takes all of those and drops
+    what they use. Ties are settled by the ids, so the order is total and the rounds give the greedy result. After two
+    rounds, what is left of a key is settled in one task if it is at most ``small`` rows; for larger keys the rounds go on, and
+    pairs that one better pair alone stands against are settled along the whole chain of such pairs at once.
     """
-    rank = [F.desc(score), F.desc(a), F.desc(b)]
-    best = lambda side: F.row_number().over(Window.partitionBy(key, side).orderBy(*rank)) == 1
-    used = lambda side: F.max("__taken").over(Window.partitionBy(key, side))
-    left = cut(candidates, "candidates")
-    done = left.limit(0)
-    while not left.isEmpty():
-        state = left.withColumns({"__a": best(a), "__b": best(b)}).withColumn("__taken", F.col("__a") & F.col("__b"))
-        state = state.withColumns({"__b": used(b), "__a": used(a)}).filter("__taken OR NOT (__a OR __b)")
-        state = cut(state.drop("__a", "__b"), "candidates")  # what is taken, and what is left after it
-        done = done.unionByName(state.filter("__taken").drop("__taken"))
-        left = state.filter("NOT __taken").drop("__taken")
-    return done
+    numbered = cut(candidates.withColumn("__id", F.monotonically_increasing_id()), "candidates")
+    left, done, turn = numbered.select(key, "__id", F.col(score).alias("__s"), F.col(a).alias("__a"), F.col(b).alias("__b")), None, 0
+    rank = [F.desc("__s"), F.desc("__a"), F.desc("__b")]
+
+    def loop(rows: pa.Table) -> pa.Table:
+        order = rows.sort_by([("__s", "descending"), ("__a", "descending"), ("__b", "descending")])
+        used_a, used_b, keep = set(), set(), []
+        for i, (x, y) in enumerate(zip(order.column("__a").to_pylist(), order.column("__b").to_pylist())):
+            if x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
+                keep.append(i)
+        return order.select(["__id"]).take(pa.array(keep, pa.int64()))
+
+    def take(state: DataFrame, taken: str) -> DataFrame:
+        """What is left of ``state`` and what has been taken of it, by the column ``taken``."""
+        used = lambda side: F.max(taken).over(Window.partitionBy(key, side))
+        return state.withColumns({"__ua": used("__a"), "__ub": used("__b")}).filter(F.col(taken) | ~(F.col("__ua") | F.col("__ub"))).drop("__ua", "__ub")
+
+    while True:
+        better = lambda side: F.row_number().over(Window.partitionBy(key, side).orderBy(*rank)) - 1
+        state = left.withColumns({"__na": better("__a"), "__nb": better("__b")})
+        state = cut(take(state.withColumn("__taken", F.col("__na") + F.col("__nb") == 0), "__taken"), "candidates")
+        new = state.filter("__taken").select("__id")
+        done = new if done is None else done.unionByName(new)
+        left, turn = state.filter("NOT __taken").select(key, "__id", "__s", "__a", "__b"), turn + 1
+        if left.isEmpty():
+            break
+        if turn == greedy.ROUNDS:
+            settled, left = greedy.settle_small(left, [key], loop, "__id long", small)
+            done = done.unionByName(settled)
+            if left is None:
+                break
+        if turn >= greedy.ROUNDS:
+            near = lambda side: Window.partitionBy(key, side).orderBy(*rank)
+            state = left.withColumns({"__na": better("__a"), "__nb": better("__b"), "__pa": F.lag("__id").over(near("__a")), "__pb": F.lag("__id").over(near("__b"))})
+            state = cut(state.withColumn("__only", F.when(F.col("__na") + F.col("__nb") == 1, F.coalesce("__pa", "__pb"))), "chained")
+            known = greedy.taken_along_chains(state, [key], "__id", "__only", F.col("__na") + F.col("__nb") == 0)
+            state = left.join(known.filter("taken").select("__id", F.lit(True).alias("__taken")), "__id", "left").withColumn("__taken", F.coalesce("__taken", F.lit(False)))
+            state = cut(take(state, "__taken"), "candidates")
+            done = done.unionByName(state.filter("__taken").select("__id"))
+            left = state.filter("NOT __taken").drop("__taken")
+            if left.isEmpty():
+                break
+    return numbered.join(done, "__id", "left_semi").drop("__id")
 
 
 def accept(detections: DataFrame, pixels: DataFrame, key: str, least_score: float, least_mask: float = 0.5) -> DataFrame:
@@ -151,31 +188,62 @@ def classify_changes(before: DataFrame, after: DataFrame, matches: DataFrame, ke
     return matched.unionByName(removed).unionByName(new)
 
 
-def suppress(instances: DataFrame, duplicates: DataFrame, key: str) -> DataFrame:
+@tidy("kept")
+def suppress(instances: DataFrame, duplicates: DataFrame, key: str, small: int = greedy.SMALL) -> DataFrame:
     """Instances (key, instance, score) that stay when, by descending score (ties: lower instance first), one goes if
     it duplicates one that stays. duplicates: pairs (key, a, b) either way round.
 
-    In each round, instances without an undecided or kept better duplicate stay, and those with a
-    kept better one go, until all are decided.
+    In a round, instances without an undecided or kept better duplicate stay, and those with a kept better one go. After two rounds, keys with
+    at most ``small`` pairs left are settled in one task each; for larger ones the rounds go on, and instances with one
+    better duplicate alone are settled along the whole chain of such instances at once.
     """
     rank = instances.select(key, "instance", "score")
     a = rank.select(key, F.col("instance").alias("a"), F.col("score").alias("sa"))
     b = rank.select(key, F.col("instance").alias("b"), F.col("score").alias("sb"))
     both = duplicates.select(key, "a", "b").join(a, [key, "a"]).join(b, [key, "b"])
     lower = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
-    better = both.select(key, F.when(lower, F.col("a")).otherwise(F.col("b")).alias("up"), F.when(lower, F.col("b")).otherwise(F.col("a")).alias("instance")).filter("up <> instance").distinct()
-    better = cut(better, "better")
-    gone = better.select(key, "instance").limit(0)
+    better = both.select(key, F.when(lower, F.col("a")).otherwise(F.col("b")).alias("up"), F.when(lower, F.col("b")).otherwise(F.col("a")).alias("instance"), F.least("sa", "sb").alias("s")).filter("up <> instance").distinct()
+    better, gone, turn = cut(better, "better"), None, 0
+
+    def loop(rows: pa.Table) -> pa.Table:
+        order = rows.sort_by([("s", "descending"), ("instance", "ascending")])
+        out: dict = {}
+        for x, up in zip(order.column("instance").to_pylist(), order.column("up").to_pylist()):
+            out[x] = out.get(x, False) or not out.get(up, False)  # those above have been settled before
+        lost = [x for x, off in out.items() if off]
+        return pa.table({key: rows.column(key).slice(0, 1).take(pa.array([0] * len(lost), pa.int64())), "instance": pa.array(lost, rows.schema.field("instance").type)})
+
+    def drop(state: DataFrame) -> DataFrame:
+        """``state`` with __lost, without pairs whose better one is lost."""
+        lost = state.filter("__lost").select(key, F.col("instance").alias("up")).distinct().withColumn("__off", F.lit(True))
+        return state.join(lost, [key, "up"], "left").filter("__lost OR __off IS NULL").drop("__off")
+
+    kinds = dict(better.dtypes)
     while not better.isEmpty():
+        if turn == greedy.ROUNDS:
+            settled, better = greedy.settle_small(better, [key], loop, f"{key} {kinds[key]}, instance {kinds['instance']}", small)
+            gone = settled if gone is None else gone.unionByName(settled)
+            if better is None:
+                break
+        if turn >= greedy.ROUNDS:
+            nodes = better.groupBy(key, "instance").agg(F.count(F.lit(1)).alias("__n"), F.max("up").alias("__up"))
+            tops = better.select(key, F.col("up").alias("instance")).distinct().join(nodes.select(key, "instance"), [key, "instance"], "left_anti")
+            nodes = cut(nodes.select(key, "instance", F.when(F.col("__n") == 1, F.col("__up")).alias("__only"), F.lit(False).alias("__top")).unionByName(tops.select(key, "instance", F.lit(None).cast(kinds["up"]).alias("__only"), F.lit(True).alias("__top"))), "nodes")
+            known = cut(greedy.taken_along_chains(nodes, [key], "instance", "__only", F.col("__top")).withColumnRenamed("taken", "__kept"), "known")
+            below = known.filter("__kept").select(key, F.col("instance").alias("up"), F.lit(True).alias("__beaten"))
+            state = better.join(below, [key, "up"], "left").join(known, [key, "instance"], "left")
+            lost = F.max(F.coalesce("__beaten", F.lit(False)) | ~F.coalesce("__kept", F.lit(True))).over(Window.partitionBy(key, "instance"))
+            state = cut(drop(state.withColumn("__lost", lost).select(key, "up", "instance", "s", "__lost")), "better")
+            new = state.filter("__lost").select(key, "instance").distinct()
+            gone, better = gone.unionByName(new), state.filter("NOT __lost").drop("__lost")
         # an instance that is below none that is left stays; what it beats goes
         below = better.select(key, F.col("instance").alias("up")).distinct().withColumn("__below", F.lit(True))
         state = better.join(below, [key, "up"], "left").withColumn("__lost", F.max(F.col("__below").isNull()).over(Window.partitionBy(key, "instance")))
-        lost = state.filter("__lost").select(key, F.col("instance").alias("up")).distinct().withColumn("__off", F.lit(True))
-        state = state.join(lost, [key, "up"], "left").filter("__lost OR __off IS NULL")
-        state = cut(state.select(key, "up", "instance", "__lost"), "better")
-        gone = gone.unionByName(state.filter("__lost").select(key, "instance").distinct())
-        better = state.filter("NOT __lost").drop("__lost")
-    return instances.join(gone, [key, "instance"], "left_anti")
+        state = cut(drop(state.select(key, "up", "instance", "s", "__lost")), "better")
+        new = state.filter("__lost").select(key, "instance").distinct()
+        gone = new if gone is None else gone.unionByName(new)
+        better, turn = state.filter("NOT __lost").drop("__lost"), turn + 1
+    return instances if gone is None else instances.join(gone, [key, "instance"], "left_anti")
 
 
 def detection_metrics(counts: DataFrame) -> DataFrame:
@@ -186,28 +254,52 @@ def detection_metrics(counts: DataFrame) -> DataFrame:
     return total.select(ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("dice"), ratio(F.col("s"), F.col("n")).alias("matched_mask_iou"), "tp", "fp", "fn")
 
 
-def assign_truths(detections: DataFrame, pairs: DataFrame, threshold: float | Column, *keys: str) -> DataFrame:
+@tidy("assigned")
+def assign_truths(detections: DataFrame, pairs: DataFrame, threshold: float | Column, *keys: str, small: int = greedy.SMALL) -> DataFrame:
     """``detections`` (keys, a, score) with hit: by descending score (ties: lower a), each takes its best free
     truth b of ``pairs`` (keys, a, b, mask_iou; ties: higher b) if that reaches the threshold.
 
-    In each round every detection asks for its best truth left, and a truth drops all pairs with detections that
+    In a round every detection asks for its best truth left, and a truth drops all pairs with detections that
     come after the first that asks for it, for they can never have it. When no pair is dropped, all have what the
-    loop in order of score would give them.
+    loop in order of score would give them. After two rounds, groups of keys with at most ``small`` pairs left are settled in one task each.
     """
     turn = F.struct(F.coalesce(-F.col("score"), F.lit(float("nan"))).alias("score"), "a")
     left = pairs.filter(F.col("mask_iou") >= threshold).select(*keys, "a", "b", "mask_iou").join(detections.select(*keys, "a", turn.alias("turn")), [*keys, "a"])
     left = cut(left, "asks")
-    n = left.count()
+    n, rounds, hits = left.count(), 0, None
+    kinds = dict(left.dtypes)
+
+    def loop(rows: pa.Table) -> pa.Table:
+        asks: dict = {}
+        for x, y, iou, at in zip(*(rows.column(c).to_pylist() for c in ("a", "b", "mask_iou", "turn"))):
+            asks.setdefault((at["score"] != at["score"], at["score"], x), []).append((iou, y))
+        used, hit = set(), []
+        for place in sorted(asks):
+            for _, y in sorted(asks[place], reverse=True):
+                if y not in used:
+                    used.add(y)
+                    hit.append(place[2])
+                    break
+        first = pa.array([0] * len(hit), pa.int64())
+        return pa.table({**{k: rows.column(k).slice(0, 1).take(first) for k in keys}, "a": pa.array(hit, rows.schema.field("a").type)})
+
     while True:
         asks = left.groupBy(*keys, "a").agg(F.max(F.struct("mask_iou", "b")).alias("best"), F.min("turn").alias("turn"))
         asks = asks.select(*keys, "a", F.col("best.b").alias("b"), "turn")
         first = asks.groupBy(*keys, "b").agg(F.min("turn").alias("first"))
         rest = cut(left.join(first, [*keys, "b"], "left").filter("first IS NULL OR turn <= first").drop("first"), "asks")
-        before, n, left = n, rest.count(), rest
+        before, n, left, rounds = n, rest.count(), rest, rounds + 1
         if n == before:
             break
-    hits = left.select(*keys, "a").distinct().withColumn("hit", F.lit(True))
-    return detections.join(hits, [*keys, "a"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        if rounds == greedy.ROUNDS and keys:
+            hits, left = greedy.settle_small(left, [*keys], loop, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "a")), small)
+            if left is None:
+                break
+            n = left.count()
+    if left is not None:
+        own = left.select(*keys, "a").distinct()
+        hits = own if hits is None else hits.unionByName(own)
+    return detections.join(hits.withColumn("hit", F.lit(True)), [*keys, "a"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def average_precision(assigned: DataFrame, truths: DataFrame, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
