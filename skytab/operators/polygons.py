@@ -262,7 +262,7 @@ def assemble(walked: DataFrame, scope: str) -> DataFrame:
 
 def repair(polygons: DataFrame, group: str = "group", shape: str = "shape", rings: str = "rings") -> DataFrame:
     """Polygons mended by the even-odd rule: shape, part, rings (the outer one first, then its holes), area. A bow tie becomes
-    two parts; spikes, repeated edges and parts without an area are gone; a valid polygon comes back as it was, but for
+    two parts; spikes, repeated edges and parts without an area are gone, and what a ring goes around twice is not covered; a valid polygon comes back as it was, but for
     where its rings begin and which way round they go."""
     return assemble(cut(walk(even_odd(polygons, group, shape, rings), "shape"), "walked"), "shape")
 
