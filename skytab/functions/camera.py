@@ -29,7 +29,9 @@ def rotation_world_to_camera(yaw: Column, pitch: Column, roll: Column) -> Matrix
 
 
 def image_from_ground(focal: Column, width: Column, height: Column, rotation: Matrix, agl: Column) -> Matrix:
-    """Homography from (east, north) offsets on the ground to pixels."""
+    """Homography from (east, north) offsets on the ground to pixels; nulls for a camera that is not above the ground (a
+    height of 1e-6 or less)."""
+    agl = F.when(agl > 1e-6, agl)
     cols = [[rotation[r][c] for r in range(3)] for c in range(2)] + [[-agl * rotation[r][2] for r in range(3)]]
     return [
         [focal * v[0] + width / 2 * v[2] for v in cols],

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
+from .quantiles import quantiles
 
 
 def nearest_neighbours(points: DataFrame, k: int, cell: float, rings: int = 1, key: str = "point_id", block: str | None = None) -> DataFrame:
@@ -71,9 +72,13 @@ def mean_distance_outliers(neighbours: DataFrame, deviations: float = 2.0, key:
 
 
 def percentile_extent(points: DataFrame, *groups: str, low: float = 0.01, high: float = 0.99, margin: float = 5.0) -> DataFrame:
-    """Extent between percentiles (linear interpolation) with a margin, and the median height."""
-    ends = [F.percentile(c, p) + s * margin for s, p in ((-1, low), (1, high)) for c in ("x", "y")]
-    return points.groupBy(*groups).agg(*(c.alias(n) for c, n in zip(ends, ("min_x", "min_y", "max_x", "max_y"))), F.median("z").alias("median_z"))
+    """Extent between percentiles (linear interpolation) with a margin, and the median height; of groups of any size."""
+    axes = F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in ("x", "y", "z"))))
+    rows = points.select(*groups, axes.alias("a")).select(*groups, "a.axis", "a.v")
+    found = quantiles(rows, "v", [low, 0.5, high], *groups, "axis")
+    of = lambda axis, k: F.max(F.when(F.col("axis") == axis, F.col("quantiles")[k]))
+    ends = [of(c, k) + s * margin for k, s in ((0, -1), (2, 1)) for c in ("x", "y")]
+    return found.groupBy(*groups).agg(*(c.alias(n) for c, n in zip(ends, ("min_x", "min_y", "max_x", "max_y"))), of("z", 1).alias("median_z"))
 
 
 def canvas_size(min_x, min_y, max_x, max_y, gsd, cap: int = 16000):
@@ -150,7 +155,7 @@ def median_smooth_labels(cells: DataFrame, half: int = 1) -> DataFrame:
 
 def density_filter(vertices: DataFrame, *groups: str, share: float = 0.05) -> DataFrame:
     """``vertices`` without those under the quantile ``share`` (linear interpolation) of the density of their group."""
-    least = vertices.groupBy(*groups).agg(F.percentile("density", share).alias("__least"))
+    least = quantiles(vertices, "density", [share], *groups).select(*groups, F.col("quantiles")[0].alias("__least"))
     both = vertices.join(least, list(groups)) if groups else vertices.join(F.broadcast(least))  # one row
     return both.filter(F.col("density") >= F.col("__least")).drop("__least")
 

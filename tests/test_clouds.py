@@ -19,7 +19,7 @@ def test_quantiles_equal_percentile(spark):
     rows += [("skew", 1e-9 * k) for k in range(2000)] + [("skew", 1e9)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     shares = [0.0, 0.05, 0.5, 0.99, 1.0]
-    got = {r.g: r.quantiles for r in quantiles.quantiles(df, "v", shares, "g", bins=16).collect()}
+    got = {r.g: r.quantiles for r in quantiles.quantiles(df, "v", shares, "g", marks=5).collect()}
     clean = df.filter("v IS NOT NULL AND NOT isnan(v)")
     want = {r.g: r.q for r in clean.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
     assert set(got) == set(want) and "odd" not in got
@@ -154,8 +154,8 @@ def test_eigenvectors_in_closed_form(spark):
         m, v = mats[r.point_id], np.array([r.nx, r.ny, r.nz])
         scale = max(np.abs(m).max(), 1e-300)
         assert np.linalg.norm(v) == pytest.approx(1, abs=1e-12)
-        assert np.linalg.norm(m @ v - r.variance * v) <= 1e-9 * scale and r.residual <= 1e-9 * scale
-        assert r.variance == pytest.approx(np.linalg.eigvalsh(m)[0], abs=1e-9 * scale)
+        assert np.linalg.norm(m @ v - r.variance * v) <= 1e-8 * scale and r.residual <= 1e-8 * scale
+        assert r.variance == pytest.approx(np.linalg.eigvalsh(m)[0], abs=1e-8 * scale)
 
 
 def test_orientation_agrees_on_a_bent_sheet(spark):

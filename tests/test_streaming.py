@@ -32,10 +32,20 @@ def test_distinct_job_events(events):
     assert len(drain(live.distinct_job_events(events), "jobs")) == 8
 
 
-def test_rolling_pairs(spark, tmp_path):
-    schema = "track_id long, idx long, east double, north double"
-    rows = [(t, i, i * 0.5, i * float(t)) for t in (1, 2) for i in range(30)]
-    spark.createDataFrame(rows, schema).repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    got = sorted((r.track_id, r.idx, r.d_east, r.d_north) for r in drain(live.rolling_pairs(stream), "pairs"))
-    assert got == [(t, i, 4.0, 8.0 * t) for t in (1, 2) for i in range(8, 30, 4)]
+def test_rolling_pairs_take_late_rows_in_their_place(spark, tmp_path):
+    schema = "track_id long, idx long, at timestamp, east double, north double"
+    t = datetime(2024, 1, 1)
+    rows = [(k, i, t + timedelta(seconds=i), i * 0.5 + i * i, i * float(k)) for k in (1, 2) for i in range(40)]
+    order = sorted(rows, key=lambda r: (r[1] + (r[1] * 7 % 9), r[0]))  # up to eight seconds late
+    parts = [order[k : k + 16] for k in range(0, len(order), 16)]
+    parts.append([(1, -4, t - timedelta(hours=1), 0.0, 0.0), (3, 0, t + timedelta(minutes=5), 0.0, 0.0)])  # far too late; the clock goes on
+    parts.append([(4, 0, t + timedelta(hours=5), 0.0, 0.0)])  # all others are idle
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k:02d}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = live.rolling_pairs(stream).writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    got = sorted((r.track_id, r.idx, r.d_east, r.d_north) for r in spark.table("pairs").collect())
+    assert got == [(k, i, 4.0 + i * i - (i - 8) ** 2, 8.0 * k) for k in (1, 2) for i in range(8, 40, 4)]
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(states) >= 2 and states[-1] <= 1  # tracks 1 to 3 are forgotten
