@@ -26,29 +26,37 @@ def _matrix() -> tuple[tuple[Column, Column, Column], ...]:
     return (c["xx"], c["xy"], c["xz"]), (c["xy"], c["yy"], c["yz"]), (c["xz"], c["yz"], c["zz"])
 
 
-def least_eigenvalue() -> Column:
-    """The smallest root of the characteristic polynomial of the symmetric 3 x 3 matrix in the columns xx to zz, by cosines."""
+def _roots(rows: DataFrame) -> DataFrame:
+    """``rows`` with top, whether the largest eigenvalue of the matrix in the columns xx to zz stands apart, and root: that one, or else
+    the smallest. By cosines; a step a column, so that no expression is written out twice."""
     (a, d, e), (_, b, f), (_, _, c) = _matrix()
-    mean = (a + b + c) / 3
-    p = F.sqrt(((a - mean) * (a - mean) + (b - mean) * (b - mean) + (c - mean) * (c - mean) + 2 * (d * d + e * e + f * f)) / 6)
-    x, y, z = a - mean, b - mean, c - mean
-    det = x * (y * z - f * f) - d * (d * z - f * e) + e * (d * f - y * e)
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))
-    return F.when(p > 0, mean + 2 * p * F.cos((F.acos(cosine) + 2 * F.pi()) / 3)).otherwise(mean)
-
-
-def _eigenvector(value: Column) -> Column:
-    """Unit vector that the matrix less ``value`` brings nearest to nothing: of the cross products of its rows the longest; straight up if all vanish."""
-    rows = [[m - value if i == j else m for j, m in enumerate(row)] for i, row in enumerate(_matrix())]
+    rows = rows.withColumn("mean", (a + b + c) / 3)
+    x, y, z = (m - F.col("mean") for m in (a, b, c))
+    rows = rows.withColumns({"p": F.sqrt((x * x + y * y + z * z + 2 * (d * d + e * e + f * f)) / 6), "det": x * (y * z - f * f) - d * (d * z - f * e) + e * (d * f - y * e)})
+    p = F.col("p")
+    rows = rows.withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.col("det") / F.nullif(2 * p * p * p, F.lit(0.0)), F.lit(1.0))))) / 3)
+    rows = rows.withColumn("top", (p > 0) & (F.col("det") > 0))
+    shift = F.when(F.col("top"), F.cos("angle")).otherwise(F.cos(F.col("angle") + 2 * F.pi() / 3))
+    return rows.withColumn("root", F.when(p > 0, F.col("mean") + 2 * p * shift).otherwise(F.col("mean"))).drop("mean", "p", "det", "angle")
+
+
+def _eigenvectors(rows: DataFrame) -> DataFrame:
+    """``rows`` with v, the unit vector that the matrix less ``root`` brings nearest to nothing: of the cross products of its rows the
+    longest; straight up if all vanish."""
+    m = [[x - F.col("root") if i == j else x for j, x in enumerate(row)] for i, row in enumerate(_matrix())]
     crosses = []
     for i, j in ((0, 1), (0, 2), (1, 2)):
-        (a, b, c), (d, e, f) = rows[i], rows[j]
-        x, y, z = b * f - c * e, c * d - a * f, a * e - b * d
-        crosses.append(F.struct((x * x + y * y + z * z).alias("n2"), x.alias("x"), y.alias("y"), z.alias("z")))
-    best = F.greatest(*crosses)
-    size = F.sqrt(best["n2"])
-    up = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
-    return F.when(size > 0, F.struct(*((best[c] / size).alias(c) for c in AXES))).otherwise(up)
+        (a, b, c), (d, e, f) = m[i], m[j]
+        crosses.append(F.struct((b * f - c * e).alias("x"), (c * d - a * f).alias("y"), (a * e - b * d).alias("z")))
+    rows = rows.withColumn("crosses", F.array(*crosses))
+    size = lambda t: F.struct((t["x"] * t["x"] + t["y"] * t["y"] + t["z"] * t["z"]).alias("n2"), t["x"].alias("x"), t["y"].alias("y"), t["z"].alias("z"))
+    rows = rows.withColumn("best", F.array_max(F.transform("crosses", size))).withColumn("size", F.sqrt("best.n2"))
+    unit = F.struct(*((F.col(f"best.{c}") / F.col("size")).alias(c) for c in AXES))
+    return rows.withColumn("v", F.when(F.col("size") > 0, unit).otherwise(_up())).drop("crosses", "best", "size")
+
+
+def _up() -> Column:
+    return F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
 
 
 def _times(v: str) -> list[Column]:
@@ -58,13 +66,24 @@ def _times(v: str) -> list[Column]:
 def normals(covariances: DataFrame) -> DataFrame:
     """``covariances`` with nx, ny, nz (unit, of either direction), variance (along it) and residual, the length of C n - variance n.
 
-    The eigenvector is taken once more at its own Rayleigh quotient, which is exact to the square of the first one's error.
-    Neighbourhoods without a direction (fewer than three points, or all in one place) have the normal (0, 0, 1)."""
-    rows = covariances.withColumn("v", _eigenvector(least_eigenvalue()))
-    quotient = lambda: sum((F.col("v")[c] * t for c, t in zip(AXES[1:], _times("v")[1:])), F.col("v")["x"] * _times("v")[0])
-    rows = rows.withColumn("variance", quotient())
-    rows = rows.withColumn("v", F.when(F.col("n") < 3, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))).otherwise(_eigenvector(F.col("variance"))))
-    rows = rows.withColumn("variance", quotient())
+    The eigenvector of the eigenvalue that stands apart is taken first. If that is the smallest, it is the normal; if it is the
+    largest, the normal lies in the plane across it, where it is that of a 2 x 2 matrix. So neither suffers from two
+    eigenvalues that are nearly equal. Neighbourhoods without a direction (fewer than three points, or all in one place) have
+    the normal (0, 0, 1)."""
+    rows = _eigenvectors(_roots(covariances))
+    v = {c: F.col("v")[c] for c in AXES}
+    wide = F.abs(v["x"]) > F.abs(v["y"])
+    rows = rows.withColumn("u", F.when(wide, F.struct((-v["z"]).alias("x"), F.lit(0.0).alias("y"), v["x"].alias("z"))).otherwise(F.struct(F.lit(0.0).alias("x"), v["z"].alias("y"), (-v["y"]).alias("z"))))
+    rows = rows.withColumn("size", F.sqrt(F.pow("u.x", 2) + F.pow("u.y", 2) + F.pow("u.z", 2)))
+    rows = rows.withColumn("u", F.struct(*((F.col(f"u.{c}") / F.col("size")).alias(c) for c in AXES)))
+    u = {c: F.col("u")[c] for c in AXES}
+    rows = rows.withColumn("w", F.struct((v["y"] * u["z"] - v["z"] * u["y"]).alias("x"), (v["z"] * u["x"] - v["x"] * u["z"]).alias("y"), (v["x"] * u["y"] - v["y"] * u["x"]).alias("z")))
+    dot = lambda p, q: sum((F.col(p)[c] * t for c, t in zip(AXES[1:], _times(q)[1:])), F.col(p)["x"] * _times(q)[0])
+    turn = F.atan2(2 * dot("u", "w"), dot("u", "u") - dot("w", "w")) / 2  # of the larger one in the plane
+    rows = rows.withColumn("turn", turn)
+    plane = F.struct(*((F.cos("turn") * F.col("w")[c] - F.sin("turn") * F.col("u")[c]).alias(c) for c in AXES))
+    rows = rows.withColumn("v", F.when(F.col("n") < 3, _up()).when(F.col("top"), plane).otherwise(F.col("v")))
+    rows = rows.withColumn("variance", dot("v", "v"))
     off = [t - F.col("variance") * F.col("v")[c] for c, t in zip(AXES, _times("v"))]
     residual = F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
     return rows.select(*covariances.columns, *(F.col("v")[c].alias(f"n{c}") for c in AXES), "variance", residual.alias("residual"))
