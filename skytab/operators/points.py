@@ -40,6 +40,18 @@ def nearest_neighbours(points: DataFrame, k: int, cell: float, rings: int = 1, k
         cell *= 2
 
 
+def cell_for(points: DataFrame, k: int, block: str | None = None) -> float:
+    """A cell size for ``nearest_neighbours`` at which the cells around a point hold about 2 k others, from the extents of all points and
+    the number in the fullest block; 1 if there are none or they are all in one place. The search is exact with any other."""
+    finite = points.filter("abs(x) < double('infinity') AND abs(y) < double('infinity') AND abs(z) < double('infinity')")
+    sizes = finite.groupBy(*([block] if block else [])).agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{n}{a}") for a in ("x", "y", "z") for n, f in (("lo", F.min), ("hi", F.max))))
+    row = sizes.agg(F.max("n"), *(F.max(f"hi{a}") - F.min(f"lo{a}") for a in ("x", "y", "z"))).first()
+    sides = [s for s in row[1:] if s]
+    if not sides:
+        return 1.0
+    return (2 * k * math.prod(sides) / (3 ** len(sides) * row[0])) ** (1 / len(sides))
+
+
 def _within(seekers: DataFrame, points: DataFrame, k: int, cell: float, rings: int, key: str, block: str | None) -> DataFrame:
     """The up to k nearest ``points`` of each of ``seekers`` at most rings * cell away: key, other, distance, rank."""
     axes = ("x", "y", "z")

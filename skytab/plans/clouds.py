@@ -82,6 +82,6 @@ SELECT n.id AS point_id, n.n, round(l, 7) AS variance, round(nx * t, 4) AS nx, r
 def oriented_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normals of all points of the clouds, from up to thirty neighbours, that agree with each other."""
     rows = _cloud(spark, sf_dir, 0, 1, 2).withColumnRenamed("id", "point_id")
-    near = points.nearest_neighbours(rows, 29, 0.1, block="key")
+    near = points.nearest_neighbours(rows, 29, points.cell_for(rows, 29, "key"), block="key")
     found = normals.cloud_normals(rows, near)
     return found.select("point_id", "n", r("variance", 7).alias("variance"), *(r(c, 4).alias(c) for c in ("nx", "ny", "nz")), (F.col("residual") < 1e-9).alias("exact"))
