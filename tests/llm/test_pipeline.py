@@ -115,11 +115,7 @@ def test_stages_take_hard_rows(spark, tables):
     assert quality.Settings().min_words == 50
 
 
-def test_only_the_result_stays_in_the_shared_folder(spark, tables, tmp_path_factory):
-    shared = tmp_path_factory.mktemp("shared")
-    spark.conf.set("spark.checkpoint.dir", f"file://{shared}")
-    try:
-        done = corpus_pipeline.run(spark, tables[1])
-        assert [p.name.split("-")[1] for p in shared.iterdir()] == ["packing"] and done.count() > 0
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_only_the_result_stays_in_the_shared_folder(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr("skytab.checkpoints.shared_dir", lambda _: f"file://{tmp_path}")
+    done = corpus_pipeline.run(spark, tables[1])
+    assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["packing"] and done.count() > 0
