@@ -69,10 +69,59 @@ def load_parts(features: DataFrame) -> DataFrame:
 
 
 def save_collections(collections: DataFrame, path: str, key: str) -> None:
-    """Each collection (key, geojson) as a text file of its own, in a folder for its key."""
+    """Each collection (key, geojson) as a text file of its own, in a folder for its key. See save_in_parts for long tracks."""
     collections.select(key, "geojson").repartition(key).write.partitionBy(key).option("maxRecordsPerFile", 1).text(path)
 
 
+def collection_lines(frames: DataFrame, key: str, order: str = "frame_index", chunk: int = 1 << 16) -> DataFrame:
+    """A FeatureCollection a track as lines (key, section, __o, __p, text), which joined in order of the first four are its text:
+    points, the trajectory (from two points on) and the bounds. No row holds more than one point, and no window more
+    than the frames whose order differs by less than ``chunk``. A null order goes first, ties go by position."""
+    xyz = F.array("longitude", "latitude", F.round("altitude", 3))
+    time = F.col("timestamp") if "timestamp" in frames.columns else F.lit(None).cast("string")
+    own = {"__o": F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))), "__p": F.struct("longitude", "latitude", "altitude"), "__xyz": F.to_json(xyz), "__time": time}
+    rows = point_features(frames).select(F.col(key), "feature", *(c.alias(n) for n, c in own.items()))
+    rows = rows.withColumn("__chunk", F.floor(F.greatest(F.col("__o"), F.lit(-1e15)) / chunk))
+    ends = rows.groupBy(key, "__chunk").agg(F.max_by("__p", F.struct("__o", "__p")).alias("end"))  # one row a chunk
+    before = ends.select(F.col(key).alias("__k"), F.col("__chunk").alias("__c"), F.lag("end").over(Window.partitionBy(key).orderBy("__chunk")).alias("__end"))
+    rows = rows.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__chunk") == F.col("__c")), "left").drop("__k", "__c")
+    last = F.coalesce(F.lag("__p").over(Window.partitionBy(key, "__chunk").orderBy("__o", "__p")), F.col("__end"))
+    place = lambda p: (p["latitude"], p["longitude"], p["altitude"])
+    rows = rows.withColumn("__last", last).withColumn("__leg", haversine_3d(*place(F.col("__last")), *place(F.col("__p"))))
+
+    first = F.col("__last").isNull()
+    line = lambda section, text: F.struct(F.lit(section).alias("section"), text.alias("text"))
+    point = line(1, F.concat(F.when(first, "").otherwise(","), F.col("feature")))
+    vertex = F.when(~first, line(3, F.concat(F.lit(","), F.col("__xyz"))))
+    body = rows.select(key, "__o", "__p", F.inline(F.array_compact(F.array(point, vertex))))
+
+    p, at = F.col("__p"), F.struct("__o", "__p")
+    box = [F.round(f(p[c]), n) for f in (F.min, F.max) for c, n in (("longitude", 6), ("latitude", 6), ("altitude", 2))]
+    track = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("__leg"), 2).alias("d"), F.min_by("__time", at).alias("a"), F.max_by("__time", at).alias("z"), F.min_by("__xyz", at).alias("start"), F.to_json(F.array(*box)).alias("bbox"))
+    props = F.to_json(F.struct(F.lit("Flight trajectory").alias("name"), F.col("n").alias("total_points"), F.col("d").alias("total_distance_meters"), F.col("a").alias("start_time"), F.col("z").alias("end_time")))
+    whole = [
+        line(0, F.lit('{"type":"FeatureCollection","features":[')),
+        F.when(F.col("n") > 1, line(2, F.concat(F.lit(',{"type":"Feature","id":"flight_trajectory","geometry":{"type":"LineString","coordinates":['), F.col("start")))),
+        F.when(F.col("n") > 1, line(4, F.concat(F.lit(']},"properties":'), props, F.lit("}")))),
+        line(5, F.concat(F.lit('],"bbox":'), F.col("bbox"), F.lit("}"))),
+    ]
+    frame = track.select(key, F.lit(None).cast("double").alias("__o"), F.lit(None).cast(body.schema["__p"].dataType).alias("__p"), F.inline(F.array_compact(F.array(*whole))))
+    return body.unionByName(frame)
+
+
+def save_in_parts(lines: DataFrame, path: str, key: str, parts: int | None = None) -> DataFrame:
+    """Lines as of collection_lines as text files in a folder for each key, dealt out by range, so that many tasks write
+    a long track. Returns the manifest: key (as a folder names it), part, path, bytes and the byte of the collection at
+    which the part begins. The files of a key in order of their parts are one valid collection."""
+    by = [key, "section", "__o", "__p"]
+    dealt = lines.repartitionByRange(parts, *by) if parts else lines.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).select(key, "text").write.partitionBy(key).text(path)
+    files = lines.sparkSession.read.format("binaryFile").load(path).select(key, "path", F.col("length").alias("bytes"))
+    files = files.withColumn("part", F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("int"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select(key, "part", "path", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("begins"))
+
+
 def flag_features(features: DataFrame, invalid: DataFrame) -> DataFrame:
     """The features (file, feature_idx, ...) that the invalid records (filename, feature_idx) name."""
     return features.join(invalid.select(F.col("filename").alias("file"), "feature_idx").distinct(), ["file", "feature_idx"], "left_semi")

@@ -80,6 +80,29 @@ def geojson_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("track_id").agg(F.count_if(point).alias("n_points"), F.count_if(~point).alias("n_lines"), both(0).alias("lon"), both(1).alias("lat"))
 
 
+@query(f"""WITH {b.TRACKS}, l AS (SELECT *, lag(latitude) OVER w AS la0, lag(longitude) OVER w AS lo0, lag(altitude) OVER w AS al0 FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY rn)),
+g AS (SELECT *, pow(sin(radians(latitude - la0) / 2), 2) + cos(radians(la0)) * cos(radians(latitude)) * pow(sin(radians(longitude - lo0) / 2), 2) AS a FROM l)
+SELECT track_id, count(*) AS n_points, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS n_vertices, sum(lo)::BIGINT AS lon, sum(la)::BIGINT AS lat, CASE WHEN count(*) > 1 THEN sum(lo)::BIGINT END AS line_lon, CASE WHEN count(*) > 1 THEN sum(la)::BIGINT END AS line_lat,
+ CASE WHEN count(*) > 1 THEN round(sum(sqrt(pow(2 * 6371000 * atan2(sqrt(a), sqrt(1 - a)), 2) + pow(altitude - al0, 2))), 2) END AS metres, round(min(longitude), 6) AS west, round(max(latitude), 6) AS north FROM g GROUP BY track_id""")
+def collections_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections saved a line a point by many tasks, and read back whole."""
+    frames = b.tracks(spark, sf_dir).select("track_id", F.col("rn").alias("frame_index"), "latitude", "longitude", "altitude")
+    path = _folder(spark)
+    geojson.save_in_parts(geojson.collection_lines(frames, "track_id"), path, "track_id")
+    text = F.regexp_replace("value", "^,", "")
+    lines = spark.read.text(path).select(F.col("track_id").cast("long").alias("track_id"), text.alias("line"))
+    point = F.startswith("line", F.lit('{"type":"Feature","id"')) & ~F.contains("line", F.lit("flight_trajectory"))
+    start = F.when(F.contains("line", F.lit("flight_trajectory")), F.regexp_extract("line", r"\[(\[.*\])$", 1))
+    vertex = F.from_json(F.coalesce(start, F.when(F.startswith("line", F.lit("[")), F.col("line"))), "array<double>")
+    place = F.from_json(F.when(point, F.get_json_object("line", "$.geometry.coordinates")), "array<double>")
+    ends = F.from_json(F.regexp_extract("line", r'"bbox":(.*)\}$', 1), "array<double>")
+    micro = lambda p, k: F.sum(F.rint(p[k] * 1e6).cast("long"))
+    metres = F.regexp_extract("line", r'"total_distance_meters":([0-9.eE-]+)', 1).try_cast("double")
+    rows = lines.select("track_id", place.alias("p"), vertex.alias("v"), metres.alias("metres"), ends.alias("e"))
+    p, v = F.col("p"), F.col("v")
+    return rows.groupBy("track_id").agg(F.count(p).alias("n_points"), F.count(v).alias("n_vertices"), micro(p, 0).alias("lon"), micro(p, 1).alias("lat"), micro(v, 0).alias("line_lon"), micro(v, 1).alias("line_lat"), F.max("metres").alias("metres"), F.max(F.get("e", F.lit(0))).alias("west"), F.max(F.get("e", F.lit(4))).alias("north"))
+
+
 _FUSED = f"fused AS ({tracks.SQL['fuse_sources']})"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import camera
-from ..operators import mosaic, points
+from ..operators import exif, mosaic, points
 from . import bindings as b
 from .objects import _INSTANCES, _LABELS, _PAIRS, _PIXELS, _instances, _labels, _pixels
 from .tracks import r
@@ -97,6 +97,38 @@ def exif_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("e.fnum.num").cast("double").alias("fnum"), F.col("e.focal.num").alias("focal_num"), "e.focal_35mm", "e.latitude_ref", F.col("e.latitude.d.num").alias("d"), "e.altitude_ref", F.col("e.altitude.num").alias("altitude_num"), F.col("e.direction.num").alias("direction_num"), F.coalesce("e.taken", F.lit("none")).alias("taken"))
 
 
+_BLOCK = f"""{b.IMAGES}, v AS (SELECT event_id, CASE WHEN k % 7 <> 0 THEN CASE WHEN k % 3 = 0 THEN -latitude ELSE latitude END END AS lat, longitude AS lon, CASE WHEN k % 2 = 0 THEN -agl ELSE agl END AS alt, CASE WHEN k % 5 = 0 THEN '2024/05/01 11:35' ELSE '2024-05-01 11:35:42,416' END AS stamp,
+  CASE WHEN k % 5 <> 0 THEN '2024:05:01 11:35:42' END AS taken, CASE WHEN k % 4 = 0 THEN 'x' ELSE '1/640.0' END AS shutter, focal, yaw - 180 AS yaw, pitch, roll, k FROM images),
+w AS (SELECT *, abs(lat) AS a, abs(lon) AS o, '{{"frame_index":' || event_id || ',"timestamp":"' || stamp || '","latitude":' || coalesce(lat::VARCHAR, 'null') || ',"longitude":' || lon || ',"altitude_m":' || alt || ',"iso":100,"shutter":"' || shutter || '","fnum":2.8,"focal_len":' || focal
+  || ',"yaw":' || yaw || ',"pitch":' || pitch || ',"roll":' || roll || ',"k":' || k || '}}' AS note, 'Frame: ' || event_id || CASE WHEN lat IS NULL THEN '' ELSE printf(' | GPS: (%.6f, %.6f)', lat, lon) END || printf(' | Alt: %.2fm', alt) AS about FROM v),
+e AS ({" UNION ALL ".join(f"SELECT event_id, {d} AS dir, {tag} AS tag, {kind} AS kind, {n} AS n, {data} AS data FROM w" for d, tag, kind, n, data in [
+    *((d, tag, 2, f"length({text}) + 1", f"hex({text}) || '00'") for d, tag, text in ((0, 270, "about"), (0, 271, "'DJI'"), (0, 272, "'Drone Camera'"), (0, 305, "'skytab'"), (0, 306, "taken"), (1, 36867, "taken"), (1, 36868, "taken"), (2, 1, "CASE WHEN lat >= 0 THEN 'N' WHEN lat < 0 THEN 'S' END"), (2, 3, "CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END"), (2, 16, "'T'"), (2, 18, "'WGS-84'"), (2, 29, "taken[:10]"))),
+    *((d, tag, 5, 1, f"printf('%08X%08X', CAST(round_even({num}, 0) AS BIGINT), {den}::BIGINT)") for d, tag, num, den in ((0, 282, "72", 1), (0, 283, "72", 1), (1, 33437, "280", 100), (1, 37386, "focal * 100", 100), (2, 6, "abs(alt) * 1000", 1000), (2, 17, "((yaw + 360) % 360) * 100", 100))),
+    (1, 33434, 5, 1, "CASE WHEN shutter <> 'x' THEN printf('%08X%08X', 1000, 640000) END"),
+    *((2, tag, 5, 3, f"printf('%08X00000001%08X00000001%08X000F4240', floor({x})::BIGINT, floor(({x} - floor({x})) * 60)::BIGINT, CAST(round_even((({x} - floor({x})) * 60 - floor(({x} - floor({x})) * 60)) * 60 * 1000000, 0) AS BIGINT))") for tag, x in ((2, "a"), (4, "o"))),
+    (2, 7, 5, 3, "CASE WHEN taken IS NOT NULL THEN printf('%08X00000001%08X00000001%08X00000001', 11, 35, 42) END"),
+    (0, 296, 3, 1, "'0002'"), (1, 34855, 3, 1, "'0064'"), (1, 36864, 7, 4, "hex('0231')"), (1, 37510, 7, "length(note) + 8", "'4153434949000000' || hex(note)"), (1, 41989, 3, 1, "printf('%04X', CAST(round_even(focal, 0) AS BIGINT))"), (2, 0, 1, 4, "'02030000'"), (2, 5, 1, 1, "CASE WHEN alt >= 0 THEN '00' ELSE '01' END"),
+])}),
+s AS (SELECT *, CASE WHEN length(data) <= 8 THEN '' WHEN length(data) % 4 = 0 THEN data ELSE data || '00' END AS beyond FROM e WHERE data IS NOT NULL),
+d AS (SELECT event_id, dir, count(*) + CASE dir WHEN 0 THEN 2 ELSE 0 END AS entries, 6 + 12 * count(*) + CASE dir WHEN 0 THEN 24 ELSE 0 END + sum(length(beyond)) // 2 AS size FROM s GROUP BY event_id, dir),
+begun AS (SELECT *, (8 + coalesce(sum(size) OVER (PARTITION BY event_id ORDER BY dir ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS place FROM d),
+u AS (SELECT event_id, dir, tag, kind, n, data, beyond FROM s UNION ALL SELECT event_id, 0, CASE dir WHEN 1 THEN 34665 ELSE 34853 END, 4, 1, printf('%08X', place), '' FROM begun WHERE dir > 0),
+o AS (SELECT u.*, place + 6 + 12 * entries + coalesce(sum(length(beyond) // 2) OVER (PARTITION BY event_id, dir ORDER BY tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS to_data, entries FROM u JOIN begun USING (event_id, dir)),
+t AS (SELECT event_id, dir, printf('%04X', any_value(entries)) || string_agg(printf('%04X%04X%08X', tag, kind, n) || CASE WHEN length(data) <= 8 THEN rpad(data, 8, '0') ELSE printf('%08X', to_data::BIGINT) END, '' ORDER BY tag) || '00000000' || string_agg(beyond, '' ORDER BY tag) AS part FROM o GROUP BY event_id, dir)"""
+
+
+@query(f"WITH {_BLOCK} SELECT event_id, '4578696600004D4D002A00000008' || string_agg(part, '' ORDER BY dir) AS exif FROM t GROUP BY event_id")
+def exif_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole EXIF blocks of photographs, in hex digits: some without a latitude, a time or a shutter."""
+    k = F.col("k")
+    lat = F.when(k % 7 != 0, F.when(k % 3 == 0, -F.col("latitude")).otherwise(F.col("latitude")))
+    stamp = F.when(k % 5 == 0, "2024/05/01 11:35").otherwise("2024-05-01 11:35:42,416")
+    shutter = F.when(k % 4 == 0, "x").otherwise("1/640.0")
+    alt = F.when(k % 2 == 0, -F.col("agl")).otherwise(F.col("agl"))
+    rows = exif.with_exif_bytes(b.images(spark, sf_dir), latitude=lat, longitude=F.col("longitude"), altitude=alt, timestamp=stamp, iso=F.lit(100), shutter=shutter, fnum=F.lit(2.8), focal=F.col("focal"), yaw=F.col("yaw") - 180, pitch=F.col("pitch"), roll=F.col("roll"), frame_index=F.col("event_id"), extra={"k": k})
+    return rows.select("event_id", F.hex("exif").alias("exif"))
+
+
 _CAMERAS = f"{b.IMAGES}, cams AS (SELECT event_id AS frame, (event_id % 97) * 7.0::DOUBLE AS east, (event_id % 89) * 7.0::DOUBLE AS north, agl AS up, yaw, -90.0::DOUBLE + k % 20 AS pitch, roll, focal * width / 36 AS focal, width, height, agl * 1.5::DOUBLE AS radius FROM images)"
 _CELLS = "cells AS (SELECT r AS row, c AS col, c * 25.0::DOUBLE + 12.5 AS x, r * 25.0::DOUBLE + 12.5 AS y, ((r * 7 + c * 3) % 5)::DOUBLE AS z FROM (SELECT unnest(range(0, 26)) AS r), (SELECT unnest(range(0, 28)) AS c))"
 

@@ -1,109 +1,17 @@
-"""File sources besides telemetry: image folders, JPEG metadata, point clouds, inventories."""
+"""File sources besides telemetry: image folders, point clouds, inventories."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions import text as tx
+from .headers import read_raw_metadata
 
-# layout of TIFF values inside JPEG files, fixed values: type to (size, struct letter)
-TIFF_TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 7: (1, "s"), 9: (4, "i"), 10: (8, "ii")}
-EXIF_POINTER, GPS_POINTER = 0x8769, 0x8825
 SUFFIXES = r"\.(jpg|jpeg|png|tif|tiff)$"
 
 
-def _directory(data: bytes, order: str, at: int) -> dict[int, object]:
-    """Entries of one TIFF directory: text as bytes, single numbers plain, rationals as pairs."""
-    out: dict[int, object] = {}
-    (count,) = struct.unpack_from(f"{order}H", data, at)
-    for k in range(count):
-        tag, kind, n, place = struct.unpack_from(f"{order}HHII", data, at + 2 + 12 * k)
-        if kind not in TIFF_TYPES or n > len(data):
-            continue
-        size, letter = TIFF_TYPES[kind]
-        place = at + 2 + 12 * k + 8 if size * n <= 4 else place
-        if letter == "s":
-            out[tag] = data[place : place + n].rstrip(b"\0")
-            continue
-        values = struct.unpack_from(f"{order}{letter * n}", data, place)
-        if len(letter) == 2:
-            values = tuple(zip(values[::2], values[1::2]))
-        out[tag] = values[0] if n == 1 else values
-    return out
-
-
-def jpeg_metadata(content: bytes) -> dict | None:
-    """Size, EXIF and GPS entries and XMP text of a JPEG; None where the bytes are no JPEG or broken."""
-    try:
-        if content[:2] != b"\xff\xd8":
-            return None
-        out = {"width": 0, "height": 0, "exif": {}, "gps": {}, "xmp": ""}
-        at = 2
-        while at + 4 <= len(content) and content[at] == 0xFF:
-            marker, size = content[at + 1], struct.unpack_from(">H", content, at + 2)[0]
-            body = content[at + 4 : at + 2 + size]
-            if marker in (0xC0, 0xC1, 0xC2):
-                out["height"], out["width"] = struct.unpack_from(">HH", body, 1)
-            elif marker == 0xE1 and body.startswith(b"Exif\0\0"):
-                tiff = body[6:]
-                order = "<" if tiff[:2] == b"II" else ">"
-                top = _directory(tiff, order, struct.unpack_from(f"{order}I", tiff, 4)[0])
-                for name, pointer in (("exif", EXIF_POINTER), ("gps", GPS_POINTER)):
-                    if pointer in top:
-                        out[name] = _directory(tiff, order, top[pointer])
-            elif marker == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
-                out["xmp"] = body[29:].decode("utf-8", "ignore")
-            elif marker == 0xDA:
-                break
-            at += 2 + size
-        return out
-    except (struct.error, IndexError, ValueError):
-        return None
-
-
-def _rational(x: object) -> float | None:
-    return x[0] / x[1] if isinstance(x, tuple) and len(x) == 2 and x[1] else None
-
-
-def _degrees(dms: object, ref: object) -> float | None:
-    parts = [_rational(x) for x in dms] if isinstance(dms, tuple) and len(dms) == 3 else [None]
-    if None in parts:
-        return None
-    value = parts[0] + parts[1] / 60 + parts[2] / 3600
-    return -value if ref in (b"S", b"W") else value
-
-
-RAW = "path string, width int, height int, latitude double, longitude double, gps_altitude double, focal_length double, focal_35mm double, direction double, taken string, comment string, xmp string"
-
-
-def read_raw_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """EXIF values, user comment and XMP text of the JPEG files under a path; files that cannot be read are left out.
-    A few bytes of each file matter, but the source reads whole files, a task at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(path).select("path", "content")
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch["path"], batch["content"]):
-                m = jpeg_metadata(bytes(content))
-                if m is None:
-                    continue
-                e, g = m["exif"], m["gps"]
-                comment = e.get(0x9286, b"")
-                comment = comment[8:].decode("utf-8", "ignore") if comment.startswith(b"ASCII\0\0\0") else None
-                taken = e.get(0x9003)
-                rows.append((name, m["width"], m["height"], _degrees(g.get(2), g.get(1)), _degrees(g.get(4), g.get(3)), _rational(g.get(6)), _rational(e.get(0x920A)), float(e[0xA405]) if e.get(0xA405) else None, _rational(g.get(17)), taken.decode("utf-8", "ignore") if taken else None, comment, m["xmp"]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
-
-    return files.mapInPandas(parse, RAW)
-
-
 def resolve_image_info(raw: DataFrame) -> DataFrame:
     """One row an image with a position: XMP goes before the user comment, that before EXIF, defaults last."""
     rows = raw.filter("latitude IS NOT NULL AND longitude IS NOT NULL").withColumn("__t", tx.xmp_map(F.coalesce("xmp", F.lit(""))))
@@ -131,7 +39,7 @@ def resolve_image_info(raw: DataFrame) -> DataFrame:
 
 
 def scan_directory(spark: SparkSession, path: str, max_images: int | None = None) -> DataFrame:
-    """Image infos of the JPEG files under a path; with max_images the first valid ones by name (a top-k)."""
+    """Image infos of the JPEG, PNG and TIFF files under a path; with max_images the first valid ones by name (a top-k)."""
     rows = resolve_image_info(read_raw_metadata(spark, path))
     return rows.orderBy("filename", "path").limit(max_images) if max_images else rows
 
