@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.geodesy import haversine_3d
+from .kinematics import with_previous
 
 PROPERTIES = ["frame_index", "frame_id", "filename", "timestamp", "timestamp_sec", "latitude", "longitude", "altitude_m", "iso", "shutter", "f_number", "focal_length_mm", "ev", "ct", "color_mode", "yaw", "pitch", "roll"]
 
@@ -21,9 +22,9 @@ def point_features(frames: DataFrame) -> DataFrame:
 
 def trajectory(frames: DataFrame, key: str, order: str = "frame_index") -> DataFrame:
     """For each track of two frames or more (key, feature): its LineString, length, and first and last timestamp."""
-    w = Window.partitionBy(key).orderBy(order)
-    lag = lambda c: F.lag(c).over(w)
-    legs = frames.withColumn("__leg", haversine_3d(lag("latitude"), lag("longitude"), lag("altitude"), F.col("latitude"), F.col("longitude"), F.col("altitude")))
+    place = ("latitude", "longitude", "altitude")
+    legs = with_previous(frames.withColumn("__at", F.struct(*place)), key, order, "__at", "__last")
+    legs = legs.withColumn("__leg", haversine_3d(*(F.col("__last")[c] for c in place), *map(F.col, place)))
     point = F.struct(order, F.array("longitude", "latitude", F.round("altitude", 3)).alias("p"))
     time = F.col("timestamp") if "timestamp" in frames.columns else F.lit(None).cast("string")
     line = legs.groupBy(key).agg(F.sort_array(F.collect_list(point)).alias("pts"), F.round(F.sum("__leg"), 2).alias("d"), F.min_by(time, order).alias("a"), F.max_by(time, order).alias("z")).filter(F.size("pts") >= 2)
@@ -81,13 +82,9 @@ def collection_lines(frames: DataFrame, key: str, order: str = "frame_index", ch
     time = F.col("timestamp") if "timestamp" in frames.columns else F.lit(None).cast("string")
     own = {"__o": F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))), "__p": F.struct("longitude", "latitude", "altitude"), "__xyz": F.to_json(xyz), "__time": time}
     rows = point_features(frames).select(F.col(key), "feature", *(c.alias(n) for n, c in own.items()))
-    rows = rows.withColumn("__chunk", F.floor(F.greatest(F.col("__o"), F.lit(-1e15)) / chunk))
-    ends = rows.groupBy(key, "__chunk").agg(F.max_by("__p", F.struct("__o", "__p")).alias("end"))  # one row a chunk
-    before = ends.select(F.col(key).alias("__k"), F.col("__chunk").alias("__c"), F.lag("end").over(Window.partitionBy(key).orderBy("__chunk")).alias("__end"))
-    rows = rows.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__chunk") == F.col("__c")), "left").drop("__k", "__c")
-    last = F.coalesce(F.lag("__p").over(Window.partitionBy(key, "__chunk").orderBy("__o", "__p")), F.col("__end"))
+    rows = with_previous(rows, key, "__o", "__p", "__last", chunk)
     place = lambda p: (p["latitude"], p["longitude"], p["altitude"])
-    rows = rows.withColumn("__last", last).withColumn("__leg", haversine_3d(*place(F.col("__last")), *place(F.col("__p"))))
+    rows = rows.withColumn("__leg", haversine_3d(*place(F.col("__last")), *place(F.col("__p"))))
 
     first = F.col("__last").isNull()
     line = lambda section, text: F.struct(F.lit(section).alias("section"), text.alias("text"))

@@ -33,6 +33,19 @@ def with_halo(df: DataFrame, order: str, size: int, halo: int) -> DataFrame:
     return out.withColumn("__own", F.floor(n / size) == F.col("__chunk"))
 
 
+def with_previous(rows: DataFrame, track: str, order: str, value: str, out: str, chunk: int = 1 << 16) -> DataFrame:
+    """Add the ``value`` (a struct) of the row before, by ``order`` and then by value; null for a track's first row. A window
+    spans the rows whose order falls into one ``chunk`` only, and the last value of each chunk is carried over, so
+    one very long track is spread over tasks. A null order goes first."""
+    at = F.coalesce(F.floor(F.greatest(F.col(order).cast("double"), F.lit(-1e15)) / chunk), F.lit(-(2**60)))
+    rows = rows.withColumn("__chunk", at)
+    ends = rows.groupBy(track, "__chunk").agg(F.max_by(value, F.struct(order, value)).alias("__end"))  # one row a chunk
+    before = ends.select(F.col(track).alias("__k"), F.col("__chunk").alias("__c"), F.lag("__end").over(Window.partitionBy(track).orderBy("__chunk")).alias("__end"))
+    rows = rows.join(before, F.col(track).eqNullSafe(F.col("__k")) & (F.col("__chunk") == F.col("__c")), "left")
+    here = F.lag(value).over(Window.partitionBy(track, "__chunk").orderBy(order, value))
+    return rows.withColumn(out, F.coalesce(here, F.col("__end"))).drop("__chunk", "__k", "__c", "__end")
+
+
 def track_kinematics(enu: DataFrame, track: str = "track_id", order: str = "rn", half: int = 8, min_speed: float = 0.5, grain: float = 0.11, chunk: int = 1 << 16) -> DataFrame:
     """Add ground_speed, vertical_speed, course (null when idle) and course_quality.
 
@@ -97,15 +110,16 @@ def baseline_samples(enu: DataFrame, track: str = "track_id", order: str = "rn",
     return out.select(track, F.col("__i").alias("index"), length.alias("baseline"), bearing(F.col("__de"), F.col("__dn")).alias("bearing"))
 
 
-def path_length(tracks: DataFrame, track: str = "track_id", order: str = "rn") -> DataFrame:
-    """For each track the length of its path, its bounds, and its first and last time and number of points."""
+def path_length(tracks: DataFrame, track: str = "track_id", order: str = "rn", chunk: int = 1 << 16) -> DataFrame:
+    """For each track the length of its path, its bounds, and its first and last time and number of points. ``chunk``
+    is as in with_previous."""
     from ..functions.geodesy import haversine_3d
 
-    w = Window.partitionBy(track).orderBy(order)
-    lag = lambda c: F.lag(c).over(w)
-    leg = haversine_3d(lag("latitude"), lag("longitude"), lag("altitude"), F.col("latitude"), F.col("longitude"), F.col("altitude"))
+    place = ("latitude", "longitude", "altitude")
+    rows = with_previous(tracks.withColumn("__at", F.struct(*place)), track, order, "__at", "__last", chunk)
+    leg = haversine_3d(*(F.col("__last")[c] for c in place), *map(F.col, place))
     return (
-        tracks.withColumn("__leg", leg)
+        rows.withColumn("__leg", leg)
         .groupBy(track)
         .agg(
             F.count(F.lit(1)).alias("total_points"),

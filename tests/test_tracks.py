@@ -3,8 +3,9 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from skytab.functions import camera
+from skytab.functions import camera, geodesy
 from skytab.operators import asof, kinematics, robust
 
 
@@ -151,3 +152,15 @@ def test_lookups_in_chunks(spark):
     for strict in (True, False):
         got = [sorted(map(str, asof.neighbours(targets, packed, "track_id", "idx", "idx", "r", strict, chunk).collect())) for chunk in (None, 10)]
         assert got[0] == got[1] and len(got[0]) == 200
+
+
+def test_path_of_a_long_track_over_chunks(spark):
+    n, i = 50_000, F.col("id")
+    place = {"latitude": 10 + (i * 7919 % 1000) / 1e5, "longitude": 20 + (i * 104729 % 1000) / 1e5, "altitude": (i % 17).cast("double")}
+    one = spark.range(n).select(F.lit("a").alias("track_id"), (i * 3 - 999).alias("rn"), (i / 24.0).alias("t"), *(c.alias(k) for k, c in place.items()))
+    rows = one.unionByName(one.filter("rn % 2 = 0").withColumn("track_id", F.lit(None).cast("string")))
+    got = {c: {r.track_id: (r.total_points, round(r.total_distance, 3), r.start_t, r.end_t) for r in kinematics.path_length(rows, chunk=c).collect()} for c in (100, 1 << 40)}
+    assert got[100] == got[1 << 40] and got[100]["a"][0] == n
+    w = Window.partitionBy("track_id").orderBy("rn")
+    plain = rows.withColumn("d", geodesy.haversine_3d(*(F.lag(c).over(w) for c in place), *(F.col(c) for c in place))).groupBy("track_id").agg(F.round(F.sum("d"), 3).alias("d"))
+    assert {r.track_id: r.d for r in plain.collect()} == {k: v[1] for k, v in got[100].items()}
