@@ -126,7 +126,7 @@ def mix_sources(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     document stays selected when a later budget is larger. Weights and counts cover all rows.
 
     Null sources, languages and topics are values of their own (empty strings); null or empty texts
-    count one token; repeated rows share their fate; an empty table gives no rows. Columns named
+    count one token; repeated rows share their fate, and so do all rows with a null doc_id, which are drawn as one; an empty table gives no rows. Columns named
     tokens, weight, probability, margin_error or selected are replaced. Only DataFrame functions run.
     """
     s = settings
