@@ -6,6 +6,8 @@ cells, so no pair of far instances is ever formed. Greedy rules run as rounds of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +54,14 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, key: str, cell: int = 16, left
     return both.filter(first & (box_intersection(p, q) > 0)).select(key, left, right)
 
 
+def same_box_pairs(a: DataFrame, b: DataFrame, key: str, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of instances of one key whose boxes overlap: key, a, b, value of their boxes, which is worked out once for a pair of different boxes."""
+    boxes = lambda df: df.select(key, "box").distinct()
+    unlike = cut(overlapping_pairs(boxes(a), boxes(b), key).select(key, F.col("a.box").alias("box_a"), F.col("b.box").alias("box_b"), value(F.col("a.box"), F.col("b.box")).alias("value")), "boxes")
+    some = unlike.join(cut(a.select(key, F.col("box").alias("box_a"), F.col("instance").alias("a")), "boxed"), [key, "box_a"])
+    return some.join(cut(b.select(key, F.col("box").alias("box_b"), F.col("instance").alias("b")), "boxed"), [key, "box_b"]).select(key, "a", "b", "value")
+
+
 def mask_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Shared pixels of instances of two pixel tables (key, instance, px, py): key, a, b, inter."""
     x = a.select(key, "px", "py", F.col("instance").alias("a"))

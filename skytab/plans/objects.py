@@ -69,8 +69,8 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 @query(f"WITH {_PAIRS} SELECT image, a, b, round(box_iou, 6) AS box_iou FROM pairs WHERE a % 2 = 0 AND b % 2 = 1")
 def box_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after, _, _ = _sides(spark, sf_dir)
-    p = det.overlapping_pairs(before, after, "image")
-    return p.select("image", F.col("a.instance").alias("a"), F.col("b.instance").alias("b"), r(det.box_iou(F.col("a.box"), F.col("b.box")), 6).alias("box_iou"))
+    p = det.same_box_pairs(before, after, "image", lambda a, b: r(det.box_iou(a, b), 6))
+    return p.select("image", "a", "b", F.col("value").alias("box_iou"))
 
 
 @query(f"WITH {_PAIRS} SELECT image, a, b, round(box_iou, 6) AS box_iou, round(mask_iou, 6) AS mask_iou, round(distance, 4) AS distance FROM pairs WHERE a % 2 = 0 AND b % 2 = 1")
