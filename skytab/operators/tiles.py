@@ -38,12 +38,12 @@ def tile_instances(pixels: DataFrame, tiles: DataFrame, image: str = "image", ce
     """Instances as the tiles see them, from pixels (image, instance, px, py) and tiles (image, x, y, tile_width,
     tile_height): image, x, y, instance, n_pixels and the box x1, y1, x2, y2 (half open) within the tile.
 
-    Pixels meet tiles by an equi join on grid cells. Fragments of fewer than ``least_pixels`` pixels are left out.
+    Pixels meet tiles by an equi join on grid cells, both shuffled: tiles times cells are far more than the files of the images tell. Fragments of fewer than ``least_pixels`` pixels are left out.
     """
     span = lambda c, n: F.sequence(F.floor(F.col(c) / cell), F.floor((F.col(c) + F.col(n) - 1) / cell))
     near = tiles.select(image, "x", "y", "tile_width", "tile_height", F.explode(span("x", "tile_width")).alias("__gx")).select("*", F.explode(span("y", "tile_height")).alias("__gy"))
     home = pixels.withColumns({"__gx": F.floor(F.col("px") / cell), "__gy": F.floor(F.col("py") / cell)})
-    both = home.join(near, [image, "__gx", "__gy"]).withColumns({"u": F.col("px") - F.col("x"), "v": F.col("py") - F.col("y")})
+    both = home.join(near.hint("merge"), [image, "__gx", "__gy"]).withColumns({"u": F.col("px") - F.col("x"), "v": F.col("py") - F.col("y")})
     both = both.filter("u >= 0 AND v >= 0 AND u < tile_width AND v < tile_height")
     box = [F.min("u").alias("x1"), F.min("v").alias("y1"), (F.max("u") + 1).alias("x2"), (F.max("v") + 1).alias("y2")]
     return both.groupBy(image, "x", "y", "instance").agg(F.count(F.lit(1)).alias("n_pixels"), *box).filter(F.col("n_pixels") >= least_pixels)
