@@ -48,12 +48,13 @@ def feature_collection(frames: DataFrame, key: str, order: str = "frame_index",
 RINGS = "array<array<array<double>>>"
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
+def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """GeoJSON files under a path as rows (file, feature_idx, geometry_type, parts, rings): parts are lists of rings, of
     which the first is the outer one and the others holes; rings are those of all parts one after another. Other
-    geometries have null parts."""
-    schema = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    geometries have null parts. With ``lines`` a file has one collection a line, and file is the name that the collection
+    gives itself: many small collections are as few files as tasks."""
+    schema = "type string, name string, features array<struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("file", F.col("name") if lines else F.input_file_name())
     rows = rows.select("file", F.posexplode("features").alias("feature_idx", "f")).select("file", "feature_idx", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("c"))
     parts = F.when(F.col("geometry_type") == "Polygon", F.array(F.from_json("c", RINGS))).when(F.col("geometry_type") == "MultiPolygon", F.from_json("c", f"array<{RINGS}>"))
     return rows.withColumn("parts", parts).withColumn("rings", F.flatten("parts")).drop("c")
