@@ -41,15 +41,18 @@ def cast_rays(cells: DataFrame, cameras: DataFrame, radius: str = "radius", bloc
     """Cells (row, col, x, y, z) seen by cameras (frame, east, north, up, yaw, pitch, roll, focal, width, height, radius):
     row, col, frame, u, v and weight (cube of the cosine from nadir times closeness to the image's centre).
 
-    Cameras reach the blocks of ground within their radius, and cells join them there by an equi join.
+    Cameras reach the blocks of ground within their radius, and cells join them there by an equi join. A camera's rotation
+    is worked out once, and cameras are dealt out before they reach, however few files they come from.
     """
+    rotation = camera.rotation_world_to_camera(F.col("yaw"), F.col("pitch"), F.col("roll"))
+    cameras = cameras.withColumn("__r", F.array(*(v for row in rotation for v in row))).repartition("frame")
     near = lambda c, s: F.floor((F.col(c) + s * F.col(radius)) / block)
     cams = cameras.withColumn("__bx", F.explode(F.sequence(near("east", -1), near("east", 1)))).withColumn("__by", F.explode(F.sequence(near("north", -1), near("north", 1))))
     home = cells.withColumns({"__bx": F.floor(F.col("x") / block), "__by": F.floor(F.col("y") / block)})
     both = home.join(cams, ["__bx", "__by"])
     both = both.withColumns({"__e": F.col("x") - F.col("east"), "__n": F.col("y") - F.col("north"), "__u": F.col("z") - F.col("up")})
     both = both.filter(F.col("__e") * F.col("__e") + F.col("__n") * F.col("__n") <= F.col(radius) * F.col(radius))
-    rot = camera.rotation_world_to_camera(F.col("yaw"), F.col("pitch"), F.col("roll"))
+    rot = [[F.col("__r")[3 * i + j] for j in range(3)] for i in range(3)]
     both = both.withColumns({f"__{k}": row[0] * F.col("__e") + row[1] * F.col("__n") + row[2] * F.col("__u") for k, row in zip("xyz", rot)}).filter("__z > 0")
     both = both.withColumns({"u": F.col("focal") * F.col("__x") / F.col("__z") + F.col("width") / 2, "v": F.col("focal") * F.col("__y") / F.col("__z") + F.col("height") / 2})
     both = both.filter("u >= 0 AND u < width AND v >= 0 AND v < height")
