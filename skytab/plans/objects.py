@@ -327,7 +327,8 @@ _NEAR = _POINTS + """, nn AS (SELECT *, row_number() OVER (PARTITION BY point_id
 
 
 def _neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return points.nearest_neighbours(_points(spark, sf_dir), k, 0.2, block="label")
+    rows = _points(spark, sf_dir)
+    return points.nearest_neighbours(rows, k, points.cell_for(rows, k, "label"), block="label")
 
 
 @query(f"WITH {_NEAR} SELECT point_id, arg_min(other, rank) AS other, round(min(distance), 6) AS distance, round(max(distance), 6) AS second FROM nn WHERE rank <= 2 GROUP BY point_id HAVING count(*) = 2 AND min(distance) < 0.75 * max(distance)")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
-from skytab.operators import mosaic, polygons, tiles
-from skytab.plans import deliveries
+from skytab.operators import mosaic, points, polygons, tiles
+from skytab.plans import deliveries, objects
 
 
 def plan(df):
@@ -40,3 +41,21 @@ def test_edges_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(polygons.crossed_shapes(rows))
     parts = polygons.repair(rows)
     assert "BroadcastHashJoin" not in plan(parts) and parts.groupBy("shape").count().filter("count = 2").count() == 20
+
+
+def test_neighbour_cells_follow_the_density(spark, tmp_path, monkeypatch):
+    tried, real = [], points._within
+
+    def within(seekers, others, k, cell, *args):
+        tried.append(cell)
+        return real(seekers, others, k, cell, *args)
+
+    monkeypatch.setattr(points, "_within", within)
+    for n in (200, 1600):
+        rng = np.random.default_rng(3)
+        rows = [(k, [float(x) for x in rng.random(64)], 3) for k in range(n)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / f"{n}" / "embeddings.parquet"))
+        tried.append(None)
+        assert objects._neighbours(spark, str(tmp_path / f"{n}"), 2).filter("rank = 2").count() == n
+    dense = tried[tried.index(None, 1) + 1]
+    assert dense < 0.6 * tried[1]  # eight times the points: cells of half the side
