@@ -181,11 +181,11 @@ def pivot_radii(neighbours: DataFrame, *groups: str) -> DataFrame:
 def fill_nearest(cells: DataFrame, points: DataFrame, cell: float, *, key: str = "cell_id") -> DataFrame:
     """``cells`` (key, x, y, z) with z, where null, that of the nearest of ``points`` (point_id, x, y, z; ties: smaller
     id) in the plane, and where there are no points at all 0."""
-    flat = points.filter("z IS NOT NULL").select((F.col("point_id") - (1 << 62)).alias("p"), "x", "y", F.lit(0.0).alias("z"), F.col("z").alias("height"))
-    empty = cells.filter("z IS NULL").select(F.col(key).alias("p"), "x", "y", F.lit(0.0).alias("z"))
-    near = _nearest_of(empty, flat.select("p", "x", "y", "z"), cell)
-    found = near.join(flat.select(F.col("p").alias("other"), "height"), "other").select(F.col("p").alias(key), "height")
-    return cells.join(found, key, "left").withColumn("z", F.coalesce("z", "height", F.lit(0.0))).drop("height")
+    flat = points.filter("z IS NOT NULL").groupBy("x", "y").agg((F.min("point_id") - (1 << 62)).alias("p"), F.min_by("z", "point_id").alias("height"))  # one for each place
+    places = cut(cells.filter("z IS NULL").select("x", "y").distinct().select(F.monotonically_increasing_id().alias("p"), "x", "y", F.lit(0.0).alias("z")), "places")
+    near = _nearest_of(places, flat.select("p", "x", "y", F.lit(0.0).alias("z")), cell)
+    found = near.join(flat.select(F.col("p").alias("other"), "height"), "other").join(places.select("p", "x", "y"), "p").select("x", "y", "height")
+    return cells.join(found, ["x", "y"], "left").withColumn("z", F.coalesce("z", "height", F.lit(0.0))).select(*cells.columns)
 
 
 def _nearest_of(seekers: DataFrame, points: DataFrame, cell: float) -> DataFrame:

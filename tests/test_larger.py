@@ -59,3 +59,17 @@ def test_neighbour_cells_follow_the_density(spark, tmp_path, monkeypatch):
         assert objects._neighbours(spark, str(tmp_path / f"{n}"), 2).filter("rank = 2").count() == n
     dense = tried[tried.index(None, 1) + 1]
     assert dense < 0.6 * tried[1]  # eight times the points: cells of half the side
+
+
+def test_nearest_heights_are_sought_once_a_place(spark, monkeypatch):
+    asked, real = [], points._nearest_of
+
+    def nearest(seekers, others, cell):
+        asked.append((seekers.count(), others.count()))
+        return real(seekers, others, cell)
+
+    monkeypatch.setattr(points, "_nearest_of", nearest)
+    cells = spark.createDataFrame([(k, float(k % 3), 0.0, None) for k in range(60)], "cell_id long, x double, y double, z double")
+    held = spark.createDataFrame([(k, 5.0 * (k % 2), 0.0, float(k)) for k in range(40)], "point_id long, x double, y double, z double")
+    got = {r.cell_id: r.z for r in points.fill_nearest(cells, held, 4.0).collect()}
+    assert got == {k: 0.0 for k in range(60)} and asked == [(3, 2)]
