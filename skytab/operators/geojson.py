@@ -70,9 +70,25 @@ def load_parts(features: DataFrame) -> DataFrame:
     return rows.withColumn("area", area).filter("area > 0").drop("r")
 
 
-def save_collections(collections: DataFrame, path: str, key: str) -> None:
-    """Each collection (key, geojson) as a text file of its own, in a folder for its key. See save_in_parts for long tracks."""
-    collections.select(key, "geojson").repartition(key).write.partitionBy(key).option("maxRecordsPerFile", 1).text(path)
+def save_collections(collections: DataFrame, path: str, key: str, packed: bool = False) -> None:
+    """Each collection (key, geojson) as a text file of its own, in a folder for its key. See save_in_parts for long tracks.
+    ``packed``: a line each (read_packed) in as few files as tasks, for very many collections."""
+    if packed:
+        collections.select(_packed(key, "geojson")).write.text(path)
+    else:
+        collections.select(key, "geojson").repartition(key).write.partitionBy(key).option("maxRecordsPerFile", 1).text(path)
+
+
+def _packed(key: str, text: str) -> Column:
+    """A line that says whose text it is: the key as JSON, a tab, which JSON texts never have, and the text."""
+    return F.concat(F.to_json(F.array(key)), F.lit("\t"), F.col(text)).alias("value")
+
+
+def read_packed(spark: SparkSession, path: str, key: str, kind: str) -> DataFrame:
+    """Lines of packed files: key, of type ``kind``, text and path."""
+    tab = F.instr("value", "\t")
+    own = F.from_json(F.substring("value", F.lit(1), tab - 1), f"array<{kind}>")[0].alias(key)
+    return spark.read.text(path).select(own, F.expr("substring(value, instr(value, '\t') + 1)").alias("text"), F.col("_metadata.file_path").alias("path"))
 
 
 def collection_lines(frames: DataFrame, key: str, order: str = "frame_index", chunk: int = 1 << 16) -> DataFrame:
@@ -107,14 +123,21 @@ def collection_lines(frames: DataFrame, key: str, order: str = "frame_index", ch
     return body.unionByName(frame)
 
 
-def save_in_parts(lines: DataFrame, path: str, key: str, parts: int | None = None) -> DataFrame:
+def save_in_parts(lines: DataFrame, path: str, key: str, parts: int | None = None, packed: bool = False) -> DataFrame:
     """Lines as of collection_lines as text files in a folder for each key, dealt out by range, so that many tasks write
     a long track. Returns the manifest: key (as a folder names it), part, path, bytes and the byte of the collection at
-    which the part begins. The files of a key in order of their parts are one valid collection."""
+    which the part begins. The files of a key in order of their parts are one valid collection. ``packed``: a file a task with
+    the lines of all its keys (read_packed), for very many tracks; those of a key in order of their parts are the collection, and
+    bytes counts what the part has of it."""
     by = [key, "section", "__o", "__p"]
     dealt = lines.repartitionByRange(parts, *by) if parts else lines.repartitionByRange(*by)
-    dealt.sortWithinPartitions(*by).select(key, "text").write.partitionBy(key).text(path)
-    files = lines.sparkSession.read.format("binaryFile").load(path).select(key, "path", F.col("length").alias("bytes"))
+    dealt = dealt.sortWithinPartitions(*by)
+    if packed:
+        dealt.select(_packed(key, "text")).write.text(path)
+        files = read_packed(lines.sparkSession, path, key, dict(lines.dtypes)[key]).groupBy(key, "path").agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
+    else:
+        dealt.select(key, "text").write.partitionBy(key).text(path)
+        files = lines.sparkSession.read.format("binaryFile").load(path).select(key, "path", F.col("length").alias("bytes"))
     files = files.withColumn("part", F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("int"))
     before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.select(key, "part", "path", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("begins"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from skytab.operators import geojson
 
@@ -52,3 +53,21 @@ def test_one_long_track_is_written_by_many_tasks(spark, tmp_path):
     assert [f["id"] for f in c["features"]] == [*range(n), "flight_trajectory"]
     assert [p[1] for p in c["features"][-1]["geometry"]["coordinates"]] == [10 + k / 1e6 for k in range(n)]
     assert c["features"][-1]["properties"]["total_points"] == n and c["features"][-1]["properties"]["end_time"] == str(n - 1)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_packed_files_are_as_few_as_tasks(spark, tmp_path, parts):
+    frames = spark.createDataFrame([(None if t == 0 else f"a\t{t}", i, 13.0 + t, 79.0 + i, 200.0) for t in range(40) for i in range(3)], "track_id string, frame_index long, latitude double, longitude double, altitude double")
+    expected = {r.track_id: r.geojson for r in geojson.feature_collection(frames, "track_id").collect()}
+    geojson.save_collections(geojson.feature_collection(frames, "track_id").coalesce(2), str(tmp_path / "whole"), "track_id", packed=True)
+    assert {r.track_id: r.text for r in geojson.read_packed(spark, str(tmp_path / "whole"), "track_id", "string").collect()} == expected
+    manifest = geojson.save_in_parts(geojson.collection_lines(frames, "track_id"), str(tmp_path / "parts"), "track_id", parts, packed=True).collect()
+    assert len(list((tmp_path / "whole").glob("part-*"))) <= 2 and len({r.path for r in manifest}) == len(list((tmp_path / "parts").glob("part-*"))) <= parts
+    texts = {}
+    for r in sorted(manifest, key=lambda r: r.part):
+        mine = [x for x in open(r.path.removeprefix("file:").replace("///", "/")).read().split("\n") if x.startswith(json.dumps([r.track_id]) + "\t")]
+        text = "".join(x.split("\t", 1)[1] + "\n" for x in mine)
+        assert r.begins == len(texts.get(r.track_id, "")) and r.bytes == len(text)
+        texts[r.track_id] = texts.get(r.track_id, "") + text
+    assert len(json.loads(texts.pop(None))["features"]) == 4  # the form of one row has no null keys
+    assert {k: json.loads(t) for k, t in texts.items()} == {k: json.loads(t) for k, t in expected.items()}
