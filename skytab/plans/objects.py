@@ -309,7 +309,9 @@ cover AS (SELECT h.p_partkey, px, py FROM h JOIN legs l ON l.p_partkey = h.p_par
 
 @query(f"WITH {_COVER} SELECT p_partkey, count(*) AS n_pixels, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM cover GROUP BY p_partkey")
 def raster_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = geojson.rasterize(_polygons(spark, sf_dir).filter(geojson.validity(F.col("ring")) == "valid"))
+    valid = _polygons(spark, sf_dir).filter(geojson.validity(F.col("ring")) == "valid")
+    # dealt out first: few bytes of ``part`` are many pixels; by number, as few bytes would be put together again
+    p = geojson.rasterize(valid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey"))
     long = lambda c: c.cast("long")
     return p.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_pixels"), long(F.min("px")).alias("x0"), long(F.min("py")).alias("y0"), long(F.max("px")).alias("x1"), long(F.max("py")).alias("y1"))
 
