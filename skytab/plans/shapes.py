@@ -36,12 +36,17 @@ def _at(points: list[tuple[int, int]], x: Column, y: Column) -> Column:
     return F.array(*(F.struct((x + p).cast("double").alias("x"), (y + q).cast("double").alias("y")) for p, q in [*points, points[0]]))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, dealt out before its few bytes a row become polygons."""
+    return b.table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as outlines, strewn over a strip for each brand."""
     k = F.col("p_partkey")
     x, y = k * 37 % 97, F.floor(k / 100) * 3 + k * 13 % 7
     ring = F.when(k % 4 == 0, _at(_FIGURES["angle"], x, y)).when(k % 4 == 1, _at(_FIGURES["clamp"], x, y)).when(k % 4 == 2, _at(_FIGURES["diamond"], x, y)).otherwise(_at(_FIGURES["bow tie"], x, y))
-    return b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), k.alias("shape"), F.array(ring).alias("rings"))
+    return _parts(spark, sf_dir).select(F.col("p_brand").alias("group"), k.alias("shape"), F.array(ring).alias("rings"))
 
 
 def _sql_points(points: list[tuple[int, int]]) -> str:
@@ -86,7 +91,7 @@ def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     holed = F.array(_at([(0, 0), (6, 0), (6, 6), (0, 6)], zero, zero), _at([(3, 1), (5, 3), (3, 5), (1, 3)], zero, zero))
     spike = _at([(0, 0), (4, 0), (4, 4), (6, 6), (4, 4), (0, 4)], zero, zero)
     rings = F.when(k % 3 == 0, F.array(zigzag)).when(k % 3 == 1, holed).otherwise(F.array(spike))
-    return b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), k.alias("shape"), "p_size", rings.alias("rings"))
+    return _parts(spark, sf_dir).select(F.col("p_brand").alias("group"), k.alias("shape"), "p_size", rings.alias("rings"))
 
 
 @query(f"""WITH base AS (SELECT p_brand AS "group", p_partkey AS shape, p_size % 9 + 1 AS n, 0 AS x, 0 AS y FROM part),
@@ -98,7 +103,7 @@ sums AS (SELECT shape, count(*) / 4 AS area FROM quarters GROUP BY shape)
 SELECT s.shape, coalesce(c.n, 0) AS n_crossings, coalesce(c.n, 0) + 1 AS n_parts, coalesce(c.n, 0) + 1 + (s.shape % 3 = 1)::INT AS n_rings, s.area::DOUBLE AS area FROM sums s LEFT JOIN crossed c USING (shape)""")
 def mended_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each polygon crosses itself, and the parts, rings and area of its mended form."""
-    rows = _broken(spark, sf_dir)
-    parts = polygons.repair(rows).groupBy("shape").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.size("rings")).alias("n_rings"), r(F.sum("area"), 6).alias("area"))
-    out = parts.join(polygons.crossed_shapes(rows), "shape", "left")
+    mended, crossed = polygons.mended(_broken(spark, sf_dir))
+    parts = mended.groupBy("shape").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.size("rings")).alias("n_rings"), r(F.sum("area"), 6).alias("area"))
+    out = parts.join(crossed, "shape", "left")
     return out.select("shape", F.coalesce("n_crossings", F.lit(0)).cast("long").alias("n_crossings"), "n_parts", "n_rings", "area")
